@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import string
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +12,10 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at a time inside a task.
 SLICE_BYTES = 4 << 20
-#: Chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers (about 200 bytes each) before it starts afresh.
+REMEMBERED = 400_000
+#: Signs that together are a pre-token of their own after a word.
+CLOSING = string.punctuation
 
 
 def vocabulary_path(name: str) -> str:
@@ -24,11 +28,12 @@ def vocabulary_path(name: str) -> str:
 
 
 class ChunkTokenizer:
-    """Ids of white-space-free chunks, remembered.
+    """Ids of texts by way of their distinct white-space-free chunks, whose words are remembered.
 
     The pre-tokenizer of the word-level vocabularies drops white space and never joins across it, and
     NFC and lower-casing never reach across it either, so the ids of a text are the ids of its chunks
-    in a row. Strings of special tokens count as ordinary text.
+    in a row. A chunk of letters and closing punctuation is two pre-tokens, so its ids are those of
+    the word and those of the punctuation. Strings of special tokens count as ordinary text.
     """
 
     def __init__(self, path: str):
@@ -36,46 +41,65 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known.clear()
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.lens = np.zeros(0, np.int64)
-
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        """Row numbers of the chunks in ``lens``/``starts``/``flat``, learning new ones."""
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        new = [c for c in chunks if c not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            lists = [e.ids for e in found]
-            base = len(self.lens)
-            for k, c in enumerate(new):
-                self.known[c] = base + k
-            self.lens = np.concatenate([self.lens, np.fromiter(map(len, lists), np.int64, len(lists))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32)])
-        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
+
+    def _slow(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token of lower-case letters, by the model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(CLOSING)
+        low = word.lower()
+        found = self.words.get(low)
+        if found is not None and (low.isascii() or _plain(word)):
+            ids = found
+        elif low.isalpha() and (low.isascii() and word.isascii() or _plain(word)):
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            ids = self.words[low] = self._word(low)
+        else:
+            return self._slow(chunk)
+        tail = chunk[len(word) :]
+        if tail not in self.tails:
+            if len(tail) > 8:
+                return ids + self._slow(tail)
+            self.tails[tail] = self._slow(tail)
+        return ids + self.tails[tail]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text as counts, all ids in a row). A null text counts as empty."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         offsets = parts.offsets.to_numpy()
-        chunks = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
-        codes = chunks.dictionary_encode()
-        if not len(codes):
+        chunks = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        if not len(chunks):
             return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
-        rows = self._learn(codes.dictionary.to_pylist())[codes.indices.to_numpy()]
-        lens = self.lens[rows]
-        starts = (np.cumsum(self.lens) - self.lens)[rows]
+        blobs = list(map(self._chunk, chunks.dictionary.to_pylist()))
+        known = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        rows = chunks.indices.to_numpy()
+        lens, starts = known[rows], (np.cumsum(known) - known)[rows]
         ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate([[0], ends])
-        bounds = total[offsets - offsets[0]]
-        return np.diff(bounds), flat
+        flat = np.frombuffer(b"".join(blobs), np.uint32)[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
+        return np.diff(np.concatenate([[0], ends])[offsets - offsets[0]]), flat
+
+
+def _plain(word: str) -> bool:
+    """Lower-casing and NFC leave each letter of the word to itself: two-byte Latin letters but for dotted I."""
+    return max(word) < "\u0250" and "\u0130" not in word
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=2)
