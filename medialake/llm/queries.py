@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import ann, hamming_search, licenses, line_dedup, mixing, packing, personal_data, simhash
+from medialake.llm import ann, hamming_search, language, licenses, line_dedup, lm_score, mixing, packing, personal_data, simhash
 from medialake.plans.shared import table
 
 
@@ -46,6 +46,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("long")
+    docs = language.document_rows(table(spark, sf_dir, "documents").withColumn("page_id", none), "doc_id", "page_id")
+    pages = language.page_rows(table(spark, sf_dir, "pages").withColumn("doc_id", none), "doc_id", "page_id")
+    return language.identify(docs.unionByName(pages))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +74,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, personal_data.BASE_KINDS), F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("target"))
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), labels)
+
+
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -92,9 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash": op7_simhash,
     "op8_personal_data": op8_personal_data,
+    "op9_lm_score": op9_lm_score,
     "op10_hamming_top_k": op10_hamming_top_k,
 }
 
