@@ -18,9 +18,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from medialake.plans.shared import shared_dir, stored
@@ -38,6 +37,10 @@ EDGE = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, n_docs, target: the total shared out by weight, no target above ``most`` times its source.
 
@@ -120,7 +123,7 @@ def _best_start(classes: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, source, source_size, target, rate, copies, taken for every row of ``docs``."""
-    own = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    own = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size("text").alias("size")))
     sizes = stored(own.groupBy("source", "size").agg(F.count("*").alias("n")))
     buckets = max(1, -(-own.count() // bucket_rows))
     duals = solve_dual(sizes, source_targets(sizes, weights, most), most)
@@ -141,3 +144,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     up_to_last = F.col("before") + (F.col("earlier") + F.col("place") - 1) * F.col("rate")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(most), F.floor(up_to + EDGE) - F.floor(up_to_last + EDGE))).cast("int")
     return placed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` with every row as many times as the mix takes it (rows it does not take go).
+
+    Rows that agree in doc_id, source and size get their copies by their order among themselves.
+    """
+    taken = mix_sources(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), _size("text").alias("size"))
+    same = F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & F.col("own.source").cast("string").eqNullSafe(F.col("source")) & (sized["size"] == taken["size"])
+    met = sized.join(taken, same).select("own", "copies", taken["size"].alias("size"))
+    among = Window.partitionBy("own.doc_id", "own.source", "size").orderBy(F.xxhash64("own.text"))
+    placed = met.withColumn("times", F.get("copies", F.row_number().over(among) - 1))
+    return placed.where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")
