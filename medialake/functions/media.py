@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 VIDEO_EXTENSIONS = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
 MAYBE_ANIMATED_EXTENSIONS = (".png", ".webp")
 #: The kinds of a picture.
-MEME_TYPES = (
-    "image_macro", "reaction", "screenshot", "comic", "photo_edit", "text_post", "deep_fried", "wholesome", "infographic", "other",
-)
+MEME_TYPES = ("reaction", "image-macro", "comic", "screenshot", "text-post", "photo", "drawing", "chart", "template", "other")
 
 
 def extension(name: Column) -> Column:
