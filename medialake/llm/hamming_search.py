@@ -3,8 +3,9 @@
 A vector's code is the signs of its components. Equal codes are one (with the smallest ids that an
 answer can need). A code is cut into about 64 / log2(number of codes) segments and stands once per
 segment in the index. For a query all segment values within a radius are looked up, the radius growing
-by one bit a round and only the new values being joined. After radius r, every code within
-segments * (r + 1) - 1 bits has been met, so a query whose kth verified distance is within that is
+by one bit, segment by segment where that is many values, and only the new values being joined. When
+the first a of m segments have been looked up to radius r and the others to r - 1, every code within
+m * r + a - 1 bits has been met, so a query whose kth verified distance is within that is
 done; ties at that distance are then complete too. Rounds join queries that are not done with the
 index by equality; nothing is compared with all rows.
 
@@ -27,6 +28,8 @@ from medialake.plans.shared import shared_dir, stored
 
 K = 10
 EVERY = 100
+#: Radius up to which all segments are looked up in one round; beyond it each segment is a round.
+TOGETHER = 2
 
 
 def sign_code(vec: Column) -> Column:
@@ -43,6 +46,12 @@ def _segments(codes: int, dims: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _rounds(segments: int, widest: int) -> list[tuple[int, list[int], int]]:
+    """(radius, segments to look up, bits within which every code has then been met)."""
+    rounds = [(r, list(range(segments)), segments * (r + 1) - 1) for r in range(min(TOGETHER, widest) + 1)]
+    return rounds + [(r, [k], segments * r + k) for r in range(TOGETHER + 1, widest + 1) for k in range(segments)]
+
+
 def _values(code: Column, segments: list[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for k, (at, width) in enumerate(segments)])
 
@@ -69,9 +78,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     best = None
     done = None
     active = asked
-    for radius in range(widest + 1):
+    rounds = _rounds(len(segments), widest)
+    for radius, part, covered in rounds:
         flips = masks.where(F.col("ones") == radius).select("mask")
-        looked_up = probes.join(active, "query", "left_semi").join(flips, F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("width")))
+        looked_up = probes.where(F.col("segment").isin(part)).join(active, "query", "left_semi").join(flips, F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("width")))
         met = looked_up.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).join(index, ["segment", "value"]).select("query", "code").distinct()
         verified = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         held = verified if best is None else best.join(active, "query", "left_semi").unionByName(verified).distinct()
@@ -80,9 +90,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         order = Window.partitionBy("query").orderBy("distance", "least")
         ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).withColumn("enough", need)
         best = stored(ranked.select("query", "code", "distance", "enough"))
-        covered = len(segments) * (radius + 1) - 1
         sums = best.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("enough")).otherwise(0)).alias("sure"))
-        ready = sums.where((F.col("sure") >= k + 1) | F.lit(covered >= dims or radius == widest)).select("query")
+        ready = sums.where((F.col("sure") >= k + 1) | F.lit(covered >= dims or (radius, part, covered) == rounds[-1])).select("query")
         finished = best.join(ready, "query", "left_semi")
         done = finished if done is None else done.unionByName(finished)
         best = best.select("query", "code", "distance")
