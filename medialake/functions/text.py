@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tags that say nothing.
 GENERIC_TAGS = ("meme", "memes", "funny", "image", "picture", "pictures", "humor", "humour")
@@ -41,7 +42,7 @@ def or_default(values: Column, default: str) -> Column:
     return F.when(F.size(values) == 0, F.array(F.lit(default))).otherwise(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(texts: pd.Series) -> pd.Series:
     """NFKD with everything that is not ASCII dropped; Spark has no built-in for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())

@@ -53,10 +53,22 @@ def bm25_rank(docs: DataFrame, terms: list[str] | tuple[str, ...], weights: dict
     return match_all_terms(counted, terms).select("id", (-score).alias("score"))
 
 
+def _grams(text: Column) -> Column:
+    """Character trigrams of a text, lower case; its letters are split once."""
+    letters = F.split(F.lower(text), "")
+    places = lambda own: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - GRAM))
+    return F.transform(F.array(letters), lambda own: F.transform(places(own), lambda i: F.array_join(F.slice(own, i + 1, F.lit(GRAM)), "")))[0]
+
+
+def _standing(text: Column, term: Column) -> Column:
+    """Number of places, overlapping ones included, at which ``term`` stands in ``text``."""
+    return F.regexp_count(text, F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
+
+
 def trigram_postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Distinct (gram, id) of every field, lower case."""
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(f) - (GRAM - 1))), lambda i, f=f: F.substring(F.lower(f), i, F.lit(GRAM))) for f in fields]
-    return docs.select("id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("gram")).where(F.char_length("gram") == GRAM)
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(f)) for f in fields])))
+    return docs.select("id", F.explode(grams).alias("gram")).where(F.char_length("gram") == GRAM)
 
 
 def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -68,7 +80,7 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term")).where(F.char_length("term") >= GRAM)
     terms = asked.select("term").distinct()
     postings = trigram_postings(docs)
-    grams = terms.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("term") - (GRAM - 1)), lambda i: F.substring("term", i, F.lit(GRAM)))).alias("gram"))
+    grams = terms.select("term", F.explode(F.array_distinct(_grams(F.col("term")))).alias("gram"))
     wanted = postings.join(grams.select("gram").distinct(), "gram", "left_semi")
     rarity = wanted.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(rarity, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
@@ -76,9 +88,7 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sized = docs.select("id", *FIELDS, document_size().alias("size"))
     frequency = F.lit(0.0)
     for f, weight in WEIGHTS.items():
-        # Overlapping occurrences: places at which the rest of the text starts with the term.
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(f) - F.char_length("term") + 1)), lambda i, f=f: F.substring(F.lower(f), i, F.char_length("term")) == F.col("term"))
-        frequency = frequency + F.when(F.contains(F.lower(f), F.col("term")), weight * F.size(places)).otherwise(0.0)
+        frequency = frequency + F.when(F.contains(F.lower(f), F.col("term")), weight * _standing(F.lower(f), F.col("term"))).otherwise(0.0)
     hits = candidates.join(sized, "id").select("term", "id", "size", frequency.alias("frequency")).where("frequency > 0")
     having = hits.groupBy("term").agg(F.count("*").alias("having"))
     stats = sized.agg(F.count("*").alias("total"), F.avg("size").alias("mean")).first()

@@ -202,16 +202,20 @@ def item_detail(items: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.join(copies, wanted["id"] == copies["own"], "left").drop("own").withColumn("copies", F.coalesce("copies", F.array().cast("array<bigint>")))
 
 
+def _standing_in(text: Column):
+    return lambda word: F.contains(text, word)
+
+
 def search_sidecars(sidecars: DataFrame, query: str, tags: tuple[str, ...] = (), category: str | None = None, meme_type: str | None = None, media_type: str | None = None) -> DataFrame:
     """Sidecars with the number of text fields that hold all words as ``score``; 1 for an empty query, none at 0."""
     words = F.array(*map(F.lit, query.lower().split())).cast("array<string>")
     fields = [F.lower(c) for c in ("title", "description", "ocr_text")] + [F.lower(F.array_join(c, " ")) for c in ("tags", "subjects", "topics")]
     score = F.lit(0)
     for f in fields:
-        score = score + F.when(F.forall(words, lambda w, f=f: F.contains(f, w)), 1).otherwise(0)
+        score = score + F.when(F.forall(words, _standing_in(f)), 1).otherwise(0)
     found = sidecars.withColumn("score", score if query.split() else F.lit(1)).where("score > 0")
     for tag in tags:
-        found = found.where(F.exists("tags", lambda t, tag=tag: F.lower(t) == tag.lower()))
+        found = found.where(F.array_contains(F.transform("tags", lambda t: F.lower(t)), tag.lower()))
     if category is not None:
         found = found.where(F.lower("category_name") == category.lower())
     if meme_type is not None:

@@ -119,7 +119,7 @@ def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOGGLES_SQL = """, toggles AS (
-  SELECT e.event_id, i.sha256, e.event_type = 'purchase' AS favorite, e.ts AS at FROM events e JOIN items i ON e.event_id % (SELECT count(*) FROM documents) = i.id
+  SELECT e.event_id, i.sha256, e.event_type = 'purchase' AS favorite, e.ts AS moment FROM events e JOIN items i ON e.event_id % (SELECT count(*) FROM documents) = i.id
   WHERE e.event_type IN ('purchase', 'error')
 )"""
 
@@ -130,11 +130,11 @@ def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return favorites_state(toggles(spark, sf_dir))
 
 
-FAVORITES_SQL = """, last_clear AS (
-  SELECT sha256, max(CASE WHEN NOT favorite THEN (at, event_id) END) AS cleared, max((at, event_id)) AS latest FROM toggles GROUP BY sha256
+FAVORITES_SQL = """, cleared AS (
+  SELECT sha256, max(row(moment, event_id)) FILTER (NOT favorite) AS cleared FROM toggles GROUP BY sha256
 ), favorites AS (
-  SELECT t.sha256, min(t.at) AS created_at FROM toggles t JOIN last_clear c USING (sha256)
-  WHERE t.favorite AND (c.cleared IS NULL OR (t.at, t.event_id) > c.cleared) GROUP BY t.sha256
+  SELECT t.sha256, min(t.moment) AS created_at FROM toggles t JOIN cleared c USING (sha256)
+  WHERE t.favorite AND (c.cleared IS NULL OR row(t.moment, t.event_id) > c.cleared) GROUP BY t.sha256
 )"""
 
 
