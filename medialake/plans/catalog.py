@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medialake.plans import q_categorize, q_diff, q_duplicates, q_facets, q_normalize, q_search, q_sources
+
+MODULES = (q_sources, q_diff, q_normalize, q_search, q_facets, q_duplicates, q_categorize)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: function for module in MODULES for name, function in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
