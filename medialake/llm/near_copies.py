@@ -7,10 +7,10 @@ is cut into ``TABLES`` pieces of ``EXACT`` + 23 bits; a key is a table, its exac
 codeword number near its last 23 bits, so that a piece may differ in two of those. Pairs that meet
 under a key are verified by exact similarity.
 
-In a bucket of up to ``bucket`` documents all pairs are candidates. A larger bucket is done in two
-steps that leave out only pairs that cannot change the groups: first each member with one centre of the
-bucket (another in each), then, after groups have formed, every pair of the bucket that crosses groups
-and has an end outside the bucket's largest group.
+In a bucket of up to ``bucket`` documents all pairs are candidates. Larger buckets are done exactly without
+such pairs: documents that share a large bucket, directly or through others, are a family; a family is
+dealt into blocks of about ``BLOCK`` documents, and two blocks at a time meet in a task, which counts
+common shingles by an inverted list and gives back only links that join what it had not joined yet.
 
 Defined results: null, empty and blank texts are copies of each other; texts of fewer than five words
 have one shingle of all words; rows that share a doc_id are one document, of which one row stays; rows
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,9 +37,11 @@ SIMILARITY = 0.8
 TABLES = 9
 EXACT = 16
 WORDS = 6  # of 64 bits in a fingerprint
-#: Bits in which fingerprints of near copies differ at most; over two times what 0.8 makes likely.
+#: Bits in which fingerprints of near copies differ at most; twice what 0.8 makes likely.
 BITS = 52
-BUCKET = 16
+#: Documents of a bucket up to which all its pairs are verified one by one, and of a block of a family.
+BUCKET = 6
+BLOCK = 768
 
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -105,14 +108,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches ``similarity``."""
+def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are near enough to be worth an exact look."""
     near = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) <= BITS
     left = prints.select(F.col("doc").alias("a"), F.col("fp").alias("fp_a"))
     right = prints.select(F.col("doc").alias("b"), F.col("fp").alias("fp_b"))
-    close = stored(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
-    asked = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
-    sets = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingles, "doc long, shingles binary"))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+
+
+def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches ``similarity``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,6 +132,57 @@ def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similarity:
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (place in ``left``, place in ``right``) of similar sets, enough to connect all that are connected.
+
+    ``same``: both are the same block. Sets are sorted distinct numbers.
+    """
+    sizes = np.fromiter(map(len, left), np.int64, len(left))
+    tokens, owners = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    parent = list(range(len(left) + (0 if same else len(right))))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    links = []
+    for j, own in enumerate(right):
+        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        counts = high - low
+        ends = np.cumsum(counts)
+        hits = owners[np.repeat(low - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        both = np.bincount(hits, minlength=len(left))
+        for i in np.flatnonzero((both > 0) & (both >= similarity * (sizes + len(own) - both))).tolist():
+            a, b = root(i), root(j if same else len(left) + j)
+            if a != b:
+                parent[b] = a
+                links.append((i, j))
+    return links
+
+
+def _family_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within families of documents that share crowded buckets (key, doc)."""
+    first = crowded.groupBy("key").agg(F.min("doc").alias("b"))
+    shared = crowded.join(first, "key").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b").distinct()
+    families = connected_components(shared, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    parts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = families.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).join(sets, "doc")
+    blocks = stored(dealt.groupBy("family", "block").agg(F.collect_list("doc").alias("docs"), F.collect_list("shingles").alias("sets")))
+    other = blocks.select("family", F.col("block").alias("other"), F.col("docs").alias("other_docs"), F.col("sets").alias("other_sets"))
+
+    def compare(key: tuple, met: pd.DataFrame) -> pd.DataFrame:
+        row = met.iloc[0]
+        left, right = ([np.frombuffer(x, np.uint32) for x in row[c]] for c in ("sets", "other_sets"))
+        found = block_links(left, right, key[1] == key[2], similarity)
+        return pd.DataFrame({"a": [row["docs"][i] for i, _ in found], "b": [row["other_docs"][j] for _, j in found]}, dtype="int64")
+
+    return blocks.join(other, "family").where("block <= other").groupBy("family", "block", "other").applyInPandas(compare, "a long, b long")
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(doc, same: every doc_id and the first doc_id with the same words; node, component of those with near copies)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
@@ -135,18 +191,13 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: in
     prints = distinct.select("doc", "fp").dropDuplicates(["doc"])
     keys = prints.mapInArrow(_keys, "key long, doc long")
     members = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    small, large = members.where(F.col("n") <= bucket), members.where(F.col("n") > bucket)
-    pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").where("a < b").select("a", "b")
-    centres = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("h"), F.col("doc").alias("b"))).alias("c")).select("key", "c.b")
-    stars = large.join(centres, "key").where(F.col("doc") != F.col("b")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b"))
-    links = stored(_verified(pairs.unionByName(stars).distinct(), prints, texts, similarity))
-    groups = connected_components(links, "a", "b")
-    grouped = stored(large.select("key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
-    main = grouped.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    outside = grouped.join(main, "key").where(F.col("component") != F.col("main")).select("key", F.col("doc").alias("o"), F.col("component").alias("co"))
-    crossing = outside.join(grouped.join(main.select("key"), "key", "left_semi"), "key").where(F.col("component") != F.col("co"))
-    rest = _verified(crossing.select(F.least("o", "doc").alias("a"), F.greatest("o", "doc").alias("b")).distinct(), prints, texts, similarity)
-    return found.join(distinct.select("same", F.col("doc").alias("first")), "same").select("doc", F.col("first").alias("same")), connected_components(links.unionByName(rest), "a", "b")
+    small, crowded = members.where(F.col("n") <= bucket), members.where(F.col("n") > bucket).select("key", "doc")
+    pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    close = stored(_close(pairs, prints))
+    asked = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).unionByName(crowded.select("doc")).distinct()
+    sets = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingles, "doc long, shingles binary"))
+    links = _verified(close, sets, similarity).unionByName(_family_links(crowded, sets, similarity))
+    return found.join(distinct.select("same", F.col("doc").alias("first")), "same").select("doc", F.col("first").alias("same")), connected_components(links, "a", "b")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
