@@ -123,54 +123,65 @@ def _amounts(items: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and exchanges between underfull sequences, each of which raises the sum of squared fills.
 
-    The emptiest sequence gives to a fuller one: an item (move), an item for a smaller one, two for a
-    smaller one, or one for two smaller ones. Stops where the bound shows that no sequence can be
+    The emptiest sequence that still can gives to another: an item (move), an item for a smaller one, two
+    for a smaller one, or one for two smaller ones, by what leaves the least gap. Stops where the bound shows that no sequence can be
     emptied any more, or where no sequence can give.
     """
-    fill = {b: int(lengths[items].sum()) for b, items in enumerate(bins)}
-    live = {b for b in fill if fill[b] < capacity}
-    least = -(-sum(fill[b] for b in live) // capacity)
-    offers = {b: _amounts(bins[b], lengths) for b in live}
-    stuck: set[int] = set()
-    while len(live) > least and len(stuck) < len(live):
-        giver = min(live - stuck, key=lambda b: (fill[b], b))
-        # What others could give back, 0 for a plain move.
-        names = [b for b in live if b != giver and fill[b] >= fill[giver]]
-        flat = np.concatenate([np.fromiter((0, *offers[b]), np.int64) for b in names]) if names else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(names)), [len(offers[b]) + 1 for b in names])
-        gaps = np.array([capacity - fill[b] for b in names], np.int64)
+    fill = np.array([int(lengths[items].sum()) for items in bins], np.int64)
+    live = fill < capacity
+    offers = {int(b): _amounts(bins[b], lengths) for b in np.flatnonzero(live)}
+    # What sequences could give back: the amount (0 for a plain move), the sequence, whether it is two items.
+    back, own, pair = (np.array(x, np.int64) for x in zip(*(row for b in offers for row in _rows(b, offers[b])))) if offers else (np.zeros(0, np.int64),) * 3
+    stuck, moved = np.zeros(len(bins), bool), False
+    while int(live.sum()) > -(-int(fill[live].sum()) // capacity):
+        if not (live & ~stuck).any():
+            if not moved:
+                break
+            stuck[:], moved = False, False
+        giver = int(np.where(live & ~stuck, fill, capacity).argmin())
+        room = capacity - fill[own]
+        lead = np.maximum(fill[giver] - fill[own], 0)  # what a taker must gain beyond to raise the sum
         best = None
         for amount, given in sorted(offers[giver].items(), reverse=True):
-            gain = amount - flat
-            fits = (gain > 0) & (gain <= gaps[own])
-            if len(given) == 2 and fits.any():  # two for two is not among the exchanges
-                pairs = np.fromiter((len(offers[names[o]].get(int(a), ())) == 2 for o, a in zip(own[fits], flat[fits])), bool)
-                fits[np.flatnonzero(fits)[pairs]] = False
+            gain = amount - back
+            fits = (gain > lead) & (gain <= room) & (own != giver)
+            if len(given) == 2:  # two for two is not among the exchanges
+                fits &= pair == 0
             if fits.any():
-                left = np.where(fits, gaps[own] - gain, capacity + 1)
+                left = np.where(fits, room - gain, capacity + 1)
                 k = int(left.argmin())
                 if best is None or left[k] < best[0]:
-                    best = (left[k], given, names[own[k]], int(flat[k]))
-                    if left[k] == 0:
+                    best = (int(left[k]), given, int(own[k]), int(back[k]))
+                    if best[0] == 0:
                         break
         if best is None:
-            stuck.add(giver)
+            stuck[giver] = True
             continue
-        _, given, taker, back = best
-        returned = offers[taker][back] if back else ()
+        _, given, taker, amount = best
+        returned = offers[taker][amount] if amount else ()
         bins[giver] = [i for i in bins[giver] if i not in given] + list(returned)
         bins[taker] = [i for i in bins[taker] if i not in returned] + list(given)
-        stuck.clear()
+        moved = True
+        keep = (own != giver) & (own != taker)
+        added: list[tuple[int, int, int]] = []
         for b in (giver, taker):
             fill[b] = int(lengths[bins[b]].sum()) if bins[b] else 0
+            stuck[b] = False
             if fill[b] in (0, capacity):
-                live.discard(b)
+                live[b] = False
                 offers.pop(b, None)
             else:
                 offers[b] = _amounts(bins[b], lengths)
+                added += _rows(b, offers[b])
+        more = np.array(added, np.int64).reshape(-1, 3).T
+        back, own, pair = (np.concatenate([x[keep], y]) for x, y in zip((back, own, pair), more))
     return [items for items in bins if items]
 
 
+def _rows(b: int, offered: dict[int, tuple[int, ...]]) -> list[tuple[int, int, int]]:
+    return [(0, b, 0), *((amount, b, int(len(items) == 2)) for amount, items in offered.items())]
+
+
 def _pack_frame(rows: np.ndarray, lengths: np.ndarray, base: int, capacity: int) -> pd.DataFrame:
     bins = local_search(best_fit(lengths, capacity), lengths, capacity)
     order = np.concatenate([np.asarray(b, np.int64) for b in bins])
