@@ -1,9 +1,9 @@
 """Exact top-k search of binary codes by incremental multi-index hashing (operator 10).
 
 A vector's code is the signs of its components. Equal codes are one (with the smallest ids that an
-answer can need). A code is cut into about 64 / log2(number of codes) segments and stands once per
+answer can need). A code is cut into segments of about log2(number of codes) - 2 bits and stands once per
 segment in the index. For a query all segment values within a radius are looked up, the radius growing
-by one bit, segment by segment where that is many values, and only the new values being joined. When
+by one bit, segment by segment where that is many values, and only the new values being joined, with codes no farther than the kth held so far. When
 the first a of m segments have been looked up to radius r and the others to r - 1, every code within
 m * r + a - 1 bits has been met, so a query whose kth verified distance is within that is
 done; ties at that distance are then complete too. Rounds join queries that are not done with the
@@ -39,8 +39,8 @@ def sign_code(vec: Column) -> Column:
 
 
 def _segments(codes: int, dims: int) -> list[tuple[int, int]]:
-    """(first bit, width) of segments of about log2(codes) bits each, between 4 and 16."""
-    wanted = min(16, max(4, round(math.log2(max(2, codes)))))
+    """(first bit, width) of segments of about log2(codes) - 2 bits each, between 4 and 16."""
+    wanted = min(16, max(4, round(math.log2(max(2, codes))) - 2))
     parts = max(1, min(dims, math.ceil(dims / wanted)))
     edges = [dims * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
@@ -77,25 +77,29 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     need = F.least(F.lit(k + 1), F.size("ids"))
     best = None
     done = None
-    active = asked
+    active = asked.withColumn("bound", F.lit(64))
     rounds = _rounds(len(segments), widest)
     for radius, part, covered in rounds:
         flips = masks.where(F.col("ones") == radius).select("mask")
-        looked_up = probes.where(F.col("segment").isin(part)).join(active, "query", "left_semi").join(flips, F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("width")))
-        met = looked_up.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).join(index, ["segment", "value"]).select("query", "code").distinct()
-        verified = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
-        held = verified if best is None else best.join(active, "query", "left_semi").unionByName(verified).distinct()
+        looked_up = probes.where(F.col("segment").isin(part)).join(active, "query").join(flips, F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("width")))
+        probed = looked_up.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        verified = probed.join(index, ["segment", "value"]).where(distance <= F.col("bound")).select("query", "code", distance.alias("distance")).distinct()
+        held = verified if best is None else best.join(active.select("query"), "query", "left_semi").unionByName(verified).distinct()
         # k + 1 rows by distance and smallest id hold the answer of every query with this code.
         ranked = held.join(codes.select("code", "ids"), "code").withColumn("least", F.col("ids")[0])
         order = Window.partitionBy("query").orderBy("distance", "least")
         ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).withColumn("enough", need)
         best = stored(ranked.select("query", "code", "distance", "enough"))
-        sums = best.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("enough")).otherwise(0)).alias("sure"))
+        sums = best.groupBy("query").agg(
+            F.sum(F.when(F.col("distance") <= covered, F.col("enough")).otherwise(0)).alias("sure"), F.when(F.sum("enough") >= k + 1, F.max("distance")).otherwise(64).alias("bound")
+        )
         ready = sums.where((F.col("sure") >= k + 1) | F.lit(covered >= dims or (radius, part, covered) == rounds[-1])).select("query")
         finished = best.join(ready, "query", "left_semi")
         done = finished if done is None else done.unionByName(finished)
         best = best.select("query", "code", "distance")
-        active = stored(active.join(ready, "query", "left_anti"))
+        # Only codes as near as the farthest one held can still come in.
+        active = stored(active.select("query").join(ready, "query", "left_anti").join(sums.select("query", "bound"), "query", "left").select("query", F.coalesce("bound", F.lit(64)).alias("bound")))
         if active.isEmpty():
             break
     hits = queries.withColumnRenamed("code", "query").join(done.select("query", "code", "distance"), "query").join(codes, "code")
