@@ -1,0 +1,463 @@
+"""The operators on documents with odd cases and against brute-force versions."""
+
+from __future__ import annotations
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+import xxhash
+from llm_by_hand import lines_by_hand
+from pyspark.sql import functions as F
+
+from medialake.llm import ann, golay, hamming_search, language, licenses, line_dedup, lm_score, mixing, near_copies, packing, personal_data, simhash
+from medialake.llm.tokens import ChunkTokenizer, chunk_tokenizer, slices, vocabulary_path
+from medialake.plans.shared import table
+
+DATA = "/root/testdata/sf0.001"
+
+
+def by_id(frame, *columns):
+    found = collections.defaultdict(list)
+    for r in frame.collect():
+        found[r[0]].append(tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]])
+    return found
+
+
+# 1: packing
+
+
+@pytest.mark.parametrize("alphabet", ["abcABC'éÉßÀñ.,;:!?-% 12\n\t<|>endoftext", "İΣσςＡ́ẞ\x0b\x1c \x85ŉǰa'S t"])
+def test_chunks_give_the_tokenizers_ids(alphabet):
+    tokenizer, draw = ChunkTokenizer(vocabulary_path("word_bpe_49k.json")), random.Random(5)
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    counts, flat = tokenizer.encode(pa.array(texts))
+    at = 0
+    for text, n in zip(texts, counts):
+        assert tokenizer.tokenizer.encode(text, add_special_tokens=False).ids == flat[at : at + n].tolist()
+        at += n
+
+
+def test_slices_cover_all_rows():
+    texts = pa.array(["x" * n for n in (0, 5, 100, 3, 0, 50)])
+    assert [s for s in slices(texts, 60)] == [(0, 2), (2, 1), (3, 3)]
+
+
+def check_packing(found: pd.DataFrame, capacity: int):
+    found = found.sort_values(["sequence_id", "offset"])
+    ends = found["offset"] + found["length"]
+    assert ((ends.groupby(found["sequence_id"]).shift(fill_value=0)) == found["offset"]).all() and ends.max() <= capacity
+
+
+def test_packing_of_odd_documents(spark, documents, no_documents):
+    found = packing.pack_documents(documents).toPandas()
+    check_packing(found, 2048)
+    tokenizer = chunk_tokenizer(vocabulary_path("word_bpe_49k.json")).tokenizer
+    wanted = collections.Counter()
+    for r in documents.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            piece = ids[k : k + 2048]
+            wanted[(r["doc_id"], k // 2048, k, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()))] += 1
+    rows = packing.pack_documents(documents).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert collections.Counter(map(tuple, rows)) == wanted
+    assert packing.pack_documents(no_documents).isEmpty()
+
+
+def test_sequences_hold_the_pieces_ids(spark):
+    docs = table(spark, DATA, "documents").where("doc_id < 30")
+    placed = packing.pack_documents(docs)
+    sequences = packing.build_sequences(docs, placed).collect()
+    lengths = dict(placed.groupBy("sequence_id").agg(F.sum("length")).collect())
+    assert {r["sequence_id"]: len(r["ids"]) for r in sequences} == lengths
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_keeps_items_and_reaches_the_bound(seed):
+    draw = np.random.default_rng(seed)
+    parts = []
+    for _ in range(12):  # sequences that fill up exactly
+        cuts = np.sort(draw.choice(np.arange(1, 100), draw.integers(1, 5), replace=False))
+        parts += np.diff(np.r_[0, cuts, 100]).tolist()
+    lengths = np.array(draw.permutation(parts))
+    bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(lengths[b].sum() <= 100 for b in bins) and len(bins) <= 13
+    single = [[i] for i in range(len(lengths))]
+    assert len(packing.local_search(single, lengths, 100)) <= len(lengths) * 2 // 3
+
+
+def test_exchanges_empty_a_sequence_that_best_fit_leaves():
+    lengths = np.array([6, 5, 4, 4, 3, 3, 3, 2])  # best fit: 6 4 | 5 4 | 3 3 3 | 2; two sequences of 10 and one of 10 hold all
+    started = [[0, 3], [1, 2], [4, 5, 6], [7]]
+    ended = packing.local_search([list(b) for b in started], lengths, 10)
+    assert len(ended) == 3 and all(lengths[b].sum() == 10 for b in ended)
+
+
+# 2: line dedup
+
+
+def test_line_dedup_of_odd_documents(documents, no_documents):
+    found = line_dedup.dedup_lines(documents)
+    assert [c for c in documents.columns if c not in found.columns] == [] and len(found.columns) == len(set(found.columns))
+    wanted = lines_by_hand([(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in found.collect()) == wanted
+    assert sum(n * k[3] for k, n in wanted.items()) == 5
+    assert line_dedup.dedup_lines(no_documents).isEmpty()
+
+
+def test_line_keys_lower_only_ascii(spark):
+    lines = ["É" + "a" * 40, "é" + "A" * 40]
+    docs = spark.createDataFrame([(k, lines[0]) for k in range(5)] + [(9, lines[1])], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 9: 0}
+
+
+# 3: licenses
+
+
+def test_licenses_of_odd_documents(documents, no_documents):
+    found = by_id(licenses.scan_licenses(documents), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert found[1] == found[2] == found[3] == [(0, 0, None, None, "", "", 0.0)]
+    assert found[13][0][1:] == (2, 12, 15, "cc-by,reserved", "cc-by,reserved", 1.0)
+    assert found[5][0][0] == 30_000 and len(found[6]) == 2
+    assert licenses.scan_licenses(no_documents).isEmpty()
+
+
+def test_every_base_place_is_found(spark):
+    draw = random.Random(4)
+    vocabulary = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "the", "Cc", "BY,", "licensed", "under"]
+    docs = [(k, " ".join(draw.choice(vocabulary) for _ in range(60))) for k in range(120)]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, text in docs:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(label, i) for label, phrase in (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")) for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = sorted(i for _, i in places)
+        r = found[k]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _ in places})))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+
+
+def test_notices_need_their_key_phrases(spark):
+    docs = [(1, "Licensed under the Apache License, Version 2.0."), (2, "licensed under the apache licence version 2 0"), (3, "This work is licensed under the GNU General Public License, version 3.")]
+    found = by_id(licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")), "labels")
+    assert found == {1: ["apache-2.0"], 2: [""], 3: ["gpl,gpl-3.0"]}
+
+
+# 4: mixing
+
+
+def targets_by_hand(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(most * sizes[s] for s in capped)
+        free = [s for s in names if s not in capped]
+        share = {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return share | {s: most * sizes[s] for s in capped}
+        capped |= over
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_meets_its_targets(spark, seed):
+    draw = random.Random(seed)
+    docs = [(k, "w " * draw.randint(0, 60), draw.choice(["a", "b", "c", "d", None] + ["e"] * (seed * 9))) for k in range(3000)]
+    found = mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), bucket_rows=500).toPandas()
+    sizes = collections.Counter()
+    for _, text, source in docs:
+        sizes[source] += len(text.split())
+    for source, target in targets_by_hand(dict(sizes)).items():
+        rows = found[found["source"].isna()] if source is None else found[found["source"] == source]
+        assert math.isclose(rows["target"].iloc[0], target, rel_tol=1e-9) and (rows["source_size"] == sizes[source]).all()
+        assert abs(rows["taken"].sum() - target) <= 60 and (rows["taken"] <= 3 * rows["size"]).all()
+        kept = rows[(rows["size"] > 0) & (rows["rate"] < 3 - 1e-9)]
+        if len(kept) > 2:  # exponentially tilted: the logarithm of the rate is linear in size
+            ratio = np.log(kept["rate"]) / kept["size"]
+            assert np.allclose(ratio, ratio.iloc[0], rtol=1e-6, atol=1e-12)
+
+
+def test_mix_of_odd_documents(documents, no_documents):
+    first, second = ([tuple(r) for r in mixing.mix_sources(documents).select("doc_id", "size", "taken", "target").collect()] for _ in range(2))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(first, key=key) == sorted(second, key=key) and len(first) == documents.count()
+    assert mixing.mix_sources(no_documents).isEmpty()
+    mixed = mixing.mixed_documents(documents)
+    assert mixed.columns == documents.columns and mixing.mixed_documents(no_documents).isEmpty()
+    taken = collections.Counter()
+    for r in mixing.mix_sources(documents).collect():
+        taken[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +taken
+
+
+# 5: language
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    hidden = docs.withColumn("known", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    found = language.identify(language.document_rows(hidden, "doc_id", "known")).where("declared is null").toPandas()
+    assert len(found) > 300 and (found["language"] == found["known"]).mean() > 0.98 and found["accepted"].mean() > 0.98
+
+
+def test_declared_languages_and_hosts_settle_short_texts(spark):
+    long_texts = [(k, t, la, f"{la}.example.org") for k, (t, la) in enumerate([("the quick brown fox and the lazy dog", "en"), ("der schnelle braune fuchs und der hund", "de")] * 40)]
+    short = [(1000, "ok", "de", "de.example.org"), (1001, "up", None, "en.example.org"), (1002, "12 34", "en", "en.example.org"), (1003, None, "en", None)]
+    rows = spark.createDataFrame(long_texts + short, "doc_id long, text string, declared string, host string").withColumn("suffix", F.lit(None).cast("string"))
+    found = by_id(language.identify(rows), "language", "accepted")
+    assert found[1000] == [("de", True)] and found[1001] == [("en", True)]
+    assert not found[1002][0][1] and not found[1003][0][1]
+
+
+def test_language_of_odd_documents(documents, no_documents):
+    found = by_id(language.identify(language.document_rows(documents, "doc_id")), "accepted")
+    assert not any(found[1] + found[2] + found[3]) and all(found[6])
+    kept = language.accepted_documents(documents)
+    assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 8, 13}
+    assert language.accepted_documents(no_documents).isEmpty()
+
+
+def test_pages_give_their_evidence(spark):
+    html = '<html lang="fr-CA"><script>var the = 1</script><p>bonjour <b>le</b> monde</p></html>'
+    row = language.page_rows(spark.createDataFrame([(1, "https://www.site.fr/fr/x?y", html)], "page_id long, url string, html string"), "page_id").first()
+    assert (row["declared"], row["host"], row["suffix"]) == ("fr-CA", "www.site.fr", "fr/fr") and row["text"].split() == ["bonjour", "le", "monde"]
+
+
+# 6: nearest neighbours
+
+
+def vectors(spark, seed=1, n=700, dims=16):
+    draw = np.random.default_rng(seed)
+    found = [(k, [float(x) for x in draw.normal(size=dims)]) for k in range(n)]
+    found += [(n + k, found[7][1]) for k in range(40)]  # copies
+    odd = [(5000, None), (5020, [0.0] * dims), (5040, [float("nan")] * dims), (5060, [float("inf")] + [0.0] * (dims - 1)), (5080, [None] * dims), (5100, [1.0]), (None, [1.0] * dims)]
+    return spark.createDataFrame(found + odd, "vec_id long, embedding array<double>"), dict(found)
+
+
+def test_neighbours_are_the_nearest(spark):
+    frame, known = vectors(spark)
+    found = by_id(ann.nearest(frame, shard=300), "rank", "vec_id", "score")
+    ids = np.array(list(known))
+    exact = np.array(list(known.values()))
+    hits = 0
+    assert set(found) == {i for i in known if i % 20 == 0}
+    for query, rows in found.items():
+        scores = exact @ exact[query]
+        order = [int(i) for i in ids[np.lexsort((ids, -scores))] if i != query][:20]
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, 21)) and rows == sorted(rows, key=lambda r: (-r[2], r[1]))
+        assert all(math.isclose(r[2], scores[r[1]], rel_tol=1e-12, abs_tol=1e-12) for r in rows)
+        hits += len({r[1] for r in rows} & set(order))
+    assert hits >= 0.95 * 20 * len(found)
+
+
+def test_few_vectors_give_all_candidates(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {k: [v[1] for v in sorted(rows)] for k, rows in by_id(ann.nearest(frame), "rank", "vec_id").items()} == {0: [3, 20], 20: [3, 0]}
+    assert ann.nearest(frame.where("vec_id > 90")).isEmpty()
+
+
+# 7: simhash
+
+
+def test_near_fingerprints_share_a_golay_number():
+    draw = np.random.default_rng(3)
+    words = draw.integers(0, 1 << 23, 4000)
+    assert np.array_equal(np.bincount(golay.nearest_codeword(), minlength=4096), np.full(4096, 2048))
+    for flips in (1, 2):
+        other = words.copy()
+        for k in range(len(words)):
+            for bit in draw.choice(23, flips, replace=False):
+                other[k] ^= 1 << bit
+        mine, theirs = golay.nearby_codewords(words, 23), golay.nearby_codewords(other, 23)
+        assert all(set(a) & set(b) for a, b in zip(mine.tolist(), theirs.tolist()))
+
+
+def print_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_components_of_fingerprints(spark, documents, no_documents, bucket):
+    draw, docs, k = random.Random(bucket), [], 100
+    for _ in range(12):
+        base = [f"w{draw.randint(0, 999)}" for _ in range(400)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(draw.randint(0, 3)):
+                words[draw.randrange(400)] = f"x{draw.randint(0, 999)}"
+            docs.append((k, " ".join(words)))
+            k += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    rows = [(r["doc_id"], print_by_hand(r["text"])) for r in frame.collect()]
+    prints = sorted({fp for _, fp in rows})
+    parent = {fp: fp for fp in prints}
+
+    def root(fp):
+        while parent[fp] != fp:
+            fp = parent[fp]
+        return fp
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    least = {}
+    for i, fp in rows:
+        if i is not None:
+            least[root(fp)] = min(i, least.get(root(fp), i))
+    found = simhash.near_duplicates(frame, bucket=bucket).collect()
+    wanted = collections.Counter((i, fp, least.get(root(fp))) for i, fp in rows)
+    assert collections.Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found) == wanted
+    assert simhash.near_duplicates(no_documents).isEmpty()
+
+
+@pytest.mark.parametrize("bucket", [6, 2])
+def test_near_copies_leave_one_of_each(spark, documents, no_documents, bucket):
+    draw, docs, k = random.Random(8), [], 100
+    for size in (3, 10, 60):
+        base = [f"w{draw.randint(0, 9999)}" for _ in range(200)]
+        for _ in range(size):
+            words = list(base)
+            words[draw.randrange(200)] = f"x{draw.randint(0, 999)}"
+            docs.append((k, " ".join(words), "en", "a", 1))
+            k += 1
+    docs += [(k + j, " ".join(f"v{draw.randint(0, 9999)}" for _ in range(80)), "en", "a", 1) for j in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one_of_each(frame, bucket=bucket).collect())
+    assert kept == [100, 103, 113, *range(173, 223)]
+    odd = near_copies.keep_one_of_each(documents, bucket=bucket)
+    assert odd.columns == documents.columns
+    # 10, 11 and 12 are short texts of similarity 0.75 to 0.86: they may stay or go but for the first.
+    assert {r["doc_id"] or 0 for r in odd.collect()} - {11, 12} == {0, 1, 4, 5, 6, 8, 9, 10, 13}
+    assert near_copies.keep_one_of_each(no_documents).isEmpty()
+
+
+def test_blocks_link_all_similar_sets():
+    draw = np.random.default_rng(2)
+    base = np.arange(100)
+    sets = [np.unique(np.r_[base[draw.random(100) > 0.06], draw.integers(1000, 9999, 3)]).astype(np.uint32) for _ in range(40)] + [np.arange(5000, 5050, dtype=np.uint32)]
+    similar = [(i, j) for i in range(41) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(links):
+        parent = list(range(41))
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return {frozenset(k for k in range(41) if root(k) == r) for r in set(map(root, range(41)))}
+
+    whole = near_copies.block_links(sets, sets, True, 0.8)
+    assert groups(whole) == groups(similar) and len(whole) < 41
+    half = [(i, 20 + j) for i, j in near_copies.block_links(sets[:20], sets[20:], False, 0.8)]
+    inside = near_copies.block_links(sets[:20], sets[:20], True, 0.8) + [(20 + i, 20 + j) for i, j in near_copies.block_links(sets[20:], sets[20:], True, 0.8)]
+    assert groups(half + inside) == groups(similar)
+
+
+# 8: personal data
+
+
+def base_by_hand(text):
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        total = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits)))
+        found += [("card", *m.span())] * (13 <= len(digits) <= 19 and total % 10 == 0)
+    return found + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_are_those_of_the_patterns():
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choice("ab@@..+-%01 2345() é\n:/\u0660") for _ in range(draw.randint(0, 40)))
+        assert [s for s in personal_data.personal_spans(text) if s[0] in personal_data.BASE_KINDS] == base_by_hand(text)
+    assert [s[0] for s in personal_data.personal_spans("4111 1111 1111 1111 and 0" + "1" * 14)] == ["card"]
+    assert len(personal_data.personal_spans("9" * 100_000 + "@")) == 0
+
+
+def test_spans_beyond_the_base():
+    text = 'IBAN: DE89 3704 0044 0532 0130 00, token = "0123456789", see https://a.b/c.'
+    assert [(k, text[a:b]) for k, a, b in personal_data.personal_spans(text)] == [("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "0123456789"), ("url", "https://a.b/c")]
+
+
+def test_personal_data_of_odd_documents(documents, no_documents):
+    found = by_id(personal_data.find_personal_data(documents), "spans")
+    assert found[1] == found[2] == [[]] and [s["kind"] for s in found[13][0]] == ["email", "phone"]
+    assert personal_data.find_personal_data(no_documents).isEmpty()
+    assert by_id(personal_data.redact(documents.select("doc_id", "text")), "text")[13] == ["mail <email> or call <phone>, all rights reserved, cc by 4.0"]
+
+
+# 9: language models
+
+
+def test_scores_are_those_of_the_models(spark):
+    docs = table(spark, DATA, "documents")
+    labels = table(spark, DATA, "labels").select("doc_id", (F.col("quality") == 1).alias("target"))
+    texts = [(r["doc_id"], lm_score.words_of(r["text"])) for r in docs.collect()]
+    wanted = {r["doc_id"] for r in labels.collect() if r["target"]}
+    counts = collections.Counter(w for _, ws in texts for w in ws)
+    known = {w for w, n in counts.items() if n >= 5}
+    chains = [(i, ["<e>", *(w if w in known else "<u>" for w in ws), "<e>"]) for i, ws in texts]
+    size, back = len(known) + 2, 2.0
+    pairs = [collections.Counter(p for i, c in chains if all_ or i in wanted for p in zip(c, c[1:])) for all_ in (False, True)]
+    kept = {p for p, n in pairs[1].items() if n >= 5}
+
+    def loss(model, a, b, context, single, total):
+        share = (single[b] + 1) / (total + size)
+        return -math.log(((model[a, b] if (a, b) in kept else 0) + back * share) / (context[a] + back))
+
+    tables = []
+    for model in pairs:
+        context, single = collections.Counter(), collections.Counter()
+        for (a, b), n in model.items():
+            context[a] += n
+            single[b] += n
+        tables.append((model, context, single, sum(single.values())))
+    found = {r["doc_id"]: r for r in lm_score.score_documents(docs, labels).collect()}
+    for i, chain in chains[:60]:
+        means = [sum(loss(m, a, b, c, s, t) for a, b in zip(chain, chain[1:])) / (len(chain) - 1) for m, c, s, t in tables]
+        assert math.isclose(found[i]["target_loss"], means[0], rel_tol=1e-4) and math.isclose(found[i]["score"], means[0] - means[1], abs_tol=2e-3)
+
+
+def test_scores_of_odd_documents(spark, documents, no_documents):
+    labels = spark.createDataFrame([(6, True), (6, False), (8, None), (None, True)], "doc_id long, target boolean")
+    found = by_id(lm_score.score_documents(documents, labels), "n_tokens", "score")
+    assert found[1][0][0] == 1 and len(found[6]) == 2 and all(math.isfinite(s) for rows in found.values() for _, s in rows)
+    assert lm_score.score_documents(no_documents, labels).isEmpty()
+    assert lm_score.score_documents(documents, labels.where("false")).count() == documents.count()
+
+
+# 10: exact top k
+
+
+@pytest.mark.parametrize("dims", [9, 16, 64])
+def test_top_k_is_exact(spark, dims):
+    frame, known = vectors(spark, dims, 500, dims)
+    code = {i: sum(1 << k for k, x in enumerate(v) if x >= 0) for i, v in known.items()}
+    found = by_id(hamming_search.top_k(frame, 10, 100), "rank", "vec_id", "distance")
+    assert set(found) == {i for i in known if i % 100 == 0}
+    for query, rows in found.items():
+        wanted = sorted(((code[query] ^ c).bit_count(), i) for i, c in code.items() if i != query)[:10]
+        assert sorted(rows) == [(k + 1, i, d) for k, (d, i) in enumerate(wanted)]
+
+
+def test_top_k_of_few(spark):
+    frame = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in hamming_search.top_k(frame).collect()] == [(0, 1, 1, 1)]
+    assert hamming_search.top_k(frame.where("vec_id > 5")).isEmpty()
