@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from llm_by_hand import lines_by_hand
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from medialake.llm import near_copies, queries  # noqa: E402
-from medialake.plans.shared import table  # noqa: E402
+import corpus_pipeline
+from medialake.llm import near_copies, queries
+from medialake.plans.shared import table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,8 +18,6 @@ def test_query_gives_the_rows_of_its_sql(spark, same_rows, name):
 
 
 def test_stages_by_hand(spark):
-    from llm_by_hand import lines_by_hand
-
     docs = table(spark, DATA, "documents")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
