@@ -1,16 +1,17 @@
 """One document of each group of near copies (operator 7 as a filtering step).
 
 Two documents are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. A wide SimHash over a document's distinct words finds them: few edits change few words, so near
-copies differ in few bits. Documents with the same words in a row are one from the start. The fingerprint
-is cut into ``TABLES`` pieces of ``EXACT`` + 23 bits; a key is a table, its exact bits and a Golay
-codeword number near its last 23 bits, so that a piece may differ in two of those. Pairs that meet
-under a key are verified by exact similarity.
-
-In a bucket of up to ``bucket`` documents all pairs are candidates. Larger buckets are done exactly without
-such pairs: documents that share a large bucket, directly or through others, are a family; a family is
-dealt into blocks of about ``BLOCK`` documents, and two blocks at a time meet in a task, which counts
-common shingles by an inverted list and gives back only links that join what it had not joined yet.
+more. Documents with the same words in a row are one from the start. An exact prefix filter finds the
+others: shingles have one order for all documents, rarest first, and of two near copies the larger one's first
+n - 0.8 n + 1 shingles and the smaller one's first n - 2 * 0.8 / 1.8 n + 1 have one in common, so no
+pair is missed. The order comes from counts in a bounded sample; it decides how many candidates there
+are, never which near copies are found. Candidates whose places in the order leave too few shingles in
+common are dropped and the others verified by exact similarity.
+
+Only links that connect groups are wanted. Shingles of more than ``bucket`` documents therefore first link their
+documents to one representative each, ``STARS`` times; then only pairs of documents that are not connected yet are
+candidates there, in salted parts. A crowded shingle of near copies costs its documents, not its pairs;
+one of documents that share it without being similar costs the pairs that the filters leave.
 
 Defined results: null, empty and blank texts are copies of each other; texts of fewer than five words
 have one shingle of all words; rows that share a doc_id are one document, of which one row stays; rows
@@ -19,101 +20,124 @@ with a null doc_id all stay; an empty table gives an empty result; columns are k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.golay import distinct_in_rows, nearby_codewords
 from medialake.operators.graph import connected_components
 from medialake.plans.shared import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 9
-EXACT = 16
-WORDS = 6  # of 64 bits in a fingerprint
-#: Bits in which fingerprints of near copies differ at most; twice what 0.8 makes likely.
-BITS = 52
-#: Documents of a bucket up to which all its pairs are verified one by one, and of a block of a family.
+#: Documents of the sample whose shingle counts order all shingles, and fewest of them for a count.
+SAMPLE = 10_000
+SAMPLE_COUNT = 3
+#: Documents of a shingle up to which all its pairs are candidates at once, rounds of representatives beyond, documents of a salted part.
 BUCKET = 6
-BLOCK = 768
-
-_STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-
-
-def _spread(values: np.ndarray) -> np.ndarray:
-    """Independent 64-bit words from sums, by the finalizer of splitmix64."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+STARS = 2
+PART = 1024
 
 
-def wide_simhash(words: list[bytes]) -> np.ndarray:
-    """64 * WORDS bits, each set in over half of the distinct words' hashes."""
-    own = set(words)
-    if not own:
-        return np.zeros(WORDS, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, own), np.uint64, len(own))
-    ones = np.zeros(64 * WORDS, np.int64)
-    for part in range(0, len(hashes), 8192):
-        bits = np.unpackbits(_spread(hashes[part : part + 8192, None] + _STEPS).view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles."""
+    words = (text or "").encode().lower().split()
+    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(run)) for run in runs), np.uint32))
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        same, prints = [], []
+        same, sets = [], []
         for text in batch.column(1):
             words = (text.as_py() or "").encode().lower().split()
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            prints.append(wide_simhash(words))
-        flat = pa.array(np.concatenate(prints)) if prints else pa.array([], pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * WORDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], names=["doc", "same", "fp"])
+            sets.append(shingle_set(text.as_py()).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], names=["doc", "same", "shingles"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs = batch.column(0).to_numpy()
-        prints = batch.column(1).flatten().to_numpy().reshape(-1, WORDS)
-        width = EXACT + 23
-        for part in range(0, len(docs), 10_000):
-            own = docs[part : part + 10_000]
-            bits = np.unpackbits(np.ascontiguousarray(prints[part : part + 10_000]).view(np.uint8), axis=1, bitorder="little")
-            for t in range(TABLES):
-                exact = bits[:, t * width : t * width + EXACT].astype(np.int64) @ (1 << np.arange(EXACT))
-                fuzzy = bits[:, t * width + EXACT : (t + 1) * width].astype(np.int64) @ (1 << np.arange(23))
-                rows, numbers = distinct_in_rows(nearby_codewords(fuzzy, 23))
-                keys = (np.int64(t) << 40) | (exact[rows] << 12) | numbers.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows])], names=["key", "doc"])
+def _sample_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, documents of the sample it stands in) of the shingles that are common there."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles."""
-    words = (text or "").encode().lower().split()
-    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(run)) for run in runs), np.uint32))
+    parts = max(1, sets.count() // SAMPLE)
+    some = sets.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(parts)) == 0).select("shingles")
+    common = some.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT).toArrow().sort_by("token")
+    return common.column("token").to_numpy().astype(np.uint32), common.column("n").to_numpy()
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+def in_order(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``tokens`` by their count in the sample (zero where they are not common), then by themselves."""
+    rank = np.zeros(len(tokens), np.uint64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, counts[at], 0).astype(np.uint64)
+    return tokens[np.argsort(rank << np.uint64(32) | tokens, kind="stable")]
+
 
+def prefix_size(n: int, least: float) -> int:
+    """Shingles of ``n`` of which one is shared when ``least * n`` are."""
+    return n - max(1, math.ceil(least * n - 1e-9)) + 1
 
-def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fingerprints are near enough to be worth an exact look."""
-    near = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) <= BITS
-    left = prints.select(F.col("doc").alias("a"), F.col("fp").alias("fp_a"))
-    right = prints.select(F.col("doc").alias("b"), F.col("fp").alias("fp_b"))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, doc, n, place, indexed): the first shingles of each document; ``indexed`` those for partners of its size or more."""
+    shared = sets.sparkSession.sparkContext.broadcast(_sample_counts(sets))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for part in range(0, len(docs), 256):
+                tokens, sizes, lengths, shorts = [], [], [], []
+                for one in batch.column(1).slice(part, 256):
+                    own = np.frombuffer(one.as_py(), np.uint32)
+                    n = len(own)
+                    tokens.append(in_order(own, *shared.value)[: prefix_size(n, similarity)])
+                    sizes.append(n)
+                    lengths.append(len(tokens[-1]))
+                    shorts.append(prefix_size(n, 2 * similarity / (1 + similarity)))
+                place = np.concatenate([np.arange(k) for k in lengths])
+                columns = [np.concatenate(tokens).astype(np.int64), np.repeat(docs[part : part + 256], lengths), np.repeat(np.array(sizes, np.int32), lengths), place.astype(np.int32), place < np.repeat(shorts, lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "n", "place", "indexed"])
+
+    return sets.select("doc", "shingles").mapInArrow(take, "token long, doc long, n int, place int, indexed boolean")
+
+
+def _candidates(probes: DataFrame, indexed: DataFrame, on: list[str], similarity: float, other: list[str]) -> DataFrame:
+    """Pairs (a, b), b no larger than a, that meet at a shingle after which enough can still be common."""
+    left = probes.select(*on, F.col("doc").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in other])
+    right = indexed.where("indexed").select(*on, F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in other])
+    met = left.join(right, on).where("(na > nb or na = nb and a < b)").where(F.col("nb") >= similarity * F.col("na") - 1e-6)
+    for c in other:
+        met = met.where(F.col(f"{c}_a") != F.col(f"{c}_b"))
+    both = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return met.where(both >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
+
+
+def _crowded_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all near copies among the documents of crowded shingles."""
+    links, rest = None, crowded.withColumn("group", F.col("doc"))
+    for round_ in range(STARS):
+        first = rest.groupBy("token").agg(F.min_by(F.struct("doc", "n", "group"), F.xxhash64("doc", F.lit(round_))).alias("r"))
+        stars = rest.join(first, "token").where(F.col("group") != F.col("r.group")).where(F.least("n", "r.n") >= similarity * F.greatest("n", "r.n") - 1e-6)
+        found = stored(_verified(stars.select(F.least("doc", "r.doc").alias("a"), F.greatest("doc", "r.doc").alias("b")).distinct(), sets, similarity))
+        links = found if links is None else links.unionByName(found)
+        groups = connected_components(links, "a", "b").select(F.col("node").alias("doc"), "component")
+        named = rest.drop("group", "count").join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
+        several = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("count")).where("low <> high")
+        rest = stored(named.join(several.select("token", "count"), "token").select(*crowded.columns, "group", "count"))
+    parts = rest.withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
+    probes = parts.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    indexed = parts.where("indexed").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return links.unionByName(_verified(_candidates(probes, indexed, ["token", "part"], similarity, ["group"]), sets, similarity))
 
 
 def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,39 +188,17 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], same: bool, sim
     return links
 
 
-def _family_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) within families of documents that share crowded buckets (key, doc)."""
-    first = crowded.groupBy("key").agg(F.min("doc").alias("b"))
-    shared = crowded.join(first, "key").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b").distinct()
-    families = connected_components(shared, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    parts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = families.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).join(sets, "doc")
-    blocks = stored(dealt.groupBy("family", "block").agg(F.collect_list("doc").alias("docs"), F.collect_list("shingles").alias("sets")))
-    other = blocks.select("family", F.col("block").alias("other"), F.col("docs").alias("other_docs"), F.col("sets").alias("other_sets"))
-
-    def compare(key: tuple, met: pd.DataFrame) -> pd.DataFrame:
-        row = met.iloc[0]
-        left, right = ([np.frombuffer(x, np.uint32) for x in row[c]] for c in ("sets", "other_sets"))
-        found = block_links(left, right, key[1] == key[2], similarity)
-        return pd.DataFrame({"a": [row["docs"][i] for i, _ in found], "b": [row["other_docs"][j] for _, j in found]}, dtype="int64")
-
-    return blocks.join(other, "family").where("block <= other").groupBy("family", "block", "other").applyInPandas(compare, "a long, b long")
-
-
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(doc, same: every doc_id and the first doc_id with the same words; node, component of those with near copies)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    found = stored(texts.mapInArrow(_prints, "doc long, same binary, fp array<long>"))
-    distinct = stored(found.groupBy("same").agg(F.min("doc").alias("doc"), F.first("fp").alias("fp")))
-    prints = distinct.select("doc", "fp").dropDuplicates(["doc"])
-    keys = prints.mapInArrow(_keys, "key long, doc long")
-    members = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    small, crowded = members.where(F.col("n") <= bucket), members.where(F.col("n") > bucket).select("key", "doc")
-    pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    close = stored(_close(pairs, prints))
-    asked = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).unionByName(crowded.select("doc")).distinct()
-    sets = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingles, "doc long, shingles binary"))
-    links = _verified(close, sets, similarity).unionByName(_family_links(crowded, sets, similarity))
+    found = stored(texts.mapInArrow(_shingles, "doc long, same binary, shingles binary"))
+    distinct = stored(found.groupBy("same").agg(F.min("doc").alias("doc")))
+    sets = stored(found.join(distinct, ["same", "doc"], "left_semi").select("doc", "shingles").dropDuplicates(["doc"]))
+    prefixes = stored(_prefixes(sets, similarity))
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("count"), F.max("indexed").alias("any")).where("count > 1 and any").select("token", "count")
+    members = stored(prefixes.join(shared, "token"))
+    small, crowded = members.where(F.col("count") <= bucket).drop("count"), members.where(F.col("count") > bucket).drop("count")
+    links = _verified(stored(_candidates(small, small, ["token"], similarity, [])), sets, similarity).unionByName(_crowded_links(crowded, sets, similarity))
     return found.join(distinct.select("same", F.col("doc").alias("first")), "same").select("doc", F.col("first").alias("same")), connected_components(links, "a", "b")
 
 

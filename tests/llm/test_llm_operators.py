@@ -344,6 +344,39 @@ def test_near_copies_leave_one_of_each(spark, documents, no_documents, bucket):
     assert near_copies.keep_one_of_each(no_documents).isEmpty()
 
 
+@pytest.mark.parametrize("bucket", [6, 2])
+def test_near_copies_of_every_edit_are_found(spark, bucket):
+    """Passages appended, cut off or scattered edits, similarity just above and below 0.8; a shingle that many share."""
+    draw, texts = random.Random(11), []
+    for n in (40, 120, 400):
+        for _ in range(25):
+            base = [f"w{draw.randint(0, 10**7)}" for _ in range(n)]
+            more = [f"w{draw.randint(0, 10**7)}" for _ in range(int(n * draw.uniform(0.12, 0.27)))]
+            spread = list(base)
+            for at in draw.sample(range(n), max(1, int(n * draw.uniform(0.01, 0.025)))):
+                spread[at] = f"x{draw.randint(0, 10**7)}"
+            cut = base[: int(n * draw.uniform(0.78, 0.9))]
+            texts += [" ".join(t) for t in draw.sample([base, draw.choice([base + more, cut, spread])], 2)]
+    head = [f"h{j}" for j in range(60)]
+    texts += [" ".join(head + [f"w{draw.randint(0, 10**7)}" for _ in range(draw.choice([5, 14, 60]))]) for _ in range(60)]
+    texts += [" ".join(head[j:] + head[:j]) for j in range(0, 60, 2)]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for b in range(len(sets)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(frame, bucket=bucket).collect()) == [i for i in range(len(sets)) if root(i) == i]
+
+
 def test_blocks_link_all_similar_sets():
     draw = np.random.default_rng(2)
     base = np.arange(100)
