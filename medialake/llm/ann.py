@@ -32,7 +32,7 @@ SHARD = 8192
 BLOCK = 2048
 DEGREE = 16
 CANDIDATES = 64
-BEAM = 64
+BEAM = 96
 
 INDEX = "shard int, vectors binary, ids binary, counts binary, layers array<struct<members:binary,neighbours:binary>>, dims int"
 HITS = "query_id long, vec_id long, score double"

@@ -259,6 +259,18 @@ def test_neighbours_are_the_nearest(spark):
     assert hits >= 0.95 * 20 * len(found)
 
 
+def test_beam_finds_the_nearest_of_queries_from_other_shards():
+    """Queries that are no points of the graph, as most are where there are many shards, against brute force."""
+    points = np.random.default_rng(4).standard_normal((4296, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    queries, points = points[:200], points[200:]
+    layers = ann.build_graph(np.c_[points, np.zeros(len(points))].astype(np.float32))
+    wanted = np.argsort(-(queries @ points.T), axis=1, kind="stable")[:, :20]
+    found = ann.search_graph(points, layers, queries, ann.BEAM)
+    hits = sum(len(np.intersect1d(sorted(f[f >= 0], key=lambda k: -(points[k] @ q))[:20], w)) for f, q, w in zip(found, queries, wanted))
+    assert hits >= 0.985 * wanted.size
+
+
 def test_few_vectors_give_all_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert {k: [v[1] for v in sorted(rows)] for k, rows in by_id(ann.nearest(frame), "rank", "vec_id").items()} == {0: [3, 20], 20: [3, 0]}
