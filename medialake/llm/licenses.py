@@ -2,10 +2,10 @@
 
 The templates are short public notices and the base phrases. A first job counts, over all documents,
 in how many each template word stands; the words' inverse document frequencies decide which few words
-of each template are indexed. A second job looks up each file's highest-IDF indexed words, meets the
+of each template are indexed. A second job looks up every indexed word of each file, meets the
 template postings by relative position (place in the file less place in the template), compares the
 whole template at each place where enough of them agree, and verifies its mandatory key phrases there.
-Base phrases are templates all of whose words are mandatory and whose rarest word is always looked up,
+Base phrases are templates all of whose words are mandatory and whose rarest word is indexed,
 so every place of theirs is found. The driver only gets one count per template word.
 
 Defined results: a null or empty text has no words, no places and score 0; rows that repeat get equal
@@ -60,9 +60,8 @@ TEMPLATES = (
     _notice("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     _notice("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-#: Words of a template that are indexed, words of a file that are looked up, and least part of a template that must agree.
+#: Words of a template that are indexed, and least part of a template that must agree.
 INDEXED = 4
-LOOKED_UP = 12
 COVERAGE = 0.75
 
 #: A-Z to a-z; every other byte that ends a word to a blank.
@@ -97,25 +96,20 @@ class RareTokenIndex:
         self.templates = [(t.label, [w.encode() for w in t.words], [[w.encode() for w in p] for p in t.phrases], t.base) for t in templates]
         rarity = {w.encode(): (frequency.get(w, 0), w) for t in templates for w in t.words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        always = set()
         for number, (_, words, _, base) in enumerate(self.templates):
             rare = sorted(set(words), key=rarity.__getitem__)[: 1 if base else INDEXED]
-            always.update(rare if base else ())
             for place, word in enumerate(words):
                 if word in rare:
                     self.postings[word].append((number, place))
-        self.always = frozenset(always)
-        self.rarity = {w: rarity[w] for w in self.postings}
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, first word in the file, part that agrees) of every accepted place."""
         present = self.postings.keys() & set(words)
         if not present:
             return []
-        chosen = set(sorted(present, key=self.rarity.__getitem__)[:LOOKED_UP]) | (present & self.always)
         votes: Counter = Counter()
         for at, word in enumerate(words):
-            if word in chosen:
+            if word in present:
                 votes.update((number, at - place) for number, place in self.postings[word])
         found = []
         for (number, start), agreed in votes.items():

@@ -150,6 +150,13 @@ def test_notices_need_their_key_phrases(spark):
     assert found == {1: ["apache-2.0"], 2: [""], 3: ["gpl,gpl-3.0"]}
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    text = " filler words between ".join(" ".join(t.words) for t in licenses.TEMPLATES)
+    frame = spark.createDataFrame([(1, text), (2, "copy charge domain forms modify mozilla affero lesser apache permitted unencumbered"), (3, text)], "doc_id long, text string")
+    found = by_id(licenses.scan_licenses(frame), "labels")
+    assert set(found[1][0].split(",")) == set(found[3][0].split(",")) == {t.label for t in licenses.TEMPLATES} and found[2] == [""]
+
+
 # 4: mixing
 
 
