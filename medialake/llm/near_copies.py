@@ -1,21 +1,25 @@
 """One document of each group of near copies (operator 7 as a filtering step).
 
 Two documents are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. Documents with the same words in a row are one from the start. An exact prefix filter finds the
-others: shingles have one order for all documents, rarest first, and of two near copies the larger one's first
-n - 0.8 n + 1 shingles and the smaller one's first n - 2 * 0.8 / 1.8 n + 1 have one in common, so no
-pair is missed. The order comes from counts in a bounded sample; it decides how many candidates there
-are, never which near copies are found. Candidates whose places in the order leave too few shingles in
-common are dropped and the others verified by exact similarity.
-
-Only links that connect groups are wanted. Shingles of more than ``bucket`` documents therefore first link their
-documents to one representative each, ``STARS`` times; then only pairs of documents that are not connected yet are
-candidates there, in salted parts. A crowded shingle of near copies costs its documents, not its pairs;
-one of documents that share it without being similar costs the pairs that the filters leave.
+more. Documents with the same words in a row are one from the start. Operator 7's SimHash and Golay keys,
+over the five-word shingles, propose pairs whose fingerprints differ in two bits at most; that finds
+close copies at once but cannot find all at 0.8, whose fingerprints differ in about ten bits of 64. An
+exact prefix filter finds the others: shingles have one order for all documents, rarest first, and of two
+near copies the larger one's first n - 0.8 n + 1 shingles and the smaller one's first n - 2 * 0.8 / 1.8 n
++ 1 have one in common, so no pair is missed. The order comes from counts in a bounded sample; it decides
+how many candidates there are, never which near copies are found. Candidates whose places in the order
+leave too few shingles in common are dropped, the others are verified on the shingles of their texts.
+
+Only links that connect groups are wanted. Documents of a shingle that more than ``bucket`` share are therefore
+first compared with one representative each, in rounds, until the pairs of documents that are not
+connected yet are few or a round connects nothing; then those pairs are candidates, in salted parts. A crowded
+shingle of near copies costs its documents a round, not its pairs; one of documents that share it without being
+similar costs the pairs that the filters leave.
 
 Defined results: null, empty and blank texts are copies of each other; texts of fewer than five words
-have one shingle of all words; rows that share a doc_id are one document, of which one row stays; rows
-with a null doc_id all stay; an empty table gives an empty result; columns are kept as they are.
+have one shingle of all words; rows that share a doc_id are one document that is linked if one of its texts is
+and goes if a link leads to a smaller id or all its texts are copies of smaller ids', and of which one row stays;
+rows with a null doc_id all stay; an empty table gives an empty result; columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,187 +30,205 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from medialake.llm import simhash
+from medialake.llm.membership import packed_by_ids, rows_of_ids
 from medialake.operators.graph import connected_components
 from medialake.plans.shared import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Documents of the sample whose shingle counts order all shingles, and fewest of them for a count.
+#: Documents of the sample whose shingle counts order all shingles, fewest of them for a count, and most shingles that get a count.
 SAMPLE = 10_000
 SAMPLE_COUNT = 3
-#: Documents of a shingle up to which all its pairs are candidates at once, rounds of representatives beyond, documents of a salted part.
+ORDERED = 1_000_000
+#: Documents of a shingle up to which all its pairs are candidates at once, documents of a salted part.
 BUCKET = 6
-STARS = 2
 PART = 1024
+#: Rounds of representatives go on while more pairs than this are left for each row of a crowded shingle.
+PAIRS_A_ROW = 8
+ROUNDS = 12
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles."""
-    words = (text or "").encode().lower().split()
-    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(run)) for run in runs), np.uint32))
+    """Sorted distinct 64-bit hashes of the word shingles; a text without words has one of its own."""
+    found = np.unique(simhash.shingle_hashes(text or "", shingle))
+    return found if len(found) else np.zeros(1, np.uint64)
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same, sets = [], []
-        for text in batch.column(1):
-            words = (text.as_py() or "").encode().lower().split()
-            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            sets.append(shingle_set(text.as_py()).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], names=["doc", "same", "shingles"])
+def in_order(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(``tokens`` by their count in the sample, zero where they are not common, then by themselves; how many are not common)."""
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, counts[at], 0)
+    return tokens[np.lexsort((tokens, rank))], int((rank == 0).sum())
 
 
-def _sample_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def prefix_size(n: int, least: float) -> int:
+    """Shingles of ``n`` of which one is shared when ``least * n`` are."""
+    return n - max(1, math.ceil(least * n - 1e-9)) + 1
+
+
+def _sample_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, documents of the sample it stands in) of the shingles that are common there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+            for part in range(0, batch.num_rows, 64):
+                tokens, n = np.unique(np.concatenate([shingle_set(t.as_py()) for t in batch.column(0).slice(part, 64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    parts = max(1, sets.count() // SAMPLE)
-    some = sets.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(parts)) == 0).select("shingles")
-    common = some.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT).toArrow().sort_by("token")
-    return common.column("token").to_numpy().astype(np.uint32), common.column("n").to_numpy()
+    parts = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(parts)) == 0).select("text")
+    counted = some.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT)
+    common = counted.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
+    tokens, n = common.column("token").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
 
 
-def in_order(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``tokens`` by their count in the sample (zero where they are not common), then by themselves."""
-    rank = np.zeros(len(tokens), np.uint64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        rank = np.where(common[at] == tokens, counts[at], 0).astype(np.uint64)
-    return tokens[np.argsort(rank << np.uint64(32) | tokens, kind="stable")]
+def _distinct(texts: DataFrame, similarity: float) -> DataFrame:
+    """A row for each row of words: first doc, n shingles, fp, prefix (in order) and how many of all shingles are ``rare``."""
+    shared = texts.sparkSession.sparkContext.broadcast(_sample_counts(texts))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sizes, prints, rares, prefixes = [], [], [], [], []
+            for text in batch.column(1):
+                words = text.as_py() or ""
+                same.append(xxhash.xxh3_128_digest(b" ".join(words.encode().lower().split())))
+                prints.append(simhash.simhash(words, SHINGLE))
+                own = shingle_set(words)
+                ordered, rare = in_order(own, *shared.value)
+                sizes.append(len(own))
+                rares.append(rare)
+                prefixes.append(ordered[: prefix_size(len(own), similarity)].view(np.int64))
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "same", "n", "fp", "rare", "prefix"])
 
-def prefix_size(n: int, least: float) -> int:
-    """Shingles of ``n`` of which one is shared when ``least * n`` are."""
-    return n - max(1, math.ceil(least * n - 1e-9)) + 1
+    found = texts.mapInArrow(read, "doc long, same binary, n int, fp long, rare int, prefix array<long>")
+    first = found.groupBy("same").agg(F.min_by(F.struct("doc", "n", "fp", "rare", "prefix"), "doc").alias("first"))
+    return stored(first.select("first.*"))
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(token, doc, n, place, indexed): the first shingles of each document; ``indexed`` those for partners of its size or more."""
-    shared = sets.sparkSession.sparkContext.broadcast(_sample_counts(sets))
+def _least(share: float, n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(share * n - 1e-9))
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(0).to_numpy()
-            for part in range(0, len(docs), 256):
-                tokens, sizes, lengths, shorts = [], [], [], []
-                for one in batch.column(1).slice(part, 256):
-                    own = np.frombuffer(one.as_py(), np.uint32)
-                    n = len(own)
-                    tokens.append(in_order(own, *shared.value)[: prefix_size(n, similarity)])
-                    sizes.append(n)
-                    lengths.append(len(tokens[-1]))
-                    shorts.append(prefix_size(n, 2 * similarity / (1 + similarity)))
-                place = np.concatenate([np.arange(k) for k in lengths])
-                columns = [np.concatenate(tokens).astype(np.int64), np.repeat(docs[part : part + 256], lengths), np.repeat(np.array(sizes, np.int32), lengths), place.astype(np.int32), place < np.repeat(shorts, lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "n", "place", "indexed"])
-
-    return sets.select("doc", "shingles").mapInArrow(take, "token long, doc long, n int, place int, indexed boolean")
-
-
-def _candidates(probes: DataFrame, indexed: DataFrame, on: list[str], similarity: float, other: list[str]) -> DataFrame:
+
+def _indexed(similarity: float, n: str = "n", place: str = "place") -> Column:
+    """Whether a place belongs to the prefix for partners of its document's size or more."""
+    return F.col(place) < F.col(n) - _least(2 * similarity / (1 + similarity), F.col(n)) + 1
+
+
+def _shared(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(token, doc, n, place, count) of prefix shingles that several documents have, ``count`` of them.
+
+    Shingles that are not common in the sample are counted by a window over one shuffle; common ones, which may be
+    in any part of the documents, by partial sums and a join that can be split.
+    """
+    rows = distinct.select("doc", "n", "rare", F.posexplode("prefix").alias("place", "token"))
+    columns = ["token", "doc", "n", "place"]
+    own = Window.partitionBy("token")
+    few = rows.where("place < rare").select(*columns).withColumns({"count": F.count("*").over(own), "any": F.max(_indexed(similarity)).over(own)})
+    common = rows.where("place >= rare").select(*columns)
+    counts = common.groupBy("token").agg(F.count("*").alias("count"), F.max(_indexed(similarity)).alias("any"))
+    return stored(few.unionByName(common.join(counts, "token")).where("count > 1 and any").drop("any"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], similarity: float, groups: bool) -> DataFrame:
     """Pairs (a, b), b no larger than a, that meet at a shingle after which enough can still be common."""
-    left = probes.select(*on, F.col("doc").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in other])
-    right = indexed.where("indexed").select(*on, F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in other])
-    met = left.join(right, on).where("(na > nb or na = nb and a < b)").where(F.col("nb") >= similarity * F.col("na") - 1e-6)
-    for c in other:
-        met = met.where(F.col(f"{c}_a") != F.col(f"{c}_b"))
-    both = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return met.where(both >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
-
-
-def _crowded_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all near copies among the documents of crowded shingles."""
-    links, rest = None, crowded.withColumn("group", F.col("doc"))
-    for round_ in range(STARS):
-        first = rest.groupBy("token").agg(F.min_by(F.struct("doc", "n", "group"), F.xxhash64("doc", F.lit(round_))).alias("r"))
-        stars = rest.join(first, "token").where(F.col("group") != F.col("r.group")).where(F.least("n", "r.n") >= similarity * F.greatest("n", "r.n") - 1e-6)
-        found = stored(_verified(stars.select(F.least("doc", "r.doc").alias("a"), F.greatest("doc", "r.doc").alias("b")).distinct(), sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-        named = rest.drop("group", "count").join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
-        several = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("count")).where("low <> high")
-        rest = stored(named.join(several.select("token", "count"), "token").select(*crowded.columns, "group", "count"))
-    parts = rest.withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    probes = parts.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    indexed = parts.where("indexed").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return links.unionByName(_verified(_candidates(probes, indexed, ["token", "part"], similarity, ["group"]), sets, similarity))
+    more = ["group"] if groups else []
+    a = left.select(*on, *[F.col(c).alias(f"{c}_a") for c in ["doc", "n", "place", *more]])
+    b = right.where(_indexed(similarity)).select(*on, *[F.col(c).alias(f"{c}_b") for c in ["doc", "n", "place", *more]])
+    met = a.join(b, on).where("(n_a > n_b or n_a = n_b and doc_a < doc_b) and doc_a <> doc_b").where(F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
+    if groups:
+        met = met.where("group_a <> group_b")
+    both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return met.where(both >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+def _stars(crowded: DataFrame, round_: int, similarity: float) -> DataFrame:
+    """Pairs of documents of crowded shingles with the representative of the shingle."""
+    heads = crowded.groupBy("token").agg(F.min_by(F.struct("doc", "n", "place", "group"), F.xxhash64("doc", F.lit(round_))).alias("head")).select("token", "head.*")
+    return _met(crowded, heads, ["token"], similarity, True).unionByName(_met(heads, crowded, ["token"], similarity, True))
+
+
+def _simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents that operator 7 links: same fingerprints with their first document, near ones by their first documents."""
+    prints = stored(distinct.groupBy("fp").agg(F.min("doc").alias("head")))
+    same = distinct.join(prints, "fp").where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    linked = simhash.links(prints).join(prints.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(prints.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
+    return same.unionByName(linked.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
-def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches ``similarity``."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches ``similarity``; only texts of documents in pairs are moved."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, last, x = [], None, np.zeros(0)
             for one, other in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(one.as_py(), np.uint32), np.frombuffer(other.as_py(), np.uint32)
+                if last is None or one != last:
+                    last, x = one, shingle_set(one.as_py())
+                y = shingle_set(other.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = close.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-
-
-def block_links(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float) -> list[tuple[int, int]]:
-    """Pairs (place in ``left``, place in ``right``) of similar sets, enough to connect all that are connected.
-
-    ``same``: both are the same block. Sets are sorted distinct numbers.
-    """
-    sizes = np.fromiter(map(len, left), np.int64, len(left))
-    tokens, owners = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]
-    parent = list(range(len(left) + (0 if same else len(right))))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    links = []
-    for j, own in enumerate(right):
-        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-        counts = high - low
-        ends = np.cumsum(counts)
-        hits = owners[np.repeat(low - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        both = np.bincount(hits, minlength=len(left))
-        for i in np.flatnonzero((both > 0) & (both >= similarity * (sizes + len(own) - both))).tolist():
-            a, b = root(i), root(j if same else len(left) + j)
-            if a != b:
-                parent[b] = a
-                links.append((i, j))
-    return links
-
-
-def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(doc, same: every doc_id and the first doc_id with the same words; node, component of those with near copies)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    found = stored(texts.mapInArrow(_shingles, "doc long, same binary, shingles binary"))
-    distinct = stored(found.groupBy("same").agg(F.min("doc").alias("doc")))
-    sets = stored(found.join(distinct, ["same", "doc"], "left_semi").select("doc", "shingles").dropDuplicates(["doc"]))
-    prefixes = stored(_prefixes(sets, similarity))
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("count"), F.max("indexed").alias("any")).where("count > 1 and any").select("token", "count")
-    members = stored(prefixes.join(shared, "token"))
-    small, crowded = members.where(F.col("count") <= bucket).drop("count"), members.where(F.col("count") > bucket).drop("count")
-    links = _verified(stored(_candidates(small, small, ["token"], similarity, [])), sets, similarity).unionByName(_crowded_links(crowded, sets, similarity))
-    return found.join(distinct.select("same", F.col("doc").alias("first")), "same").select("doc", F.col("first").alias("same")), connected_components(links, "a", "b")
+    close = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    involved = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
+    # One row for each text of a document, however often it is repeated.
+    own = stored(rows_of_ids(texts, "doc", involved).dropDuplicates(["doc", "text"]))
+    joined = close.join(own.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    return stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+
+
+def _unconnected(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
+    """(rows of crowded shingles whose documents are not all connected, with their ``group``; pairs left for each row)."""
+    groups = connected_components(links, "a", "b").select(F.col("node").alias("doc"), "component")
+    named = crowded.drop("group").join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
+    sizes = named.groupBy("token", "group").agg(F.count("*").cast("double").alias("own")).groupBy("token").agg(F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("inside"), F.count("*").alias("groups"))
+    several = stored(sizes.where("groups > 1"))
+    rows, pairs = several.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2)).first()
+    return stored(named.join(several.select("token"), "token")), (pairs or 0.0) / max(rows or 0.0, 1.0)
+
+
+def near_copy_links(texts: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(first documents of each row of words, links (a, b) that connect all near copies among them). ``texts`` has doc and text."""
+    distinct = _distinct(texts, similarity)
+    members = _shared(distinct, similarity)
+    small, crowded = members.where(F.col("count") <= bucket), members.where(F.col("count") > bucket).withColumn("group", F.col("doc"))
+    links = _verified(_met(small, small, ["token"], similarity, False).unionByName(_stars(crowded, 0, similarity)).unionByName(_simhash_pairs(distinct)), texts, similarity)
+    rest, left = _unconnected(crowded, links)
+    for round_ in range(1, ROUNDS):
+        if left <= PAIRS_A_ROW:
+            break
+        found = _verified(_stars(rest, round_, similarity), texts, similarity)
+        links, before = links.unionByName(found), left
+        rest, left = _unconnected(rest, links)
+        if left == before:
+            break
+    parts = rest.withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
+    probes = parts.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    index = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return distinct.select("doc"), links.unionByName(_verified(_met(probes, index, ["token", "part"], similarity, True), texts, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with only the smallest doc_id of each group of near copies."""
-    same, groups = near_copy_groups(docs, similarity, bucket)
-    firsts = same.select(F.col("same").alias("doc")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    firsts, links = near_copy_links(texts, similarity, bucket)
+    groups = connected_components(links, "a", "b")
     later = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias("doc"))
-    kept = firsts.join(later, "doc", "left_anti").select(F.col("doc").alias("doc_id"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    counted = texts.groupBy("doc").agg(F.count("*").alias("rows"))
+    kept = firsts.distinct().join(later, "doc", "left_anti").withColumn("kept", F.lit(True))
+    # Ids that go, or of which one row stays: only their rows are moved.
+    moved = stored(counted.join(kept, "doc", "left").where("kept is null or rows > 1").select("doc", "kept"))
+    some, others = packed_by_ids(docs, "doc_id", moved.select("doc"))
+    met = some.join(moved.select(F.col("doc").alias("id"), F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(True).alias("moved")), "id", "left")
+    untouched = others.select("own").unionByName(met.where("moved is null").select("own"))
+    return untouched.unionByName(met.where("kept").dropDuplicates(["id"]).select("own")).select("own.*")

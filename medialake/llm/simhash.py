@@ -39,20 +39,31 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 KEYS = "key long, fp long"
 
 
-def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits, each set in over half of the hashes of the text's word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the text's word shingles, repeats included; of all words where they are fewer; none without words."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
-    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
+        return np.zeros(0, np.uint64)
+    row = b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], stops[:-1] + 1])
+    wide = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(run), seed) for run in runs), np.uint64)
+    return np.fromiter((digest(row[a:b], seed) for a, b in zip(begins[: len(words) - wide].tolist(), stops[wide:].tolist())), np.uint64, len(words) - wide)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """64 bits, each set in over half of the hashes; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return bits_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 

@@ -396,29 +396,14 @@ def test_near_copies_of_every_edit_are_found(spark, bucket):
     assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(frame, bucket=bucket).collect()) == [i for i in range(len(sets)) if root(i) == i]
 
 
-def test_blocks_link_all_similar_sets():
-    draw = np.random.default_rng(2)
-    base = np.arange(100)
-    sets = [np.unique(np.r_[base[draw.random(100) > 0.06], draw.integers(1000, 9999, 3)]).astype(np.uint32) for _ in range(40)] + [np.arange(5000, 5050, dtype=np.uint32)]
-    similar = [(i, j) for i in range(41) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
-
-    def groups(links):
-        parent = list(range(41))
-
-        def root(k):
-            while parent[k] != k:
-                k = parent[k]
-            return k
-
-        for a, b in links:
-            parent[root(a)] = root(b)
-        return {frozenset(k for k in range(41) if root(k) == r) for r in set(map(root, range(41)))}
-
-    whole = near_copies.block_links(sets, sets, True, 0.8)
-    assert groups(whole) == groups(similar) and len(whole) < 41
-    half = [(i, 20 + j) for i, j in near_copies.block_links(sets[:20], sets[20:], False, 0.8)]
-    inside = near_copies.block_links(sets[:20], sets[:20], True, 0.8) + [(20 + i, 20 + j) for i, j in near_copies.block_links(sets[20:], sets[20:], True, 0.8)]
-    assert groups(half + inside) == groups(similar)
+def test_one_row_of_a_repeated_id_stays(spark):
+    """Rows of an id that goes all go, one row of an id that stays; clashing columns are kept."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "x"), (1, text + " more", "y"), (2, text, "x"), (2, text, "x"), (3, "other words entirely", "z"), (3, "other words entirely", "z"), (None, text, "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumn("kept", F.lit(1)).withColumn("doc", F.lit(2))
+    found = near_copies.keep_one_of_each(frame)
+    assert found.columns == frame.columns
+    assert sorted((r["doc_id"] or 0) for r in found.collect()) == [0, 1, 3]
 
 
 # 8: personal data
