@@ -2,159 +2,210 @@
 
 Target and background models are word bigrams with back-off to unigrams over one shared vocabulary.
 The background is every document, the target the documents that a label marks. All counts cover all
-documents: words and bigrams are counted in tasks and summed by shuffles that grow with the corpus.
-Words and bigrams that are few, or whose share of the background is below a cutoff, are an unknown word
-and a backed-off bigram, so the finished models have at most 1 / cutoff entries at any size; that bound is what makes it
-safe to bring them to the driver and broadcast them. A document's score is the mean over its tokens (an
-end sign included) of target loss less background loss, in nats: lower is more like the target.
+documents: words and bigrams are counted in tasks and summed by shuffles, and the models stay Spark tables that
+grow with the corpus. A word or bigram has an entry if it occurs ``WORD_COUNT`` or ``BIGRAM_COUNT`` times, at any
+size of the corpus; other words are one unknown word, other bigrams are backed off.
+
+A token's loss is the sum of its word's loss, its context's back-off and, where the bigram has an entry, a
+correction. A document's loss is therefore a sum of table entries, one for each of its words and
+bigrams. The ``TOP`` most frequent entries, which is a bound on their number, are broadcast; a document looks up the
+others by a join on the entry, for which a Bloom filter of fixed size keeps what has no entry out of the shuffle.
+The score is the mean over a document's tokens (an end sign included) of target loss less background loss, in nats:
+lower is more like the target.
 
 Defined results: a null or empty text is one end sign; documents without a label, or with a null one,
 are background only; a document with several labels is target if any marks it; rows that repeat count
 once each and get equal scores; null doc_ids are kept and are background; without target documents
-every target probability is uniform; an empty table gives an empty result; other columns are ignored.
+every target count is zero; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialake.llm.membership import filter_bits, packed_by_ids, passes
 from medialake.llm.tokens import slices
 from medialake.plans.shared import stored
 
-#: Least share of all tokens for a word and for a bigram to have an entry.
-WORD_SHARE = 2e-6
-BIGRAM_SHARE = 5e-7
 #: Fewest occurrences for an entry, so that no document is scored by entries that it made alone.
 WORD_COUNT = 5
 BIGRAM_COUNT = 5
 #: Weight of the unigram in each bigram context.
 BACK_OFF = 2.0
-#: Numbers of the unknown word and of the sign that begins and ends a text.
-UNKNOWN, EDGE = 0, 1
+#: Most entries that are broadcast.
+TOP = 1_000_000
+#: The sign that begins and ends a text, as a word's hash, and what stands for the word of a word entry.
+EDGE, NO_WORD = 1, 0
+
+ENTRIES = "key long, word long, n long, t long"
+SCORED = "row long, doc_id long, key long, m long, n_tokens long, target double, background double"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_hash(word: str | bytes) -> int:
+    """64 bits of a word (signed)."""
+    found = xxhash.xxh64_intdigest(word, 9)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of two hashes in order."""
+    mixed = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
+
+
+def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, hashes of the distinct words, number of each word among them)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = parts.offsets.to_numpy()
+    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(real)])
+    counts = np.diff(before[offsets - offsets[0]])
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    hashes = np.fromiter(map(word_hash, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    return counts, hashes, coded.indices.to_numpy().astype(np.int64)
+
+
+def _bigrams(counts: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) of every token by number; an edge, which ends each text too, has the number after the last word."""
+    ends = np.cumsum(counts)
+    edge = len(hashes)
+    return np.insert(codes, ends - counts, edge), np.insert(codes, ends, edge)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(0)
+        texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for first, rows in slices(texts):
-            seen: Counter = Counter()
-            for text in texts.slice(first, rows):
-                seen.update(words_of(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-
-def _numbers(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each text with its end sign, numbers in a row with an edge before each text too)."""
-    counts, flat = [], []
-    for text in texts:
-        words = words_of(text.as_py())
-        counts.append(len(words) + 1)
-        flat.append(EDGE)
-        flat.extend(map(vocabulary.get, words, repeat(UNKNOWN)))
-        flat.append(EDGE)
-    return np.array(counts, np.int64), np.array(flat, np.int64)
-
-
-def _bigrams(counts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) of every token: all pairs but those that cross from one text to the next."""
-    inside = np.ones(len(flat) - 1, bool) if len(flat) else np.zeros(0, bool)
-    inside[np.cumsum(counts + 1)[:-1] - 1] = False
-    return flat[:-1][inside], flat[1:][inside]
-
-
-class Models:
-    """Losses of both models by unigram, context and bigram; everything is bounded by the cutoffs."""
-
-    def __init__(self, vocabulary: dict[bytes, int], keys: np.ndarray, both: np.ndarray, words: np.ndarray, contexts: np.ndarray):
-        size = len(vocabulary) + 2
-        self.vocabulary, self.size = vocabulary, size
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        total = words.sum(axis=1, keepdims=True)
-        share = (words + 1) / (total + size)  # models x words
-        self.unigram = -np.log(share).astype(np.float32)
-        self.back_off = -np.log(BACK_OFF / (contexts + BACK_OFF)).astype(np.float32)
-        context, word = np.divmod(self.keys, size)
-        self.bigram = -np.log((both[:, order] + BACK_OFF * share[:, word]) / (contexts[:, context] + BACK_OFF)).astype(np.float32)
-
-    def losses(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """(2, tokens): target and background loss of each token."""
-        found = self.back_off[:, context] + self.unigram[:, word]
-        if len(self.keys):
-            wanted = context * np.int64(self.size) + word
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[at] == wanted
-            found[:, hit] = self.bigram[:, at[hit]]
-        return found
-
-
-def fit(docs: DataFrame, labels: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE, word_count: int = WORD_COUNT, bigram_count: int = BIGRAM_COUNT) -> Models:
-    """Both models. ``labels`` has doc_id and target (boolean)."""
-    spark = docs.sparkSession
+            counts, hashes, codes = _read(texts.slice(first, rows))
+            context, word = _bigrams(counts, hashes, codes)
+            target = np.repeat(marks[first : first + rows], counts + 1)
+            size = len(hashes) + 1
+            own = np.append(hashes, EDGE)
+            pairs, place = np.unique(context * size + word, return_inverse=True)
+            n = np.concatenate([np.bincount(word, minlength=size), np.bincount(place, minlength=len(pairs))])
+            t = np.concatenate([np.bincount(word[target], minlength=size), np.bincount(place[target], minlength=len(pairs))])
+            last = own[pairs % size]
+            keys = np.concatenate([own, bigram_key(own[pairs // size], last)])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, np.concatenate([np.full(size, NO_WORD), last]), n, t)], names=["key", "word", "n", "t"])
+
+
+def _with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, target of every document; only texts whose id a filter takes for a target's are moved."""
+    marked = labels.where(F.col("target")).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = stored(texts.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    tokens = counted.agg(F.sum("n")).first()[0] or 0
-    kept = counted.where(F.col("n") >= max(word_count, word_share * tokens)).select("word").orderBy("word").toArrow().column("word")
-    vocabulary = {w: k + 2 for k, w in enumerate(kept.to_pylist())}
-    size = len(vocabulary) + 2
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, rows in slices(texts):
-                counts, flat = _numbers(texts.slice(first, rows), shared.value)
-                context, word = _bigrams(counts, flat)
-                keys, place = np.unique(context * np.int64(size) + word, return_inverse=True)
-                target = np.repeat(marks[first : first + rows], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.bincount(place, minlength=len(keys)).astype(np.int64)), pa.array(np.bincount(place[target], minlength=len(keys)).astype(np.int64))], names=["key", "n", "t"]
-                )
-
-    marked = labels.where(F.col("target")).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    # A merge join at every size: labels grow with the corpus, so they are not broadcast even where they would fit.
-    joined = texts.join(marked.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    bigrams = stored(joined.mapInArrow(count, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    total = bigrams.agg(F.sum("n")).first()[0] or 0
-    often = bigrams.where(F.col("n") >= max(bigram_count, bigram_share * total)).toArrow()
-    keys = often.column("key").to_numpy()
-    both = np.stack([often.column("t").to_numpy(), often.column("n").to_numpy()]).astype(np.float64)
-    sums = []
-    for number in (F.col("key") % size, F.floor(F.col("key") / size)):  # by word, by context: at most ``size`` rows
-        by = bigrams.groupBy(number.cast("long").alias("number")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
-        table = np.zeros((2, size))
-        table[:, by.column("number").to_numpy()] = np.stack([by.column("t").to_numpy(), by.column("n").to_numpy()])
-        sums.append(table)
-    return Models(vocabulary, keys, both, *sums)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, **cutoffs: float) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means in nats) and score (their difference). ``cutoffs`` as in fit."""
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **cutoffs))
+    some, others = packed_by_ids(texts, "doc_id", marked)
+    met = some.join(marked.withColumn("target", F.lit(True)), "id", "left").select("own.text", F.coalesce("target", F.lit(False)).alias("target"))
+    return met.unionByName(others.select("own.text", F.lit(False).alias("target")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, word_count: int = WORD_COUNT, bigram_count: int = BIGRAM_COUNT) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """(entries: key, n, target, background; what every document and every token adds to (target, background) loss).
+
+    ``labels`` has doc_id and target (boolean). A word's entry is its loss and back-off less the unknown word's loss.
+    """
+    if bigram_count < word_count:
+        raise ValueError("a bigram's entry needs entries of its words: bigram_count must be word_count at least")
+    summed = _with_target(docs, labels).mapInArrow(_counts, ENTRIES).groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    # A text's end has an entry however few texts there are.
+    often = (F.col("word") != NO_WORD) & (F.col("n") >= bigram_count) | (F.col("word") == NO_WORD) & ((F.col("n") >= word_count) | (F.col("key") == EDGE))
+    known = (F.col("word") == NO_WORD).alias("is_word")
+    kept = stored(summed.select("key", "word", "n", "t", known).where(often | F.col("is_word")))
+    words = kept.where("is_word")
+    is_known = (F.col("n") >= word_count) & (F.col("key") != EDGE)
+    of = words.agg(
+        *[F.sum(c).alias(f"all_{c}") for c in "nt"], *[F.sum(F.when(~is_known & (F.col("key") != EDGE), F.col(c))).alias(f"unknown_{c}") for c in "nt"],
+        *[F.sum(F.when(F.col("key") == EDGE, F.col(c))).alias(f"edge_{c}") for c in "nt"], F.count(F.when(is_known, True)).alias("known"),
+    ).first()
+    size = of["known"] + 2
+
+    def share(c: str):
+        return (F.col(c) + 1.0) / ((of[f"all_{c}"] or 0) + size)
+
+    unknown, edge = {}, {}
+    for c in "nt":
+        total, back = (of[f"all_{c}"] or 0) + size, of[f"edge_{c}"] or 0
+        unknown[c] = -math.log(((of[f"unknown_{c}"] or 0) + 1) / total)
+        edge[c] = -math.log((back + 1) / total) - math.log(BACK_OFF / (back + BACK_OFF))
+    by_word = words.where(is_known).select("key", "n", *[(-F.log(share(c)) - F.log(BACK_OFF / (F.col(c) + BACK_OFF)) - unknown[c]).alias(name) for c, name in (("t", "target"), ("n", "background"))])
+    shares = words.where(is_known | (F.col("key") == EDGE)).select(F.col("key").alias("word"), *[share(c).alias(f"share_{c}") for c in "nt"])
+    pairs = kept.where(~F.col("is_word")).join(shares, "word")
+    by_pair = pairs.select("key", "n", *[(-F.log1p(F.col(c) / (BACK_OFF * F.col(f"share_{c}")))).alias(name) for c, name in (("t", "target"), ("n", "background"))])
+    return stored(by_word.unionByName(by_pair)), {"token": (unknown["t"], unknown["n"]), "document": (edge["t"], edge["n"])}
+
+
+def _most_frequent(entries: DataFrame, most: int) -> int:
+    """The least count of entries to broadcast, so that at most ``most`` of them have it."""
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    left = most
+    least = 1 << 62
+    for row in entries.groupBy(grade.alias("grade")).agg(F.count("*").alias("many"), F.min("n").alias("least")).orderBy(F.desc("grade")).collect():  # at most 8 rows for each doubling of n
+        left -= row["many"]
+        if left < 0:
+            break
+        least = row["least"]
+    return least
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, word_count: int = WORD_COUNT, bigram_count: int = BIGRAM_COUNT, top: int = TOP) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means in nats) and score (their difference)."""
+    spark = docs.sparkSession
+    entries, adds = fit(docs, labels, word_count, bigram_count)
+    least = _most_frequent(entries, top)
+    frequent = entries.where(F.col("n") >= least).select("key", "target", "background").toArrow().sort_by("key")
+    rest = entries.where(F.col("n") < least).select("key", "target", "background")
+    tables = [frequent.column(c).to_numpy() for c in ("key", "target", "background")]
+    shared = spark.sparkContext.broadcast((*tables, filter_bits(rest.select("key"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, target, background, bits = shared.value
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for first, rows in slices(texts):
-                counts, flat = _numbers(texts.slice(first, rows), models.value.vocabulary)
-                losses = models.value.losses(*_bigrams(counts, flat))
-                means = np.add.reduceat(losses, np.cumsum(counts) - counts, axis=1, dtype=np.float64) / counts
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(counts), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    )
+                counts, hashes, codes = _read(texts.slice(first, rows))
+                context, word = _bigrams(counts, hashes, codes)
+                size = len(hashes) + 1
+                own = np.append(hashes, EDGE)
+                owner = np.repeat(np.arange(rows), counts + 1)
+                pairs, place = np.unique(context * size + word, return_inverse=True)
+                keys = np.concatenate([hashes, bigram_key(own[pairs // size], own[pairs % size])])
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                sums = [counts * adds["token"][k] + adds["document"][k] for k in (0, 1)]
+                each = np.concatenate([codes, len(hashes) + place])
+                of = np.concatenate([np.repeat(np.arange(rows), counts), owner])
+                for k, table in enumerate((target, background)):
+                    if len(known):
+                        sums[k] = sums[k] + np.bincount(of, np.where(hit, table[at], 0.0)[each], minlength=rows)
+                ids, numbers = batch.column(1).slice(first, rows), batch.column(0).slice(first, rows)
+                empty = pa.nulls(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([numbers, ids, empty, empty, pa.array(counts + 1), pa.array(sums[0]), pa.array(sums[1])], names=NAMES)
+                asked = (~hit & passes(bits, keys))[each]
+                asks, m = np.unique(of[asked] * np.int64(len(keys)) + each[asked], return_counts=True)
+                if len(asks):
+                    none, no = pa.nulls(len(asks), pa.int64()), pa.nulls(len(asks), pa.float64())
+                    yield pa.RecordBatch.from_arrays([numbers.take(pa.array(asks // len(keys))), none, pa.array(keys[asks % len(keys)]), pa.array(m.astype(np.int64)), none, no, no], names=NAMES)
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = stored(texts.mapInArrow(score, SCORED))
+    found = scored.where("key is not null").select("row", "key", "m").join(rest, "key")
+    more = found.groupBy("row").agg(*[F.sum(F.col("m") * F.col(c)).alias(f"more_{c}") for c in ("target", "background")])
+    whole = scored.where("key is null").drop("key", "m").join(more, "row", "left")
+    means = [((F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))) / F.col("n_tokens")).alias(f"{c}_loss") for c in ("target", "background")]
+    return whole.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+NAMES = [part.split()[0] for part in SCORED.split(", ")]

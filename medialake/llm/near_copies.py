@@ -8,7 +8,8 @@ exact prefix filter finds the others: shingles have one order for all documents,
 near copies the larger one's first n - 0.8 n + 1 shingles and the smaller one's first n - 2 * 0.8 / 1.8 n
 + 1 have one in common, so no pair is missed. The order comes from counts in a bounded sample; it decides
 how many candidates there are, never which near copies are found. Candidates whose places in the order
-leave too few shingles in common are dropped, the others are verified on the shingles of their texts.
+leave too few shingles in common are dropped, and so are those whose bitmaps (a bit for each shingle's hash)
+show too many shingles that the other has not; the others are verified on the shingles of their texts.
 
 Only links that connect groups are wanted. Documents of a shingle that more than ``bucket`` share are therefore
 first compared with one representative each, in rounds, until the pairs of documents that are not
@@ -51,6 +52,11 @@ PART = 1024
 #: Rounds of representatives go on while more pairs than this are left for each row of a crowded shingle.
 PAIRS_A_ROW = 8
 ROUNDS = 12
+#: A round that leaves more than this part of the pairs is the last.
+PROGRESS = 0.75
+#: 64-bit words of a document's bitmap of shingles.
+WORDS = 8
+BITMAP = [f"bits{k}" for k in range(WORDS)]
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -98,20 +104,24 @@ def _distinct(texts: DataFrame, similarity: float) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, sizes, prints, rares, prefixes = [], [], [], [], []
-            for text in batch.column(1):
+            bitmaps = np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
+            for row, text in enumerate(batch.column(1)):
                 words = text.as_py() or ""
                 same.append(xxhash.xxh3_128_digest(b" ".join(words.encode().lower().split())))
-                prints.append(simhash.simhash(words, SHINGLE))
-                own = shingle_set(words)
+                hashes = simhash.shingle_hashes(words, SHINGLE)
+                prints.append(simhash.bits_of(hashes))
+                own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+                bitmaps[row, (own % np.uint64(64 * WORDS)).astype(np.int64)] = 1
                 ordered, rare = in_order(own, *shared.value)
                 sizes.append(len(own))
                 rares.append(rare)
                 prefixes.append(ordered[: prefix_size(len(own), similarity)].view(np.int64))
             columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "same", "n", "fp", "rare", "prefix"])
+            columns += list(map(pa.array, np.packbits(bitmaps, axis=1).view(np.int64).T.copy()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "same", "n", "fp", "rare", "prefix", *BITMAP])
 
-    found = texts.mapInArrow(read, "doc long, same binary, n int, fp long, rare int, prefix array<long>")
-    first = found.groupBy("same").agg(F.min_by(F.struct("doc", "n", "fp", "rare", "prefix"), "doc").alias("first"))
+    found = texts.mapInArrow(read, "doc long, same binary, n int, fp long, rare int, prefix array<long>, " + ", ".join(f"{b} long" for b in BITMAP))
+    first = found.groupBy("same").agg(F.min_by(F.struct("doc", "n", "fp", "rare", "prefix", *BITMAP), "doc").alias("first"))
     return stored(first.select("first.*"))
 
 
@@ -139,22 +149,48 @@ def _shared(distinct: DataFrame, similarity: float) -> DataFrame:
     return stored(few.unionByName(common.join(counts, "token")).where("count > 1 and any").drop("any"))
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], similarity: float, groups: bool) -> DataFrame:
-    """Pairs (a, b), b no larger than a, that meet at a shingle after which enough can still be common."""
-    more = ["group"] if groups else []
+def _overlap(similarity: float) -> Column:
+    """Shingles that near copies of n_a and n_b have in common at least."""
+    return similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+
+def _bitmaps_allow(similarity: float) -> Column:
+    """Whether few enough bits of each side are missing on the other."""
+
+    def own(of: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(f"{b}_{of}").bitwiseAND(F.bitwise_not(f"{b}_{other}"))) for b in BITMAP[1:]), F.bit_count(F.col(f"{BITMAP[0]}_{of}").bitwiseAND(F.bitwise_not(f"{BITMAP[0]}_{other}"))))
+
+    return (F.col("n_a") - own("a", "b") >= _overlap(similarity)) & (F.col("n_b") - own("b", "a") >= _overlap(similarity))
+
+
+def _allowed(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, whose sizes and bitmaps allow the similarity."""
+    close = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = [distinct.select(F.col("doc").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *BITMAP)]) for side in "ab"]
+    return close.join(sides[0], "a").join(sides[1], "b").where(_bitmaps_allow(similarity)).select("a", "b").distinct()
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], similarity: float, more: list[str]) -> DataFrame:
+    """Pairs (a, b), b no larger than a, that meet at a shingle after which enough can still be common.
+
+    ``more``: columns of both sides; with a group only pairs between groups, with bitmaps only those that they allow.
+    """
     a = left.select(*on, *[F.col(c).alias(f"{c}_a") for c in ["doc", "n", "place", *more]])
     b = right.where(_indexed(similarity)).select(*on, *[F.col(c).alias(f"{c}_b") for c in ["doc", "n", "place", *more]])
     met = a.join(b, on).where("(n_a > n_b or n_a = n_b and doc_a < doc_b) and doc_a <> doc_b").where(F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
-    if groups:
+    if "group" in more:
         met = met.where("group_a <> group_b")
     both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return met.where(both >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    met = met.where(both >= _overlap(similarity))
+    if BITMAP[0] in more:
+        met = met.where(_bitmaps_allow(similarity))
+    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def _stars(crowded: DataFrame, round_: int, similarity: float) -> DataFrame:
     """Pairs of documents of crowded shingles with the representative of the shingle."""
     heads = crowded.groupBy("token").agg(F.min_by(F.struct("doc", "n", "place", "group"), F.xxhash64("doc", F.lit(round_))).alias("head")).select("token", "head.*")
-    return _met(crowded, heads, ["token"], similarity, True).unionByName(_met(heads, crowded, ["token"], similarity, True))
+    return _met(crowded, heads, ["token"], similarity, ["group"]).unionByName(_met(heads, crowded, ["token"], similarity, ["group"]))
 
 
 def _simhash_pairs(distinct: DataFrame) -> DataFrame:
@@ -165,7 +201,7 @@ def _simhash_pairs(distinct: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches ``similarity``; only texts of documents in pairs are moved."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    close = stored(_allowed(pairs, distinct, similarity))
     involved = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
     # One row for each text of a document, however often it is repeated.
     own = stored(rows_of_ids(texts, "doc", involved).dropDuplicates(["doc", "text"]))
@@ -202,20 +238,20 @@ def near_copy_links(texts: DataFrame, similarity: float = SIMILARITY, bucket: in
     distinct = _distinct(texts, similarity)
     members = _shared(distinct, similarity)
     small, crowded = members.where(F.col("count") <= bucket), members.where(F.col("count") > bucket).withColumn("group", F.col("doc"))
-    links = _verified(_met(small, small, ["token"], similarity, False).unionByName(_stars(crowded, 0, similarity)).unionByName(_simhash_pairs(distinct)), texts, similarity)
+    links = _verified(_met(small, small, ["token"], similarity, []).unionByName(_stars(crowded, 0, similarity)).unionByName(_simhash_pairs(distinct)), distinct, texts, similarity)
     rest, left = _unconnected(crowded, links)
     for round_ in range(1, ROUNDS):
         if left <= PAIRS_A_ROW:
             break
-        found = _verified(_stars(rest, round_, similarity), texts, similarity)
+        found = _verified(_stars(rest, round_, similarity), distinct, texts, similarity)
         links, before = links.unionByName(found), left
         rest, left = _unconnected(rest, links)
-        if left == before:
+        if left > PROGRESS * before:
             break
-    parts = rest.withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
+    parts = rest.join(distinct.select("doc", *BITMAP), "doc").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
     probes = parts.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     index = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return distinct.select("doc"), links.unionByName(_verified(_met(probes, index, ["token", "part"], similarity, True), texts, similarity))
+    return distinct.select("doc"), links.unionByName(_verified(_met(probes, index, ["token", "part"], similarity, ["group", *BITMAP]), distinct, texts, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:

@@ -443,20 +443,28 @@ def test_personal_data_of_odd_documents(documents, no_documents):
 # 9: language models
 
 
-def test_scores_are_those_of_the_models(spark):
-    docs = table(spark, DATA, "documents")
+@pytest.mark.parametrize("top", [300, 1_000_000])
+def test_scores_are_those_of_the_models(spark, top):
+    """Every document against counts by hand; thousands of rare words; entries that are broadcast and entries that are looked up."""
+    draw = random.Random(5)
+    docs = table(spark, DATA, "documents").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(10_000 + k, " ".join(f"rare{draw.randint(0, 2500)} and" for _ in range(60))) for k in range(100)], "doc_id long, text string")
+    )
     labels = table(spark, DATA, "labels").select("doc_id", (F.col("quality") == 1).alias("target"))
     texts = [(r["doc_id"], lm_score.words_of(r["text"])) for r in docs.collect()]
     wanted = {r["doc_id"] for r in labels.collect() if r["target"]}
     counts = collections.Counter(w for _, ws in texts for w in ws)
     known = {w for w, n in counts.items() if n >= 5}
+    assert len(counts) - len(known) > 2000
     chains = [(i, ["<e>", *(w if w in known else "<u>" for w in ws), "<e>"]) for i, ws in texts]
     size, back = len(known) + 2, 2.0
     pairs = [collections.Counter(p for i, c in chains if all_ or i in wanted for p in zip(c, c[1:])) for all_ in (False, True)]
-    kept = {p for p, n in pairs[1].items() if n >= 5}
+    kept = {p for p, n in pairs[1].items() if n >= 5 and "<u>" not in p}
 
     def loss(model, a, b, context, single, total):
         share = (single[b] + 1) / (total + size)
+        if a == "<u>":
+            return -math.log(share)
         return -math.log(((model[a, b] if (a, b) in kept else 0) + back * share) / (context[a] + back))
 
     tables = []
@@ -466,10 +474,12 @@ def test_scores_are_those_of_the_models(spark):
             context[a] += n
             single[b] += n
         tables.append((model, context, single, sum(single.values())))
-    found = {r["doc_id"]: r for r in lm_score.score_documents(docs, labels).collect()}
-    for i, chain in chains[:60]:
+    found = {r["doc_id"]: r for r in lm_score.score_documents(docs, labels, top=top).collect()}
+    assert len(found) == len(chains)
+    for i, chain in chains:
         means = [sum(loss(m, a, b, c, s, t) for a, b in zip(chain, chain[1:])) / (len(chain) - 1) for m, c, s, t in tables]
-        assert math.isclose(found[i]["target_loss"], means[0], rel_tol=1e-4) and math.isclose(found[i]["score"], means[0] - means[1], abs_tol=2e-3)
+        assert math.isclose(found[i]["target_loss"], means[0], rel_tol=1e-9) and math.isclose(found[i]["score"], means[0] - means[1], abs_tol=1e-9)
+        assert found[i]["n_tokens"] == len(chain) - 1
 
 
 def test_scores_of_odd_documents(spark, documents, no_documents):
