@@ -14,6 +14,7 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ END_ID = 0
 #: Pieces of a shard, and shards whose underfull sequences are packed again together.
 SHARD_PIECES = 8192
 SHARDS_TOGETHER = 64
+#: Rounds of the local search over all sequences that can still give.
+PASSES = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "row long, sequence_id long, offset long, underfull boolean"
@@ -120,68 +123,113 @@ def _amounts(items: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]
     return found
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+class _Offers:
+    """What underfull sequences could take in, by the room they would then have: room left now and what they give back."""
+
+    def __init__(self, capacity: int):
+        self.rooms: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in range(2)]  # giving back at most one item, two items
+        self.bits = [0, 0]
+        self.version: dict[int, int] = {}
+
+    def put(self, own: int, room: int, amounts: dict[int, tuple[int, ...]]) -> None:
+        version = self.version[own] = self.version.get(own, 0) + 1
+        for back, items in ((0, ()), *amounts.items()):
+            kind, at = int(len(items) == 2), room + back
+            heapq.heappush(self.rooms[kind].setdefault(at, []), (back, own, version))
+            self.bits[kind] |= 1 << at
+
+    def drop(self, own: int) -> None:
+        self.version[own] = self.version.get(own, 0) + 1
+
+    def _least(self, kind: int, at: int, giver: int) -> tuple[int, int] | None:
+        """(amount given back, sequence) with the least amount at a room, of another sequence than the giver."""
+        heap, aside = self.rooms[kind][at], []
+        while heap and (self.version[heap[0][1]] != heap[0][2] or heap[0][1] == giver):
+            top = heapq.heappop(heap)
+            if self.version[top[1]] == top[2]:
+                aside.append(top)
+        found = heap[0][:2] if heap else None
+        for top in aside:
+            heapq.heappush(heap, top)
+        if not heap:
+            self.bits[kind] &= ~(1 << at)
+        return found
+
+    def best(self, giver: int, amount: int, pair: bool, room: int, limit: int) -> tuple[int, int, int] | None:
+        """(gap left, sequence, amount given back) of the closest fit for ``amount`` that raises the sum of squares.
+
+        A sequence with room r that gives back b can take the amount if r + b holds it and the amount is more than b;
+        the sum rises if it then has less room than the giver's ``room`` now. Only gaps below ``limit`` are wanted.
+        """
+        found = None
+        for kind in (0,) if pair else (0, 1):
+            high = amount + min(room, limit if found is None else found[0])
+            left = self.bits[kind] >> amount << amount & (1 << high) - 1
+            while left:
+                at = (left & -left).bit_length() - 1
+                left &= left - 1
+                least = self._least(kind, at, giver)
+                if least and least[0] < amount:
+                    found = (at - amount, least[1], least[0])
+                    break
+        return found
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
     """Moves and exchanges between underfull sequences, each of which raises the sum of squared fills.
 
     The emptiest sequence that still can gives to another: an item (move), an item for a smaller one, two
-    for a smaller one, or one for two smaller ones, by what leaves the least gap. Stops where the bound shows that no sequence can be
-    emptied any more, or where no sequence can give.
+    for a smaller one, or one for two smaller ones, by what leaves the least gap. Offers are found by the room that they
+    leave, so a step's cost follows the capacity and not the number of sequences. Stops where the bound shows that no
+    sequence can be emptied any more, where no sequence can give, or after ``passes`` rounds over all sequences.
     """
-    fill = np.array([int(lengths[items].sum()) for items in bins], np.int64)
-    live = fill < capacity
-    offers = {int(b): _amounts(bins[b], lengths) for b in np.flatnonzero(live)}
-    # What sequences could give back: the amount (0 for a plain move), the sequence, whether it is two items.
-    back, own, pair = (np.array(x, np.int64) for x in zip(*(row for b in offers for row in _rows(b, offers[b])))) if offers else (np.zeros(0, np.int64),) * 3
-    stuck, moved = np.zeros(len(bins), bool), False
-    while int(live.sum()) > -(-int(fill[live].sum()) // capacity):
-        if not (live & ~stuck).any():
-            if not moved:
-                break
-            stuck[:], moved = False, False
-        giver = int(np.where(live & ~stuck, fill, capacity).argmin())
-        room = capacity - fill[own]
-        lead = np.maximum(fill[giver] - fill[own], 0)  # what a taker must gain beyond to raise the sum
-        best = None
-        for amount, given in sorted(offers[giver].items(), reverse=True):
-            gain = amount - back
-            fits = (gain > lead) & (gain <= room) & (own != giver)
-            if len(given) == 2:  # two for two is not among the exchanges
-                fits &= pair == 0
-            if fits.any():
-                left = np.where(fits, room - gain, capacity + 1)
-                k = int(left.argmin())
-                if best is None or left[k] < best[0]:
-                    best = (int(left[k]), given, int(own[k]), int(back[k]))
-                    if best[0] == 0:
+    size = lengths.tolist()
+    fill = [sum(size[i] for i in items) for items in bins]
+    live = {b for b, n in enumerate(fill) if n < capacity}
+    total = sum(fill[b] for b in live)
+    amounts = {b: _amounts(bins[b], lengths) for b in live}
+    offers = _Offers(capacity)
+    for b in live:
+        offers.put(b, capacity - fill[b], amounts[b])
+    for _ in range(passes):
+        queue = [(fill[b], b) for b in live]
+        heapq.heapify(queue)
+        moved = False
+        while queue and len(live) > -(-total // capacity):
+            full, giver = heapq.heappop(queue)
+            if giver not in live or full != fill[giver]:
+                continue
+            room, best, given = capacity - full, None, ()
+            for amount, items in sorted(amounts[giver].items(), reverse=True):
+                found = offers.best(giver, amount, len(items) == 2, room, best[0] if best else capacity)
+                if found:
+                    best, given = found, items
+                    if not best[0]:
                         break
-        if best is None:
-            stuck[giver] = True
-            continue
-        _, given, taker, amount = best
-        returned = offers[taker][amount] if amount else ()
-        bins[giver] = [i for i in bins[giver] if i not in given] + list(returned)
-        bins[taker] = [i for i in bins[taker] if i not in returned] + list(given)
-        moved = True
-        keep = (own != giver) & (own != taker)
-        added: list[tuple[int, int, int]] = []
-        for b in (giver, taker):
-            fill[b] = int(lengths[bins[b]].sum()) if bins[b] else 0
-            stuck[b] = False
-            if fill[b] in (0, capacity):
-                live[b] = False
-                offers.pop(b, None)
-            else:
-                offers[b] = _amounts(bins[b], lengths)
-                added += _rows(b, offers[b])
-        more = np.array(added, np.int64).reshape(-1, 3).T
-        back, own, pair = (np.concatenate([x[keep], y]) for x, y in zip((back, own, pair), more))
+            if best is None:
+                continue
+            _, taker, back = best
+            returned = amounts[taker][back] if back else ()
+            bins[giver] = [i for i in bins[giver] if i not in given] + list(returned)
+            bins[taker] = [i for i in bins[taker] if i not in returned] + list(given)
+            moved = True
+            for b in (giver, taker):
+                total -= fill[b]
+                fill[b] = sum(size[i] for i in bins[b])
+                if fill[b] in (0, capacity):
+                    live.discard(b)
+                    amounts.pop(b)
+                    offers.drop(b)
+                else:
+                    total += fill[b]
+                    amounts[b] = _amounts(bins[b], lengths)
+                    offers.put(b, capacity - fill[b], amounts[b])
+                    heapq.heappush(queue, (fill[b], b))
+        if not moved or len(live) <= -(-total // capacity):
+            break
     return [items for items in bins if items]
 
 
-def _rows(b: int, offered: dict[int, tuple[int, ...]]) -> list[tuple[int, int, int]]:
-    return [(0, b, 0), *((amount, b, int(len(items) == 2)) for amount, items in offered.items())]
-
-
 def _pack_frame(rows: np.ndarray, lengths: np.ndarray, base: int, capacity: int) -> pd.DataFrame:
     bins = local_search(best_fit(lengths, capacity), lengths, capacity)
     order = np.concatenate([np.asarray(b, np.int64) for b in bins])

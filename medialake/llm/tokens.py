@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import string
 from array import array
 
@@ -33,14 +34,15 @@ class ChunkTokenizer:
     The pre-tokenizer of the word-level vocabularies drops white space and never joins across it, and
     NFC and lower-casing never reach across it either, so the ids of a text are the ids of its chunks
     in a row. A chunk of letters and closing punctuation is two pre-tokens, so its ids are those of
-    the word and those of the punctuation. Strings of special tokens count as ordinary text.
+    the word and those of the punctuation. A text that holds the string of an added token is encoded whole
+    by the tokenizer itself, which splits it there before anything else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -76,6 +78,19 @@ class ChunkTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text as counts, all ids in a row). A null text counts as empty."""
+        odd = pc.match_substring_regex(pc.fill_null(texts, ""), self.added, ignore_case=True) if self.added else None
+        if odd is None or not pc.any(odd).as_py():
+            return self._by_chunks(texts)
+        counts, flat = self._by_chunks(pc.if_else(odd, "", texts))
+        parts, ends = [], np.cumsum(counts)
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            ids = np.array(self.tokenizer.encode(texts[int(row)].as_py(), add_special_tokens=False).ids, np.uint32)
+            parts.append((ends[row], ids))
+            counts[row] = len(ids)
+        at = np.concatenate([np.full(len(ids), end) for end, ids in parts])
+        return counts, np.insert(flat, at, np.concatenate([ids for _, ids in parts]))
+
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         offsets = parts.offsets.to_numpy()
         chunks = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
