@@ -1,9 +1,9 @@
 """Line deduplication with DataFrame functions only (operator 2).
 
-Lines are normalised, hashed to 128 bits and exploded once per document; a hash that stands in at
-least ``min_docs`` documents loses its lines everywhere but in the largest doc_id. Only hashes and
-ids are shuffled; the list of a document's hashes to drop comes back to it and the remaining lines
-are joined again by position.
+Lines are normalised, exploded with their places and hashed to 128 bits; a hash that stands in at
+least ``min_docs`` documents loses its lines everywhere but in the largest doc_id. Hashes, ids and places are
+shuffled; the list of a document's places to drop comes back to it and the runs of lines between them
+are joined again by position, in time linear in the lines. Only texts that lose lines are moved.
 
 Defined results: null and empty texts are one empty line; rows that share a doc_id are one document
 for counting and each keeps its own lines; a row with a null doc_id is not counted and loses every
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.llm.membership import packed_by_ids
 from medialake.plans.shared import stored
 
 MIN_CHARS = 40
@@ -35,37 +36,40 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(text: Column, min_chars: int) -> Column:
-    """For each line the 128-bit hash of its key, null for a short key."""
+def _keys(text: Column, min_chars: int) -> Column:
+    """For each line its key, null for a short one."""
     keys = F.transform(_lines(text), lambda line: F.btrim(line, F.lit(BLANKS)))
-    long_keys = F.transform(keys, lambda key: F.when(F.char_length(key) >= min_chars, ascii_lower(key)))
-    return F.transform(long_keys, lambda key: F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))))
+    return F.transform(keys, lambda key: F.when(F.char_length(key) >= min_chars, ascii_lower(key)))
+
+
+def _without(text: Column, drops: Column) -> Column:
+    """The text without the lines at the places ``drops`` (sorted), run of kept lines by run of kept lines."""
+
+    def runs(lines: Column) -> Column:
+        first = lambda k: F.coalesce(F.get(drops, k - 1) + 1, F.lit(0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), lambda k: F.slice(lines, first(k) + 1, F.coalesce(F.get(drops, k), F.size(lines)) - first(k))))
+
+    # The lines are bound by a one-element array, so that they are split once and not once a run.
+    return F.array_join(F.get(F.transform(F.array(_lines(text)), runs), F.lit(0)), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``, and n_lines (before) and n_dropped."""
-    found = docs.select(F.col("doc_id").alias("doc"), F.array_distinct(F.filter(_hashes(F.col("text"), min_chars), lambda h: h.isNotNull())).alias("hashes"))
-    places = stored(found.select("doc", F.explode("hashes").alias("h")).select("doc", "h.h1", "h.h2"))
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("id"), _keys(F.col("text"), min_chars).alias("keys"))
+    found = keyed.select("doc", "id", F.posexplode("keys").alias("place", "key")).where("key is not null")
+    places = stored(found.select("doc", "id", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
     common = places.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
     salted = common.select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    drops = (
-        places.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["h1", "h2", "salt"])
-        .where(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-    )
-    rows = docs.select(F.col("doc_id").alias("doc"), F.struct(*[docs[c] for c in docs.columns]).alias("own"))
-    joined = rows.join(drops.withColumnRenamed("doc", "drop_doc"), F.col("doc").eqNullSafe(F.col("drop_doc")), "left")
+    gone = places.withColumn("salt", F.pmod(F.xxhash64("doc", "id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    # A row is known by its id and text: rows that agree in both lose the same lines.
+    drops = stored(gone.groupBy("doc", "id").agg(F.sort_array(F.collect_set("place")).alias("drops")))
+    some, others = packed_by_ids(docs, F.xxhash64(docs["text"]), drops.select("id"))
+    lists = drops.select(F.col("doc").alias("of"), "id", "drops")
+    met = some.join(lists, (some["id"] == lists["id"]) & some["own.doc_id"].eqNullSafe(lists["of"]), "left").select("own", "drops")
     text = F.col("own.text")
-    flags = F.transform(_hashes(text, min_chars), lambda h: h.isNotNull() & F.array_contains(F.col("drops"), h))
-    split = joined.select("own", "drops", F.size(_lines(text)).cast("long").alias("n_lines"), F.when(F.col("drops").isNotNull(), F.arrays_zip(_lines(text).alias("line"), flags.alias("gone"))).alias("marked"))
-    kept = F.filter("marked", lambda x: ~x["gone"])
-    done = split.select(
-        "own",
-        "n_lines",
-        F.when(F.col("drops").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("kept_text"),
-        F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size("marked") - F.size(kept)).cast("long").alias("n_dropped"),
-    )
-    others = [F.col("own")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return done.select(*others, F.col("kept_text").alias("text"), "n_lines", "n_dropped")
+    n_lines = F.size(_lines(text)).cast("long").alias("n_lines")
+    kept = F.when(F.col("drops").isNull(), F.coalesce(text, F.lit(""))).otherwise(_without(text, F.col("drops")))
+    shorter = met.select("own", n_lines, kept.alias("kept_text"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    whole = others.select("own", n_lines, F.coalesce(text, F.lit("")).alias("kept_text"), F.lit(0).cast("long").alias("n_dropped"))
+    kinds = [F.col("own")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return shorter.unionByName(whole).select(*kinds, F.col("kept_text").alias("text"), "n_lines", "n_dropped")

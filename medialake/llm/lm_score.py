@@ -107,7 +107,7 @@ def _with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, target of every document; only texts whose id a filter takes for a target's are moved."""
     marked = labels.where(F.col("target")).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some, others = packed_by_ids(texts, "doc_id", marked)
+    some, others = packed_by_ids(texts, F.col("doc_id"), marked)
     met = some.join(marked.withColumn("target", F.lit(True)), "id", "left").select("own.text", F.coalesce("target", F.lit(False)).alias("target"))
     return met.unionByName(others.select("own.text", F.lit(False).alias("target")))
 

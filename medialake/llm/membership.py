@@ -26,18 +26,18 @@ def _words(ids: DataFrame) -> DataFrame:
     return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def packed_by_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def packed_by_ids(rows: DataFrame, ids_of: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose id may be among ``ids``, rows whose id surely is not), each as ``id`` and the struct ``own``; null ids never are."""
-    packed = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("own"), rows[id_col].cast("long").alias("id"), F.shiftright(_slot(rows[id_col].cast("long")), 6).alias("word"))
+    packed = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("own"), ids_of.cast("long").alias("id")).withColumn("word", F.shiftright(_slot(F.col("id")), 6))
     met = packed.join(F.broadcast(_words(ids)), "word", "left")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(F.col("id")) % 64).cast("int"))
     maybe = F.col("id").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
     return met.where(maybe).select("id", "own"), met.where(~maybe).select("id", "own")
 
 
-def rows_of_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+def rows_of_ids(rows: DataFrame, ids_of: Column, ids: DataFrame) -> DataFrame:
     """The rows of ``rows`` whose id is among ``ids``."""
-    found = packed_by_ids(rows, id_col, ids)[0].join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
+    found = packed_by_ids(rows, ids_of, ids)[0].join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
     return found.select("own.*")
 
 

@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarit
     close = stored(_allowed(pairs, distinct, similarity))
     involved = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
     # One row for each text of a document, however often it is repeated.
-    own = stored(rows_of_ids(texts, "doc", involved).dropDuplicates(["doc", "text"]))
+    own = stored(rows_of_ids(texts, F.col("doc"), involved).dropDuplicates(["doc", "text"]))
     joined = close.join(own.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     return stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
@@ -264,7 +264,7 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bucket: in
     kept = firsts.distinct().join(later, "doc", "left_anti").withColumn("kept", F.lit(True))
     # Ids that go, or of which one row stays: only their rows are moved.
     moved = stored(counted.join(kept, "doc", "left").where("kept is null or rows > 1").select("doc", "kept"))
-    some, others = packed_by_ids(docs, "doc_id", moved.select("doc"))
+    some, others = packed_by_ids(docs, docs["doc_id"], moved.select("doc"))
     met = some.join(moved.select(F.col("doc").alias("id"), F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(True).alias("moved")), "id", "left")
     untouched = others.select("own").unionByName(met.where("moved is null").select("own"))
     return untouched.unionByName(met.where("kept").dropDuplicates(["id"]).select("own")).select("own.*")

@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,9 +16,10 @@ import pytest
 import xxhash
 from llm_by_hand import lines_by_hand
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from medialake.llm import ann, golay, hamming_search, language, licenses, line_dedup, lm_score, mixing, near_copies, packing, personal_data, simhash
-from medialake.llm.tokens import ChunkTokenizer, chunk_tokenizer, slices, vocabulary_path
+from medialake.llm.tokens import ChunkTokenizer, slices, vocabulary_path
 from medialake.plans.shared import table
 
 DATA = "/root/testdata/sf0.001"
@@ -37,10 +39,13 @@ def by_id(frame, *columns):
 def test_chunks_give_the_tokenizers_ids(alphabet):
     tokenizer, draw = ChunkTokenizer(vocabulary_path("word_bpe_49k.json")), random.Random(5)
     texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    texts += ["hello <|endoftext|> world", "<|startoftext|>a<|EndOfText|>b", "x<|endoftext|><|startoftext|>", "<|endoftext", "Ünï<|startoftext|> \n"]
+    draw.shuffle(texts)
+    plain = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
     counts, flat = tokenizer.encode(pa.array(texts))
     at = 0
     for text, n in zip(texts, counts):
-        assert tokenizer.tokenizer.encode(text, add_special_tokens=False).ids == flat[at : at + n].tolist()
+        assert plain.encode(text, add_special_tokens=False).ids == flat[at : at + n].tolist()
         at += n
 
 
@@ -58,7 +63,7 @@ def check_packing(found: pd.DataFrame, capacity: int):
 def test_packing_of_odd_documents(spark, documents, no_documents):
     found = packing.pack_documents(documents).toPandas()
     check_packing(found, 2048)
-    tokenizer = chunk_tokenizer(vocabulary_path("word_bpe_49k.json")).tokenizer
+    tokenizer = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
     wanted = collections.Counter()
     for r in documents.collect():
         ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
@@ -100,9 +105,29 @@ def test_exchanges_empty_a_sequence_that_best_fit_leaves():
     assert len(ended) == 3 and all(lengths[b].sum() == 10 for b in ended)
 
 
+def test_local_search_grows_with_its_sequences():
+    """Pieces that never fit together cost a look each, not a comparison with all others."""
+    draw = np.random.default_rng(1)
+    lengths = draw.integers(1030, 2000, 60_000)
+    began = time.time()
+    assert len(packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)) == len(lengths)
+    assert time.time() - began < 30
+
+
 # 2: line dedup
 
 
+def test_a_text_of_very_many_lines(spark):
+    """200,000 lines, of which every other one is dropped, in time linear in the lines."""
+    lines = [f"line number {k} that is long enough to be counted here" for k in range(200_000)]
+    docs = [(k, "\n".join(lines[::2])) for k in range(4)] + [(9, "\n".join(lines)), (10, "\n".join(lines[::2]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    began = time.time()
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert found[9]["text"] == "\n".join(lines[1::2]) and found[9]["n_lines"] == 200_000 and found[9]["n_dropped"] == 100_000
+    assert found[10]["n_dropped"] == 0 and found[0]["text"] == "" and time.time() - began < 60
+
+
 def test_line_dedup_of_odd_documents(documents, no_documents):
     found = line_dedup.dedup_lines(documents)
     assert [c for c in documents.columns if c not in found.columns] == [] and len(found.columns) == len(set(found.columns))
