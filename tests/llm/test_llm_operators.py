@@ -303,6 +303,23 @@ def test_beam_finds_the_nearest_of_queries_from_other_shards():
     assert hits >= 0.985 * wanted.size
 
 
+def test_repeated_rows_of_vectors(spark):
+    """Queries that repeat a row are one; rows of the query's id other than its own are candidates; clashing columns."""
+    draw = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in draw.normal(size=8)]) for k in range(120)]
+    rows += [rows[0], rows[5], rows[5], (20, [float(x) for x in draw.normal(size=8)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "vec", "query", "rank", "shard", "block")})
+    found = [tuple(r) for r in ann.nearest(frame, shard=50).collect()]
+    wanted = []
+    seen = set()
+    for at, (i, v) in enumerate(rows):
+        if i % 20 == 0 and (i, tuple(v)) not in seen:
+            seen.add((i, tuple(v)))
+            order = sorted((-float(np.cumsum(np.array(v) * np.array(w))[-1]), j) for b, (j, w) in enumerate(rows) if b != at)[:20]
+            wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    assert sorted(found) == sorted(wanted)
+
+
 def test_few_vectors_give_all_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert {k: [v[1] for v in sorted(rows)] for k, rows in by_id(ann.nearest(frame), "rank", "vec_id").items()} == {0: [3, 20], 20: [3, 0]}
