@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion (operator 5).
 
 Text evidence is a naive Bayes model of byte trigrams, fitted on a bounded sample of rows by the
-language they declare. A text's log likelihood counts as that of at most ``EFFECTIVE`` independent
+language they declare, and of one more class for texts of no known language, whose trigrams may mostly
+be any and else come from all languages. A text's log likelihood counts as that of at most ``EFFECTIVE`` independent
 trigrams. Three more sources of evidence come from grouped aggregation over all rows, weighted by the
 text posteriors: how likely each declared markup language and each address suffix is in each language,
 and a prior for each host, smoothed towards its domain, which is smoothed towards the whole corpus.
@@ -10,10 +11,10 @@ each of a fixed size) go through the driver.
 
 Defined results: a null or empty text, or one without letters, has no text evidence and is rejected; a
 row is rejected too if its best language has a posterior below ``least``; rows that repeat get equal
-results; null hosts, suffixes and declarations are missing evidence; if no row declares a language,
-every row is rejected with language null; an empty table gives an empty result. Declared languages are
-compared by their first subtag, lower case; only those with at least ``LEAST_SHARE`` of the declaring
-rows are languages, so there are at most 1 / LEAST_SHARE of them.
+results; null hosts, suffixes and declarations are missing evidence; a text of no known language has language null
+and is rejected; if no row declares a language, every row is; an empty table gives an empty result. Declared
+languages are compared by their first subtag of two or three letters, lower case, which bounds their number; those
+that ``LEAST_ROWS`` rows declare are languages, at any size of the table.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from medialake.plans.shared import stored
 SAMPLE_ROWS = 2000
 BUCKETS = 1 << 16
 EFFECTIVE = 60.0
-LEAST_SHARE = 0.002
+LEAST_ROWS = 10
+#: Part of the trigrams of no known language that may be any.
+ANYWHERE = 0.9
 #: Rows that a domain's and the corpus' rates weigh in a host's prior; smoothing of declared and suffix rates.
 HOST_WEIGHT = 20.0
 DOMAIN_WEIGHT = 50.0
@@ -66,33 +69,46 @@ def _subtag(declared: Column) -> Column:
 
 
 def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of the buckets in each). ``rows`` has text and declared."""
+    """(languages, log probabilities of the buckets in each and, last, in no known language).
+
+    ``rows`` has text, declared and columns that tell rows apart, by which the sample is drawn. Trigrams are
+    counted in tasks and summed by a shuffle; a group is a language's buckets.
+    """
     sizes = rows.where("declared is not null").groupBy("declared").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    known = [(r["declared"], r["count"]) for r in sizes.where(F.col("count") >= LEAST_SHARE * total).collect()]
+    known = [(r["declared"], r["count"]) for r in sizes.where(F.col("count") >= LEAST_ROWS).collect()]
     if not known:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
-    spread = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    spread = F.pmod(F.xxhash64(*rows.columns, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.element_at(F.create_map(*[F.lit(x) for name, n in known for x in (name, min(1.0, sample_rows / n))]), F.col("declared"))
     sample = rows.where(F.col("declared").isin([name for name, _ in known])).where(spread < rate).select("declared", "text")
 
-    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        texts = pa.array(part["text"], pa.string())
-        seen = np.zeros(BUCKETS + 1, np.int64)
-        for first, n in slices(texts, 1 << 20):
-            seen += np.bincount(_trigrams(texts.slice(first, n))[0], minlength=BUCKETS + 1)
-        seen[BUCKETS] = 0
-        table = np.log((seen + 0.05) / (seen.sum() + 0.05 * BUCKETS)).astype(np.float32)
-        table[BUCKETS] = 0
-        return pd.DataFrame({"language": [key[0]], "table": [table.tobytes()]})
-
-    tables = {r["language"]: np.frombuffer(r["table"], np.float32) for r in sample.groupBy("declared").applyInPandas(count, "language string, table binary").collect()}
-    names = sorted(tables)
-    return names, np.stack([tables[n] for n in names])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0)
+            for name in pc.unique(names).to_pylist():
+                texts = batch.column(1).filter(pc.equal(names, name))
+                for first, n in slices(texts, 1 << 20):
+                    seen = np.bincount(_trigrams(texts.slice(first, n))[0], minlength=BUCKETS + 1)[:BUCKETS]
+                    some = np.flatnonzero(seen)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(seen[some].astype(np.int64))], names=["declared", "bucket", "n"])
+
+    def table_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(BUCKETS)
+        seen[part["bucket"].to_numpy()] = part["n"].to_numpy()
+        return pd.DataFrame({"language": [key[0]], "table": [((seen + 1) / (seen.sum() + BUCKETS)).tobytes()]})
+
+    counted = sample.mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+    found = {r["language"]: np.frombuffer(r["table"]) for r in counted.groupBy("declared").applyInPandas(table_of, "language string, table binary").collect()}
+    names = sorted(found)
+    if not names:
+        return [], np.zeros((0, BUCKETS + 1), np.float32)
+    shares = np.stack([found[n] for n in names])
+    shares = np.concatenate([shares, (1 - ANYWHERE) * shares.mean(axis=0, keepdims=True) + ANYWHERE / BUCKETS])
+    return names, np.concatenate([np.log(shares), np.zeros((len(shares), 1))], axis=1).astype(np.float32)
 
 
-def text_scores(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
-    """``rows`` (without text) with n_letters and scores: tempered log likelihood by language."""
+def text_scores(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """``rows`` (without text) with n_letters and scores: tempered log likelihood by language and of none."""
     others = [c for c in rows.columns if c != "text"]
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -102,9 +118,9 @@ def text_scores(rows: DataFrame, languages: list[str], table: np.ndarray) -> Dat
             for first, n in slices(texts, 1 << 20):
                 buckets, starts, letters = _trigrams(texts.slice(first, n))
                 used = np.add.reduceat(buckets != BUCKETS, starts, dtype=np.int64)
-                sums = np.stack([np.add.reduceat(model[buckets], starts, dtype=np.float64) for model in shared.value], axis=1) if languages else np.zeros((n, 0))
+                sums = np.stack([np.add.reduceat(model[buckets], starts, dtype=np.float64) for model in shared.value], axis=1) 
                 scores = sums * (np.minimum(used, EFFECTIVE) / np.maximum(used, 1))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(languages), pa.int32()), pa.array(scores.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(shared.value), pa.int32()), pa.array(scores.ravel()))
                 part = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(letters), lists], names=[*others, "n_letters", "scores"])
 
@@ -135,12 +151,12 @@ def identify(rows: DataFrame, least: float = LEAST_POSTERIOR, sample_rows: int =
     ``rows`` has text, declared, host and suffix (all may be null) and any columns that identify a row.
     """
     rows = rows.withColumn("declared", _subtag(F.col("declared"))).withColumn("host", F.lower("host"))
-    languages, table = fit_text_model(rows.select("text", "declared"), sample_rows)
-    n = len(languages)
+    languages, table = fit_text_model(rows, sample_rows)
+    n = len(table)
     others = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     if not n:
         return rows.select(*others, "declared", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    scored = stored(text_scores(rows, languages, table).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
+    scored = stored(text_scores(rows, table).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     soft = scored.where("n_letters > 0").select("declared", "suffix", "host", "domain", softmax(F.col("scores")).alias("p"))
     sums = [x or 0.0 for x in soft.agg(_sums("p", n)).first()[0]]
     overall = [(x + 1) / (sum(sums) + n) for x in sums]
@@ -163,7 +179,7 @@ def identify(rows: DataFrame, least: float = LEAST_POSTERIOR, sample_rows: int =
     added = F.col("scores")
     for part in parts:
         added = F.zip_with(added, part, lambda a, b: a + b)
-    names = F.array(*map(F.lit, languages))
+    names = F.array(*map(F.lit, languages), F.lit(None).cast("string"))
     fused = joined.withColumn("added", added).withColumn("p", softmax(F.col("added")))
     best = F.array_max("p")
     return fused.select(
@@ -172,7 +188,7 @@ def identify(rows: DataFrame, least: float = LEAST_POSTERIOR, sample_rows: int =
         F.when(F.col("n_letters") > 0, F.get(names, (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))).alias("text_language"),
         F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("language"),
         best.alias("posterior"),
-        ((F.col("n_letters") > 0) & (best >= least)).alias("accepted"),
+        ((F.col("n_letters") > 0) & (best >= least) & (F.array_position("p", best) <= len(languages))).alias("accepted"),
     )
 
 

@@ -182,6 +182,30 @@ def test_every_notice_of_a_file_is_found(spark):
     assert set(found[1][0].split(",")) == set(found[3][0].split(",")) == {t.label for t in licenses.TEMPLATES} and found[2] == [""]
 
 
+def test_matches_are_those_of_every_place_by_hand(spark):
+    """Notices with up to two fifths of their words changed, against a comparison of every template at every place."""
+    draw, docs = random.Random(9), []
+    words = sorted({w for t in licenses.TEMPLATES for w in t.words})
+    for k, template in enumerate(licenses.TEMPLATES * 3):
+        own = list(template.words)
+        for at in draw.sample(range(len(own)), int(len(own) * draw.choice([0, 0.1, 0.24, 0.26, 0.4]))):
+            own[at] = draw.choice(words)
+        around = [draw.choice(words) for _ in range(draw.randint(0, 40))]
+        docs.append((k, " ".join(around + own[draw.choice([0, 0, 2]) :] + around[:5])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(table(spark, DATA, "documents").selectExpr("doc_id + 10000", "text").toDF("doc_id", "text"))
+    found = {r["doc_id"]: {(m["label"], m["start"], round(m["coverage"], 9)) for m in r["matches"]} for r in licenses.scan_licenses(frame).collect()}
+    for row in frame.collect():
+        text, wanted = [w.decode() for w in licenses.words_of(row["text"] or "")], set()
+        for t in licenses.TEMPLATES:
+            n = len(t.words)
+            for start in range(-n + 1, len(text)):
+                part = [text[k] if 0 <= k < len(text) else "" for k in range(start, start + n)]
+                same = sum(a == b for a, b in zip(part, t.words)) / n
+                if same >= (1 if t.base else 0.75) and all(any(tuple(part[k : k + len(p)]) == p for k in range(n)) for p in t.phrases):
+                    wanted.add((t.label, start, round(same, 9)))
+        assert found[row["doc_id"]] == wanted
+
+
 # 4: mixing
 
 
@@ -240,6 +264,80 @@ def test_languages_of_held_out_documents(spark):
     assert len(found) > 300 and (found["language"] == found["known"]).mean() > 0.98 and found["accepted"].mean() > 0.98
 
 
+def languages_by_hand(rows, sample_all=True):
+    """(language, posterior) of (text, declared, host, suffix) rows by plain loops; every declared row is in the sample."""
+    blank = lambda b: not (97 <= b <= 122 or b >= 128)
+
+    def buckets(text):
+        data = (text or "").lower().encode() + b"  "
+        out = []
+        for a, b, c in zip(data, data[1:], data[2:]):
+            a, b, c = (32 if blank(x) else x for x in (a, b, c))
+            if a != 32 or b != 32:
+                out.append(((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16)
+        return out, sum(not blank(x) for x in data)
+
+    read = [buckets(t) for t, *_ in rows]
+    names = sorted(n for n, k in collections.Counter(r[1] for r in rows if r[1]).items() if k >= 10)
+    tables = []
+    for name in names:
+        seen = np.zeros(1 << 16)
+        for (found, _), row in zip(read, rows):
+            if row[1] == name:
+                np.add.at(seen, found, 1)
+        tables.append((seen + 1) / (seen.sum() + (1 << 16)))
+    tables.append(0.1 * np.mean(tables, axis=0) + 0.9 / (1 << 16))
+    logs = [np.log(t) for t in tables]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    scores = [np.array([t[f].sum() for t in logs]) * min(len(f), 60) / max(len(f), 1) for f, _ in read]
+    ps = [soft(x) if letters else None for x, (_, letters) in zip(scores, read)]
+    n = len(tables)
+    total = lambda pick: sum((p for p, r in zip(ps, rows) if p is not None and pick(r)), np.zeros(n))
+    overall = (total(lambda r: True) + 1) / (total(lambda r: True).sum() + n)
+    domain = lambda h: (re.search(r"([^.]+\.[^.]+)$", h) or [""])[0]
+    smooth = lambda own, to, w: (own + w * to) / (own.sum() + w)
+    hosts = {h: total(lambda r, h=h: r[2] == h) for h in {r[2] for r in rows if r[2] is not None}}
+    domains = {d: sum((own for h, own in hosts.items() if domain(h) == d), np.zeros(n)) for d in map(domain, hosts)}
+
+    def rates(column):
+        own = {v: total(lambda r, v=v: r[column] == v) for v in {r[column] for r in rows if r[column] is not None}}
+        own = {v: x for v, x in own.items() if x.sum() > 0}
+        every = sum(own.values(), np.zeros(n)) + 0.5 * len(own)
+        return {v: np.log((x + 0.5) / every) for v, x in own.items()}
+
+    declared, suffix = rates(1), rates(3)
+    result = []
+    for score, (_, letters), row in zip(scores, read, rows):
+        host = hosts.get(row[2])
+        prior = np.log(overall) if host is None or not host.sum() else np.log(smooth(host, smooth(domains[domain(row[2])], overall, 50), 20))
+        p = soft(score + prior + declared.get(row[1], 0) + suffix.get(row[3], 0))
+        result.append((([*names, None])[p.argmax()], p.max(), bool(letters and p.max() >= 0.5 and p.argmax() < len(names))))
+    return result
+
+
+def test_languages_are_those_of_plain_loops(spark):
+    docs = table(spark, DATA, "documents").withColumn("page_id", F.lit(None).cast("long"))
+    pages = table(spark, DATA, "pages").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = language.document_rows(docs, "doc_id", "page_id").unionByName(language.page_rows(pages, "doc_id", "page_id"))
+    rows = rows.unionByName(spark.createDataFrame([(9000, None, "Привет, как дела сегодня у вас дома", "en", "h.example.org", None), (9001, None, "xq zzkw vvqj kkzx qqwv jjxz zqkx vwjq", None, None, None), (None, 9002, None, None, None, None)], rows.schema))
+    found = {(r["doc_id"], r["page_id"]): r for r in language.identify(rows).collect()}
+    given = rows.withColumns({"declared": language._subtag(F.col("declared")), "host": F.lower("host")}).collect()
+    wanted = languages_by_hand([(r["text"], r["declared"], r["host"], r["suffix"]) for r in given])
+    for row, (name, posterior, accepted) in zip(given, wanted):
+        own = found[row["doc_id"], row["page_id"]]
+        assert math.isclose(own["posterior"], posterior, rel_tol=1e-3) and own["accepted"] == accepted
+        assert own["language"] == name or posterior < 0.51
+    assert found[9000, None]["language"] is None and not found[9000, None]["accepted"] and not found[9001, None]["accepted"]
+
+
+def test_every_declared_language_is_fitted(spark):
+    """Ten rows in two thousand are a language; a text repeated under many ids does not take the sample."""
+    rows = [(k, "the same words again and again", "en", None, None) for k in range(2000)] + [(5000 + k, f"ich und der hund {k}", "de", None, None) for k in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    names, table_ = language.fit_text_model(frame, 100)
+    assert names == ["de", "en"] and table_.shape == (3, (1 << 16) + 1)
+
+
 def test_declared_languages_and_hosts_settle_short_texts(spark):
     long_texts = [(k, t, la, f"{la}.example.org") for k, (t, la) in enumerate([("the quick brown fox and the lazy dog", "en"), ("der schnelle braune fuchs und der hund", "de")] * 40)]
     short = [(1000, "ok", "de", "de.example.org"), (1001, "up", None, "en.example.org"), (1002, "12 34", "en", "en.example.org"), (1003, None, "en", None)]
@@ -253,7 +351,7 @@ def test_language_of_odd_documents(documents, no_documents):
     found = by_id(language.identify(language.document_rows(documents, "doc_id")), "accepted")
     assert not any(found[1] + found[2] + found[3]) and all(found[6])
     kept = language.accepted_documents(documents)
-    assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 8, 13}
+    assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 8}
     assert language.accepted_documents(no_documents).isEmpty()
 
 
