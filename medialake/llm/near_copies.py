@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from medialake.llm import simhash
 from medialake.llm.membership import packed_by_ids, rows_of_ids
+from medialake.llm.tokens import slices
 from medialake.operators.graph import connected_components
 from medialake.plans.shared import stored
 
@@ -103,22 +104,25 @@ def _distinct(texts: DataFrame, similarity: float) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sizes, prints, rares, prefixes = [], [], [], [], []
-            bitmaps = np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
-            for row, text in enumerate(batch.column(1)):
-                words = text.as_py() or ""
-                same.append(xxhash.xxh3_128_digest(b" ".join(words.encode().lower().split())))
-                hashes = simhash.shingle_hashes(words, SHINGLE)
-                prints.append(simhash.bits_of(hashes))
-                own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
-                bitmaps[row, (own % np.uint64(64 * WORDS)).astype(np.int64)] = 1
-                ordered, rare = in_order(own, *shared.value)
-                sizes.append(len(own))
-                rares.append(rare)
-                prefixes.append(ordered[: prefix_size(len(own), similarity)].view(np.int64))
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            columns += list(map(pa.array, np.packbits(bitmaps, axis=1).view(np.int64).T.copy()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "same", "n", "fp", "rare", "prefix", *BITMAP])
+            for start, rows in slices(batch.column(1)):
+                same, sizes, prints, rares, prefixes = [], [], [], [], []
+                bitmaps = np.zeros((rows, 64 * WORDS), np.uint8)
+                for row, text in enumerate(batch.column(1).slice(start, rows)):
+                    words = text.as_py() or ""
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words.encode().lower().split())))
+                    hashes = simhash.shingle_hashes(words, SHINGLE)
+                    prints.append(simhash.bits_of(hashes))
+                    own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+                    bitmaps[row, (own % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+                    ordered, rare = in_order(own, *shared.value)
+                    sizes.append(len(own))
+                    rares.append(rare)
+                    prefixes.append(ordered[: prefix_size(len(own), similarity)].astype(np.int64))  # a copy: the whole array can go
+                ends = pa.array(np.concatenate([[0], np.cumsum(list(map(len, prefixes)))]).astype(np.int32))
+                columns = [batch.column(0).slice(start, rows), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(rares, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))]
+                columns += list(map(pa.array, np.packbits(bitmaps, axis=1).view(np.int64).T.copy()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "same", "n", "fp", "rare", "prefix", *BITMAP])
+            pa.default_memory_pool().release_unused()
 
     found = texts.mapInArrow(read, "doc long, same binary, n int, fp long, rare int, prefix array<long>, " + ", ".join(f"{b} long" for b in BITMAP))
     first = found.groupBy("same").agg(F.min_by(F.struct("doc", "n", "fp", "rare", "prefix", *BITMAP), "doc").alias("first"))
@@ -214,6 +218,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarit
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     close = stored(_allowed(pairs, distinct, similarity))
     involved = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
