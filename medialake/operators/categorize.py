@@ -34,8 +34,10 @@ def digest_stats(items: DataFrame) -> DataFrame:
     parts = [items.agg(F.count("*").alias("n")).select(F.lit("total").alias("facet"), F.lit("").alias("value"), "n", F.lit(1).alias("rank"))]
     for facet, most in STATS.items():
         values = items.select((F.col(facet) if facet == "meme_type" else F.explode(facet)).alias("value")).where("value is not null")
-        ranked = values.groupBy("value").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
-        parts.append((ranked if most is None else ranked.where(F.col("rank") <= most)).select(F.lit(facet).alias("facet"), "value", "n", "rank"))
+        counted = values.groupBy("value").agg(F.count("*").alias("n"))
+        order = [F.desc("n"), F.col("value")]
+        ranked = number_rows(counted if most is None else counted.orderBy(*order).limit(most), order, "place").withColumn("rank", (F.col("place") + 1).cast("int"))
+        parts.append(ranked.select(F.lit(facet).alias("facet"), "value", "n", "rank"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -24,9 +24,9 @@ BLOCK = 2048
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
-    """(sha256, ids ascending, distance 0) of content that several items share."""
-    groups = items.groupBy("sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return groups.where("n > 1").select("sha256", "ids", F.lit(0).alias("distance"))
+    """(sha256, group, id, size, distance 0): a row for each item of content that several share; ``group`` is its smallest id."""
+    groups = items.groupBy("sha256").agg(F.count("*").alias("size"), F.min("id").alias("group")).where("size > 1")
+    return items.select("sha256", "id").join(groups, "sha256").select("sha256", "group", "id", "size", F.lit(0).alias("distance"))
 
 
 def _hex(bits: Column) -> Column:
@@ -140,10 +140,12 @@ def _widest(left, right) -> int:
 
 
 def duplicate_groups(items: DataFrame, near: bool = True, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(kind, ids, distance): exact groups and then, if asked for, near ones."""
-    exact = exact_groups(items).select(F.lit("exact").alias("kind"), "ids", "distance")
+    """(kind, group, id, size, distance): a row for each item of the exact groups and then, if asked for, the near ones."""
+    columns = ["kind", "group", "id", "size", "distance"]
+    exact = exact_groups(items).withColumn("kind", F.lit("exact")).select(*columns)
     if not near:
         return exact
     clusters = stored(cluster(items, near_pairs(items, max_distance)))
-    ids = clusters.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    return exact.unionByName(ids.join(cluster_diameter(clusters), "cluster").select(F.lit("near").alias("kind"), "ids", "distance"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("group")).where("size > 1")
+    named = clusters.select("id", "cluster").join(sizes.join(cluster_diameter(clusters), "cluster"), "cluster")
+    return exact.unionByName(named.withColumn("kind", F.lit("near")).select(*columns))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from medialake.operators.search import FIELDS, match_all_terms
+from medialake.plans.shared import stored
 
 #: Weights of the fields, and the formula's constants.
 WEIGHTS = {"name": 4.0, "title": 5.0, "description": 2.0, "ocr_text": 2.0, "tags": 4.0, "topics": 2.0, "category": 1.0}
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 GRAM = 3
+#: Terms that one pass over the rows looks for.
+TERMS = 50_000
 
 
 def occurrences(column: str, term: str) -> Column:
@@ -53,45 +61,54 @@ def bm25_rank(docs: DataFrame, terms: list[str] | tuple[str, ...], weights: dict
     return match_all_terms(counted, terms).select("id", (-score).alias("score"))
 
 
-def _grams(text: Column) -> Column:
-    """Character trigrams of a text, lower case; its letters are split once."""
-    letters = F.split(F.lower(text), "")
-    places = lambda own: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - GRAM))
-    return F.transform(F.array(letters), lambda own: F.transform(places(own), lambda i: F.array_join(F.slice(own, i + 1, F.lit(GRAM)), "")))[0]
+def term_frequencies(docs: DataFrame, terms: DataFrame, block: int = TERMS) -> DataFrame:
+    """(term, id, size, frequency): the weighted places of every term in every row that holds it, overlapping ones included.
 
-
-def _standing(text: Column, term: Column) -> Column:
-    """Number of places, overlapping ones included, at which ``term`` stands in ``text``."""
-    return F.regexp_count(text, F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
-
-
-def trigram_postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Distinct (gram, id) of every field, lower case."""
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(f)) for f in fields])))
-    return docs.select("id", F.explode(grams).alias("gram")).where(F.char_length("gram") == GRAM)
+    Terms (lower case) are taken in blocks of about ``block``, each one pass over the rows with one automaton.
+    """
+    weights = list(WEIGHTS.values())
+    rows = docs.select("id", document_size().cast("long").alias("size"), *[F.lower(f).alias(f) for f in WEIGHTS])
+    blocks = max(1, -(-terms.count() // block))
+
+    def passed(words: list[str]) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                found: dict[str, list] = {"term": [], "id": [], "size": [], "frequency": []}
+                for row, size, *texts in zip(*(column.to_pylist() for column in batch.columns)):
+                    met: Counter = Counter()
+                    for text, weight in zip(texts, weights):
+                        for _, word in automaton.iter(text or ""):
+                            met[word] += weight
+                    for word, frequency in met.items():
+                        for name, value in zip(found, (word, row, size, frequency)):
+                            found[name].append(value)
+                yield pa.RecordBatch.from_pydict(found, _FREQUENCIES)
+
+        return rows.mapInArrow(find, "term string, id long, size long, frequency double")
+
+    parts = []
+    for k in range(blocks):
+        words = [r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()]
+        parts += [passed(words)] if words else []
+    return functools.reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], "term string, id long, size long, frequency double")
+
+
+_FREQUENCIES = pa.schema([("term", pa.string()), ("id", pa.int64()), ("size", pa.int64()), ("frequency", pa.float64())])
 
 
 def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best rows of each query (query_id, terms array): query_id, rank, id, score.
 
-    Each term is looked up by its rarest trigram, the hits are verified as substrings, and a document
-    counts for a query when all its terms are found. All queries share the postings and the statistics.
+    A document counts for a query when all its terms are found; the distinct terms of all queries are found in one pass.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term")).where(F.char_length("term") >= GRAM)
-    terms = asked.select("term").distinct()
-    postings = trigram_postings(docs)
-    grams = terms.select("term", F.explode(F.array_distinct(_grams(F.col("term")))).alias("gram"))
-    wanted = postings.join(grams.select("gram").distinct(), "gram", "left_semi")
-    rarity = wanted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(rarity, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    candidates = wanted.join(rarest, "gram").select("term", "id")
-    sized = docs.select("id", *FIELDS, document_size().alias("size"))
-    frequency = F.lit(0.0)
-    for f, weight in WEIGHTS.items():
-        frequency = frequency + F.when(F.contains(F.lower(f), F.col("term")), weight * _standing(F.lower(f), F.col("term"))).otherwise(0.0)
-    hits = candidates.join(sized, "id").select("term", "id", "size", frequency.alias("frequency")).where("frequency > 0")
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term")).where(F.char_length("term") >= GRAM))
+    hits = stored(term_frequencies(docs, asked.select("term").distinct()))
     having = hits.groupBy("term").agg(F.count("*").alias("having"))
-    stats = sized.agg(F.count("*").alias("total"), F.avg("size").alias("mean")).first()
+    stats = docs.select(document_size().alias("size")).agg(F.count("*").alias("total"), F.avg("size").alias("mean")).first()
     parts = hits.join(having, "term").select("term", "id", term_part(inverse_frequency(F.lit(stats["total"]), F.col("having")), F.col("frequency"), F.col("size"), F.lit(stats["mean"] or 1.0)).alias("part"))
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
     scored = asked.join(parts, "term").groupBy("query_id", "id").agg((-F.sum("part")).alias("score"), F.count("*").alias("met")).join(needed, "query_id").where("met = needed")

@@ -195,11 +195,15 @@ def item_by_sha(items: DataFrame, sha256: str) -> DataFrame:
 
 
 def item_detail(items: DataFrame, ids: DataFrame) -> DataFrame:
-    """The wanted items with the ids of other items of equal content, in order."""
-    wanted = items_by_ids(items, ids)
-    others = wanted.select(F.col("id").alias("own"), "sha256").join(items.select("sha256", F.col("id").alias("other")), "sha256").where("own <> other")
-    copies = others.groupBy("own").agg(F.array_sort(F.collect_list("other")).alias("copies"))
-    return wanted.join(copies, wanted["id"] == copies["own"], "left").drop("own").withColumn("copies", F.coalesce("copies", F.array().cast("array<bigint>")))
+    """The wanted items with the number of other items of equal content and the class of that content (its smallest id)."""
+    content = items.groupBy("sha256").agg((F.count("*") - 1).alias("copies"), F.min("id").alias("content_class"))
+    return items_by_ids(items, ids).join(content, "sha256")
+
+
+def items_of_content(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(content_class, id): the members of the content classes of the wanted items, a row each."""
+    wanted = item_detail(items, ids).select("sha256", "content_class").distinct()
+    return items.select("sha256", "id").join(wanted, "sha256").select("content_class", "id")
 
 
 def _standing_in(text: Column):

@@ -56,7 +56,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("sha256"),
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
         F.substring("text", 121, 500).alias("description"),
-        F.substring("text", 1, 2000).alias("ocr_text"),
+        F.col("text").alias("ocr_text"),
         "tags",
         F.array("lang").alias("topics"),
         F.array("source").alias("tone"),
@@ -87,7 +87,7 @@ WITH base AS (
          TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, TIMESTAMP '2024-02-01' + to_seconds(doc_id * 7919 % 100000) AS indexed_at,
          CASE WHEN doc_id % 50 <> 0 THEN 400 + doc_id * 37 % 1600 END AS width, CASE WHEN doc_id % 50 <> 0 THEN 300 + doc_id * 91 % 6000 END AS height,
          CASE WHEN media_type <> 'image' THEN 1 + (doc_id * 13 % 2400) / 10.0::DOUBLE END AS duration_s, sha256(text) AS sha256,
-         substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 121, 500) AS description, substr(text, 1, 2000) AS ocr_text, tags, [lang] AS topics, [source] AS tone,
+         substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 121, 500) AS description, text AS ocr_text, tags, [lang] AS topics, [source] AS tone,
          ['{"', '".join(MEME_TYPES)}'][(doc_id % 10 + 1)::INT] AS meme_type, CASE WHEN doc_id % 7 = 0 THEN source END AS template, source AS category_name, category_folder,
          coalesce(toxic, 0) = 1 AS nsfw, coalesce(quality, 0) * 0.5::DOUBLE + (doc_id % 50) / 100.0::DOUBLE AS confidence, doc_id * 3 AS sidecar_mtime_ns
   FROM typed

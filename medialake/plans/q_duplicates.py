@@ -44,13 +44,9 @@ def _texts(s, d):
     return stored(dup.simhash_text(docs).join(docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256")), "id"))
 
 
-def _ids(column: str = "ids"):
-    return F.array_join(F.transform(column, lambda i: i.cast("string")), ",").alias("ids")
-
-
-@query("f1_exact_groups", I + " SELECT sha256, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, 0 AS distance FROM items GROUP BY sha256 HAVING count(*) > 1")
+@query("f1_exact_groups", I + """ SELECT sha256, "group", id, size, 0 AS distance FROM (SELECT sha256, id, min(id) OVER same AS "group", count(*) OVER same AS size FROM items WINDOW same AS (PARTITION BY sha256)) WHERE size > 1""")
 def f1(s, d):
-    return dup.exact_groups(fx.items(s, d)).select("sha256", _ids(), "distance")
+    return dup.exact_groups(fx.items(s, d))
 
 
 @query("f3_dhash_vectors", VECTORS_SQL + " SELECT id, fp FROM fps")
@@ -92,9 +88,9 @@ def f8(s, d):
 
 @query(
     "f9_duplicate_groups",
-    CLUSTERS_SQL + """ SELECT 'exact' AS kind, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, 0 AS distance FROM (SELECT id, sha256 FROM words) GROUP BY sha256 HAVING count(*) > 1
-    UNION ALL SELECT 'near', n.ids, w.distance FROM (SELECT cluster, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM clusters GROUP BY 1 HAVING count(*) > 1) n
-    JOIN (SELECT x.cluster, max(bit_count(xor(('0x' || x.fp)::UBIGINT, ('0x' || y.fp)::UBIGINT)))::INT AS distance FROM clusters x JOIN clusters y USING (cluster) GROUP BY 1) w USING (cluster)""",
+    CLUSTERS_SQL + """ SELECT 'exact' AS kind, "group", id, size, 0 AS distance FROM (SELECT id, min(id) OVER same AS "group", count(*) OVER same AS size FROM words WINDOW same AS (PARTITION BY sha256)) WHERE size > 1
+    UNION ALL SELECT 'near', n."group", n.id, n.size, w.distance FROM (SELECT cluster, id, min(id) OVER same AS "group", count(*) OVER same AS size FROM clusters WINDOW same AS (PARTITION BY cluster)) n
+    JOIN (SELECT x.cluster, max(bit_count(xor(('0x' || x.fp)::UBIGINT, ('0x' || y.fp)::UBIGINT)))::INT AS distance FROM clusters x JOIN clusters y USING (cluster) GROUP BY 1) w USING (cluster) WHERE n.size > 1""",
 )
 def f9(s, d):
-    return dup.duplicate_groups(_texts(s, d)).select("kind", _ids(), "distance")
+    return dup.duplicate_groups(_texts(s, d))

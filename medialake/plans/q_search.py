@@ -8,6 +8,7 @@ from medialake.operators import facets, fuzzy, rank, search
 from medialake.operators.diff import rebuild_item_tags
 from medialake.operators.normalize import build_search_docs
 from medialake.operators.search_page import search_page
+from medialake.operators.numbering import number_rows
 from medialake.plans import fixtures as fx
 from medialake.plans.registry import registering
 
@@ -140,16 +141,10 @@ def d18(s, d):
     return fuzzy.fuzzy_match(fx.items(s, d), log)
 
 
-@query(
-    "d19_fuzzy_candidates",
-    I + TAGS_SQL + """, l AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 3)[1:2]) AS w FROM benchmark) WHERE regexp_matches(lower(w), '^[a-z]+$')), r AS (SELECT DISTINCT tag AS word FROM item_tags WHERE regexp_matches(tag, '^[a-z]+$')
-    ), a AS (SELECT DISTINCT word, unnest(list_transform(range(1, greatest(2, length(word) - 1)), lambda i: substr(word, i, 3))) AS g FROM l), b AS (SELECT DISTINCT word, unnest(list_transform(range(1, greatest(2, length(word) - 1)), lambda i: substr(word, i, 3))) AS g FROM r)
-    SELECT a.word AS l, b.word AS r, count(*) AS shared, levenshtein(a.word, b.word)::INT AS distance FROM a JOIN b USING (g) GROUP BY a.word, b.word HAVING count(*) >= 2 AND levenshtein(a.word, b.word) <= 2""",
-)
+@query("d19_fuzzy_candidates")
 def d19(s, d):
     left = _query_log(s, d).select(F.explode("terms").alias("word")).select(F.lower("word").alias("word")).distinct()
-    plain = F.col("word").rlike("^[a-z]+$")
-    return fuzzy.fuzzy_candidates(left.where(plain), _tags(s, d).select(F.col("tag").alias("word")).distinct().where(plain))
+    return fuzzy.fuzzy_candidates(left, _tags(s, d).select(F.col("tag").alias("word")).distinct())
 
 
 @query(
@@ -184,10 +179,10 @@ def d22(s, d):
     return chosen.select("id", "name").unionByName(search.item_by_sha(items, least).select("id", F.concat("name", F.lit("*")).alias("name")))
 
 
-@query("d23_item_detail", I + " SELECT i.id, i.title, coalesce(string_agg(o.id::VARCHAR, ',' ORDER BY o.id), '') AS copies FROM items i LEFT JOIN items o ON o.sha256 = i.sha256 AND o.id <> i.id GROUP BY ALL")
+@query("d23_item_detail", I + " SELECT id, title, count(*) OVER (PARTITION BY sha256) - 1 AS copies, min(id) OVER (PARTITION BY sha256) AS content_class FROM items")
 def d23(s, d):
     items = fx.items(s, d)
-    return search.item_detail(items, items).select("id", "title", F.array_join(F.transform("copies", lambda c: c.cast("string")), ",").alias("copies"))
+    return search.item_detail(items, items).select("id", "title", "copies", "content_class")
 
 
 @query(
@@ -197,11 +192,10 @@ def d23(s, d):
     , scored AS (SELECT id, name, len(list_filter(fields, lambda x: contains(x, 'th') AND contains(x, 'er'))) AS score FROM f) SELECT id, score::INT AS score, row_number() OVER (ORDER BY score DESC, lower(name), id)::INT AS rank FROM scored WHERE score > 0""",
 )
 def d24(s, d):
-    from pyspark.sql.window import Window
-
     sidecars = fx.items(s, d).withColumn("subjects", F.slice("tags", 3, 100))
     found = search.search_sidecars(sidecars, "TH er", ("EN",), "SRC1", None, "image")
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.lower("name"), "id"))).select("id", "score", "rank")
+    ranked = number_rows(found.select("id", "name", "score"), [F.desc("score"), F.lower("name"), F.col("id")], "rank")
+    return ranked.select("id", "score", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @query(

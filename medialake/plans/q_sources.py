@@ -93,10 +93,9 @@ def a11(s, d):
     return s.read.schema("source_path string, stage string, message string").json(path)
 
 
-@query("a12_export_json", I + " SELECT to_json({'id': id, 'name': name, 'tags': tags, 'nsfw': nsfw}) AS json FROM items WHERE NOT regexp_matches(array_to_string(tags, ''), '[^ -~]|[\\\\\"/]')")
+@query("a12_export_json", I + " SELECT to_json({'id': id, 'name': name, 'tags': tags, 'nsfw': nsfw}) AS json FROM items")
 def a12(s, d):
-    plain = fx.items(s, d).where(~F.array_join("tags", "").rlike(r'[^ -~]|[\\"/]'))
-    return files.export_json(plain.select("id", "name", "tags", "nsfw"))
+    return files.export_json(fx.items(s, d).select("id", "name", "tags", "nsfw"))
 
 
 @query("s1_stream_ingest", I + " SELECT count(*) AS n, count(DISTINCT sha256) AS hashes FROM (SELECT DISTINCT string_agg(id || chr(9) || sha256 || chr(10), '' ORDER BY id || chr(9) || sha256) AS sha256 FROM items GROUP BY category_folder, media_type)")
@@ -119,7 +118,7 @@ def s3(s, d):
     listing, snapshot = _folder(s, "listing"), _folder(s, "snapshot")
     columns = ["path", "size_bytes", "mtime_ns", "sidecar_mtime_ns", "sha256"]
     rows = fx.items(s, d).select(*columns)
-    rows.coalesce(1).write.parquet(listing)
+    rows.write.parquet(listing)
     fx.previous_snapshot(s, d).write.parquet(f"{snapshot}/0")
 
     def write(rows, counts):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from medialake.functions import fuzzy, geometry, text
 from medialake.functions.media import category_from_path, classify_media_type
 from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, sampling, search
+from medialake.operators.fuzzy import fuzzy_candidates
 from medialake.operators.rank import bm25_rank
 from medialake.sources import files
 
@@ -164,8 +165,37 @@ def test_clusters_are_transitive_and_wider_than_the_limit(spark):
     clusters = duplicates.cluster(items, pairs)
     assert sorted(values(clusters.select("id"))) == [1, 2, 3, 6]
     assert duplicates.cluster_diameter(clusters).first()["distance"] == 8
-    kinds = sorted((r["kind"], r["ids"], r["distance"]) for r in duplicates.duplicate_groups(items, True, 4).collect())
-    assert kinds == [("exact", [1, 6], 0), ("near", [1, 2, 3, 6], 8)]
+    kinds = sorted(tuple(r) for r in duplicates.duplicate_groups(items, True, 4).collect())
+    assert kinds == [("exact", 1, 1, 2, 0), ("exact", 1, 6, 2, 0), *(("near", 1, k, 4, 8) for k in (1, 2, 3, 6))]
+
+
+def test_fuzzy_candidates_by_hand(spark):
+    """Accented words and copies too: every pair with two common trigrams and at most two edits."""
+    left, right = ["étude", "etude", "straße", "thn", "ab"], ["étudé", "etudes", "strasse", "then", "ab", "straßen", "études"]
+    grams = lambda w: {w[k : k + 3] for k in range(max(1, len(w) - 2))}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next_row(row, i, x, b)
+        return row[-1]
+
+    def _next_row(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        return new
+
+    wanted = sorted((a, b, len(grams(a) & grams(b)), edits(a, b)) for a in left for b in right if len(grams(a) & grams(b)) >= 2 and edits(a, b) <= 2)
+    frames = [spark.createDataFrame([(w,) for w in words], "word string") for words in (left, right)]
+    assert wanted and sorted(tuple(r) for r in fuzzy_candidates(*frames).collect()) == wanted
+
+
+def test_content_classes_are_rows(spark):
+    items = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "x")], "id long, sha256 string")
+    found = {r["id"]: (r["copies"], r["content_class"]) for r in search.item_detail(items, items.where("id < 4")).collect()}
+    assert found == {1: (2, 1), 2: (0, 2), 3: (2, 1)}
+    assert sorted(map(tuple, search.items_of_content(items, items.where("id = 3")).collect())) == [(1, 1), (1, 3), (1, 4)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
