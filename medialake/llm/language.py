@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.tokens import slices
+from medialake.llm.tokens import batches_of, slices
 from medialake.plans.shared import stored
 
 #: Rows of a declared language on which the text model is fitted (the bound of the labelled sample).
@@ -156,7 +156,8 @@ def identify(rows: DataFrame, least: float = LEAST_POSTERIOR, sample_rows: int =
     others = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     if not n:
         return rows.select(*others, "declared", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    scored = stored(text_scores(rows, table).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
+    with batches_of(rows.sparkSession):
+        scored = stored(text_scores(rows, table).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     soft = scored.where("n_letters > 0").select("declared", "suffix", "host", "domain", softmax(F.col("scores")).alias("p"))
     sums = [x or 0.0 for x in soft.agg(_sums("p", n)).first()[0]]
     overall = [(x + 1) / (sum(sums) + n) for x in sums]

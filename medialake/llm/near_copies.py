@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from medialake.llm import simhash
 from medialake.llm.membership import packed_by_ids, rows_of_ids
-from medialake.llm.tokens import slices
+from medialake.llm.tokens import batches_of, slices
 from medialake.operators.graph import connected_components
 from medialake.plans.shared import stored
 
@@ -126,7 +126,8 @@ def _distinct(texts: DataFrame, similarity: float) -> DataFrame:
 
     found = texts.mapInArrow(read, "doc long, same binary, n int, fp long, rare int, prefix array<long>, " + ", ".join(f"{b} long" for b in BITMAP))
     first = found.groupBy("same").agg(F.min_by(F.struct("doc", "n", "fp", "rare", "prefix", *BITMAP), "doc").alias("first"))
-    return stored(first.select("first.*"))
+    with batches_of(texts.sparkSession):
+        return stored(first.select("first.*"))
 
 
 def _least(share: float, n: Column) -> Column:
@@ -225,7 +226,8 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarit
     # One row for each text of a document, however often it is repeated.
     own = stored(rows_of_ids(texts, F.col("doc"), involved).dropDuplicates(["doc", "text"]))
     joined = close.join(own.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    return stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    with batches_of(texts.sparkSession):
+        return stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
 
 def _unconnected(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.tokens import chunk_tokenizer, slices, vocabulary_path
+from medialake.llm.tokens import batches_of, chunk_tokenizer, slices, vocabulary_path
 from medialake.plans.shared import stored
 
 VOCABULARY = "word_bpe_49k.json"
@@ -245,7 +245,8 @@ def _pack_frame(rows: np.ndarray, lengths: np.ndarray, base: int, capacity: int)
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (any columns, with ``length`` from 1 to ``capacity``) with sequence_id and offset added."""
-    kept = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
+    with batches_of(pieces.sparkSession):
+        kept = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
     partial = kept.where(F.col("length") < capacity).select("row", "length")
     shards = max(1, -(-partial.count() // shard_pieces))
     wide = max(1, -(-shards // SHARDS_TOGETHER))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import string
@@ -10,9 +11,12 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at a time inside a task.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch of texts on its way to a worker.
+BATCH_BYTES = 8 << 20
 #: Words whose ids a worker remembers (about 200 bytes each) before it starts afresh.
 REMEMBERED = 150_000
 #: Signs that together are a pre-token of their own after a word.
@@ -122,6 +126,18 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int = BATCH_BYTES):
+    """Arrow batches of about ``most`` bytes in the jobs run inside: whole texts would else fill buffers of 64 MB on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
     """(first row, rows) of runs of whole texts of about ``most`` bytes; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
