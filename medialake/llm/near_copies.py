@@ -233,7 +233,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarit
 def _unconnected(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
     """(rows of crowded shingles whose documents are not all connected, with their ``group``; pairs left for each row)."""
     groups = connected_components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-    named = crowded.drop("group").join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
+    named = stored(crowded.drop("group").join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component"))
     sizes = named.groupBy("token", "group").agg(F.count("*").cast("double").alias("own")).groupBy("token").agg(F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("inside"), F.count("*").alias("groups"))
     several = stored(sizes.where("groups > 1"))
     rows, pairs = several.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2)).first()
