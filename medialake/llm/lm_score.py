@@ -42,10 +42,9 @@ BIGRAM_COUNT = 5
 BACK_OFF = 2.0
 #: Most entries that are broadcast.
 TOP = 1_000_000
-#: The sign that begins and ends a text, as a word's hash, and what stands for the word of a word entry.
-EDGE, NO_WORD = 1, 0
+#: The sign that begins and ends a text, as a word's hash.
+EDGE = 1
 
-ENTRIES = "key long, word long, n long, t long"
 SCORED = "row long, doc_id long, key long, m long, n_tokens long, target double, background double"
 
 
@@ -86,21 +85,37 @@ def _bigrams(counts: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> tuple
     return np.insert(codes, ends - counts, edge), np.insert(codes, ends, edge)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for first, rows in slices(texts):
             counts, hashes, codes = _read(texts.slice(first, rows))
-            context, word = _bigrams(counts, hashes, codes)
+            _, word = _bigrams(counts, hashes, codes)
             target = np.repeat(marks[first : first + rows], counts + 1)
-            size = len(hashes) + 1
-            own = np.append(hashes, EDGE)
-            pairs, place = np.unique(context * size + word, return_inverse=True)
-            n = np.concatenate([np.bincount(word, minlength=size), np.bincount(place, minlength=len(pairs))])
-            t = np.concatenate([np.bincount(word[target], minlength=size), np.bincount(place[target], minlength=len(pairs))])
-            last = own[pairs % size]
-            keys = np.concatenate([own, bigram_key(own[pairs // size], last)])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, np.concatenate([np.full(size, NO_WORD), last]), n, t)], names=["key", "word", "n", "t"])
+            sums = [np.bincount(w, minlength=len(hashes) + 1).astype(np.int64) for w in (word, word[target])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.append(hashes, EDGE), *sums)], names=["key", "n", "t"])
+
+
+def _bigram_counts(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """(key, word, n, t) of the bigrams of words that the filter ``known`` lets pass: others have no entry."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, rows in slices(texts):
+                counts, hashes, codes = _read(texts.slice(first, rows))
+                context, word = _bigrams(counts, hashes, codes)
+                own, size = np.append(hashes, EDGE), len(hashes) + 1
+                may = passes(shared.value, own)
+                some = may[context] & may[word]
+                target = np.repeat(marks[first : first + rows], counts + 1)[some]
+                pairs, place = np.unique(context[some] * size + word[some], return_inverse=True)
+                last = own[pairs % size]
+                sums = [np.bincount(w, minlength=len(pairs)).astype(np.int64) for w in (place, place[target])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bigram_key(own[pairs // size], last), last, *sums)], names=["key", "word", "n", "t"])
+
+    return texts.mapInArrow(count, "key long, word long, n long, t long").groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def _with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,12 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, word_count: int = WORD_COUNT, bigram
     """
     if bigram_count < word_count:
         raise ValueError("a bigram's entry needs entries of its words: bigram_count must be word_count at least")
-    summed = _with_target(docs, labels).mapInArrow(_counts, ENTRIES).groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # A text's end has an entry however few texts there are.
-    often = (F.col("word") != NO_WORD) & (F.col("n") >= bigram_count) | (F.col("word") == NO_WORD) & ((F.col("n") >= word_count) | (F.col("key") == EDGE))
-    known = (F.col("word") == NO_WORD).alias("is_word")
-    kept = stored(summed.select("key", "word", "n", "t", known).where(often | F.col("is_word")))
-    words = kept.where("is_word")
+    texts = _with_target(docs, labels)
+    words = stored(texts.mapInArrow(_word_counts, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
     is_known = (F.col("n") >= word_count) & (F.col("key") != EDGE)
     of = words.agg(
         *[F.sum(c).alias(f"all_{c}") for c in "nt"], *[F.sum(F.when(~is_known & (F.col("key") != EDGE), F.col(c))).alias(f"unknown_{c}") for c in "nt"],
@@ -142,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, word_count: int = WORD_COUNT, bigram
         edge[c] = -math.log((back + 1) / total) - math.log(BACK_OFF / (back + BACK_OFF))
     by_word = words.where(is_known).select("key", "n", *[(-F.log(share(c)) - F.log(BACK_OFF / (F.col(c) + BACK_OFF)) - unknown[c]).alias(name) for c, name in (("t", "target"), ("n", "background"))])
     shares = words.where(is_known | (F.col("key") == EDGE)).select(F.col("key").alias("word"), *[share(c).alias(f"share_{c}") for c in "nt"])
-    pairs = kept.where(~F.col("is_word")).join(shares, "word")
+    often = _bigram_counts(texts, filter_bits(shares.select("word"))).where(F.col("n") >= bigram_count)
+    pairs = often.join(shares, "word")
     by_pair = pairs.select("key", "n", *[(-F.log1p(F.col(c) / (BACK_OFF * F.col(f"share_{c}")))).alias(name) for c, name in (("t", "target"), ("n", "background"))])
     return stored(by_word.unionByName(by_pair)), {"token": (unknown["t"], unknown["n"]), "document": (edge["t"], edge["n"])}
 
