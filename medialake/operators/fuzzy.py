@@ -1,15 +1,21 @@
-"""Fuzzy matches of queries with items, by trigram blocks and verified scores."""
+"""Fuzzy matches of queries with all items, block by block, and candidates of words by trigrams."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from medialake.functions.fuzzy import weighted_ratio_udf
+from medialake.functions.fuzzy import Choices, weighted_ratio
 
 CUTOFF = 75.0
 MOST = 50
+#: Items and queries of a group that is compared at once.
+SHARD = 1024
+QUERIES = 256
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -24,16 +30,31 @@ def fuzzy_text(items: DataFrame) -> DataFrame:
 
 
 def fuzzy_match(items: DataFrame, queries: DataFrame, cutoff: float = CUTOFF, k: int = MOST) -> DataFrame:
-    """(query_id, rank, id, score) of the ``k`` best items of each query (query_id, q) from ``cutoff`` on.
+    """(query_id, rank, id, score) of the ``k`` best items of each query (query_id, q) from ``cutoff`` on, ties to smaller ids.
 
-    A score of 75 or more needs common runs of characters, so pairs without a common trigram are left out.
+    Every query is compared with every item, block by block: ``SHARD`` items with ``QUERIES`` queries are a
+    group, which returns its own best ``k`` of each query. Within a group an upper bound from character counts
+    spares the score of pairs that cannot reach ``cutoff``; no pair is lost. Null texts are empty and match nothing.
     """
     choices = fuzzy_text(items)
-    left = queries.select("query_id", "q", F.explode(grams(F.col("q"))).alias("gram"))
-    wanted = left.select("gram").distinct()
-    right = choices.select("id", F.explode(grams(F.col("choice"))).alias("gram")).join(wanted, "gram", "left_semi")
-    pairs = left.join(right, "gram").select("query_id", "q", "id").distinct().join(choices, "id")
-    scored = pairs.withColumn("score", weighted_ratio_udf("q", "choice")).where(F.col("score") >= cutoff)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("q", F.lit("")).alias("q"))
+    shards, blocks = -(-choices.count() // SHARD) or 1, -(-asked.count() // QUERIES) or 1
+    shard, block = (F.pmod(F.xxhash64(*columns), F.lit(n)) for columns, n in ((["id", "choice"], shards), (["query_id", "q"], blocks)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = choices.select(F.col("id").cast("long").alias("id"), "choice", shard.alias("shard"), every(blocks).alias("block"))
+    right = asked.select("query_id", "q", block.alias("block"), every(shards).alias("shard"))
+
+    def match(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        texts = Choices(items["choice"].tolist())
+        ids = items["id"].tolist()
+        for q, text in zip(queries["query_id"], queries["q"]):
+            scored = [(weighted_ratio(text, texts.texts[i]), ids[i]) for i in texts.may_reach(text, cutoff)]
+            best = heapq.nsmallest(k, ((-score, i) for score, i in scored if score >= cutoff))
+            found += [(q, i, -score) for score, i in best]
+        return pd.DataFrame(found, columns=["query_id", "id", "score"])
+
+    scored = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(match, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from medialake.functions import fuzzy, geometry, text
 from medialake.functions.media import category_from_path, classify_media_type
 from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, sampling, search
-from medialake.operators.fuzzy import fuzzy_candidates
+from medialake.operators.fuzzy import fuzzy_candidates, fuzzy_match
 from medialake.operators.rank import bm25_rank
 from medialake.sources import files
 
@@ -133,6 +133,49 @@ def test_fuzzy_score_forgives_a_typo():
     assert fuzzy.common_length("kitten", "sitting") == 4
 
 
+def test_bound_of_the_fuzzy_score_loses_nothing():
+    draw = random.Random(7)
+
+    def some(most):
+        return "".join(draw.choice("abcde  \té\U0001f600") for _ in range(draw.randint(0, most)))
+
+    for cutoff in (40.0, 75.0, 90.0):
+        texts = [some(draw.choice((6, 20, 60))) for _ in range(400)] + [None, "", "ab1cd2ef3gh"]
+        choices = fuzzy.Choices(texts)
+        for query in [some(12) for _ in range(40)] + ["abcdefgh", ""]:
+            reached = [i for i, t in enumerate(texts) if fuzzy.weighted_ratio(query, t or "") >= cutoff]
+            assert set(reached) <= set(choices.may_reach(query, cutoff))
+
+
+def test_partial_ratio_skips_no_better_window():
+    draw = random.Random(8)
+    for _ in range(500):
+        a, b = ("".join(draw.choice("abcx") for _ in range(draw.randint(1, n))) for n in (6, 14))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        windows = [long[max(0, i) : i + n] for i in range(1 - n, len(long))] + ([] if len(a) != len(b) else [short[max(0, i) : i + n] for i in range(1 - n, n)])
+        best = max(max(fuzzy.ratio(x, w) for w in windows) for x in ((short,) if len(a) != len(b) else (short, long)))
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(best) or len(a) == len(b) and fuzzy.partial_ratio(a, b) <= best
+
+
+def test_fuzzy_match_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr("medialake.operators.fuzzy.SHARD", 7)
+    monkeypatch.setattr("medialake.operators.fuzzy.QUERIES", 2)
+    draw = random.Random(9)
+    words = ["abcdefgh", "ab1cd2ef3gh", "hart", "kevin", "reaction", "kevn", "harts"]
+    items = [(i, "-".join(draw.sample(words, 2)), draw.choice([None, "", *words])) for i in range(60)]
+    queries = [(0, "kevn hart"), (1, "abcdefgh"), (2, None), (3, "reaktion"), (4, "kevn hart")]
+    found = fuzzy_match(spark.createDataFrame(items, "id long, stem string, title string"), spark.createDataFrame(queries, "query_id long, q string"), 75.0, 5).collect()
+    wanted = []
+    for n, q in queries:
+        texts = [(i, f"{stem.replace('-', ' ')} {title}" if title is not None else stem.replace("-", " ")) for i, stem, title in items]
+        scored = sorted((-fuzzy.weighted_ratio(q or "", t.strip(" ")), i) for i, t in texts)
+        wanted += [(n, r + 1, i, -score) for r, (score, i) in enumerate(x for x in scored[:5] if x[0] <= -75)]
+    assert len(wanted) >= 10 and sorted(tuple(r) for r in found) == wanted
+    empty = fuzzy_match(spark.createDataFrame([], "id long, stem string, title string"), spark.createDataFrame(queries, "query_id long, q string"))
+    assert empty.count() == 0
+
+
 def test_common_subsequence_against_a_table():
     draw = random.Random(5)
     for _ in range(200):

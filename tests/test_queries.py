@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from medialake.plans import catalog
+from medialake.functions.fuzzy import weighted_ratio
+from medialake.operators.fuzzy import fuzzy_text
+from medialake.plans import catalog, fixtures, q_search
 
 DATA = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
@@ -20,5 +22,15 @@ def test_other_queries_give_rows(spark, name):
     assert catalog.queries()[name](spark, DATA).columns
 
 
+def test_fuzzy_query_finds_what_all_pairs_hold(spark):
+    texts = [(r["id"], r["choice"]) for r in fuzzy_text(fixtures.items(spark, DATA)).collect()]
+    log = q_search.typo_log(spark, DATA).collect()
+    wanted = []
+    for q in log:
+        scored = sorted((-weighted_ratio(q["q"] or "", t or ""), i) for i, t in texts)
+        wanted += [(q["query_id"], k + 1, i, -score) for k, (score, i) in enumerate(scored[:50]) if score <= -75]
+    assert wanted and sorted(tuple(r) for r in catalog.queries()["d18_fuzzy_match"](spark, DATA).collect()) == sorted(wanted)
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(catalog.queries())
