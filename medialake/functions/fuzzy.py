@@ -75,6 +75,54 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
+def partial_ratios(a: str, others: list[str]) -> np.ndarray:
+    """``partial_ratio`` of ``a`` with each string; all windows of the longer ones are taken at once, bit-parallel over ``a``."""
+    n = len(a)
+    at = [i for i, b in enumerate(others) if 0 < n < min(len(b), 64)]
+    long = set(at)
+    best = np.array([0.0 if i in long else partial_ratio(a, b) for i, b in enumerate(others)])
+    if not at:
+        return best
+    # Gaps of n - 1 between texts: no window meets two of them, and those over an end are cut short.
+    gap = "\0" * (n - 1)
+    points = np.frombuffer((gap + gap.join(others[i] for i in at) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(others[i]) for i in at]) + n - 1
+    first = np.cumsum(sizes) - sizes
+    real = np.ones(len(points), np.int64)
+    for k in range(n - 1):
+        real[np.append(first, len(points) - n + 1) + k] = 0
+    masks = np.zeros(len(points), np.uint64)
+    for c in set(a):
+        masks[(points == ord(c)) & (real == 1)] = sum(1 << i for i, x in enumerate(a) if x == c)
+    windows, full = len(points) - n + 1, np.uint64((1 << n) - 1)
+    row = np.full(windows, full)
+    for k in range(n):
+        met = row & masks[k : k + windows]
+        row = (row + met | row - met) & full
+    before = np.concatenate([[0], np.cumsum(real)])
+    own = before[n:] - before[:-n]
+    best[at] = np.maximum.reduceat(200.0 * (n - np.bitwise_count(row).astype(np.int64)) / (n + own), first)
+    return best
+
+
+def weighted_ratios(a: str, others: list[str]) -> np.ndarray:
+    """``weighted_ratio`` of ``a`` with each string, those of parts together."""
+    apart = [i for i, b in enumerate(others) if a and b and max(len(a), len(b)) / min(len(a), len(b)) >= 1.5]
+    parts = set(apart)
+    best = np.array([ratio(a, b) if i in parts else weighted_ratio(a, b) for i, b in enumerate(others)])
+    some = [others[i] for i in apart]
+    tokens = set(a.split())
+    shared = np.array([not tokens.isdisjoint(b.split()) for b in some], bool)
+    whole = np.where(shared, 100.0, 0.0)
+    new = [b for b, s in zip(some, shared) if not s]
+    whole[~shared] = np.maximum(
+        partial_ratios(" ".join(sorted(a.split())), [" ".join(sorted(b.split())) for b in new]), partial_ratios(" ".join(sorted(tokens)), [" ".join(sorted(set(b.split()))) for b in new])
+    )
+    scale = np.array([0.9 if max(len(a), len(b)) / min(len(a), len(b)) <= 8 else 0.6 for b in some])
+    best[apart] = np.maximum(best[apart], np.maximum(scale * partial_ratios(a, some), 0.95 * scale * whole))
+    return best
+
+
 class Choices:
     """Texts with their character counts, which bound the weighted ratio from above.
 

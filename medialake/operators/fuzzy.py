@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from medialake.functions.fuzzy import Choices, weighted_ratio
+from medialake.functions.fuzzy import Choices, weighted_ratios
 
 CUTOFF = 75.0
 MOST = 50
 #: Items and queries of a group that is compared at once.
-SHARD = 1024
+SHARD = 512
 QUERIES = 256
 
 
@@ -49,7 +49,8 @@ def fuzzy_match(items: DataFrame, queries: DataFrame, cutoff: float = CUTOFF, k:
         texts = Choices(items["choice"].tolist())
         ids = items["id"].tolist()
         for q, text in zip(queries["query_id"], queries["q"]):
-            scored = [(weighted_ratio(text, texts.texts[i]), ids[i]) for i in texts.may_reach(text, cutoff)]
+            some = texts.may_reach(text, cutoff)
+            scored = zip(weighted_ratios(text, [texts.texts[i] for i in some]).tolist(), (ids[i] for i in some))
             best = heapq.nsmallest(k, ((-score, i) for score, i in scored if score >= cutoff))
             found += [(q, i, -score) for score, i in best]
         return pd.DataFrame(found, columns=["query_id", "id", "score"])

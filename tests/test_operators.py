@@ -158,6 +158,15 @@ def test_partial_ratio_skips_no_better_window():
         assert fuzzy.partial_ratio(a, b) == pytest.approx(best) or len(a) == len(b) and fuzzy.partial_ratio(a, b) <= best
 
 
+def test_scores_of_many_texts_are_those_of_each():
+    draw = random.Random(10)
+    texts = ["".join(draw.choice("abcd  \0é") for _ in range(draw.randint(0, n))) for n in (4, 20, 90) for _ in range(150)]
+    for a in texts[::13] + ["ab" * 40]:
+        assert fuzzy.partial_ratios(a, texts).tolist() == [fuzzy.partial_ratio(a, b) for b in texts]
+        assert fuzzy.weighted_ratios(a, texts).tolist() == pytest.approx([fuzzy.weighted_ratio(a, b) for b in texts], abs=1e-12)
+    assert fuzzy.weighted_ratios("a", []).tolist() == []
+
+
 def test_fuzzy_match_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr("medialake.operators.fuzzy.SHARD", 7)
     monkeypatch.setattr("medialake.operators.fuzzy.QUERIES", 2)
