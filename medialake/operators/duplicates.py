@@ -19,8 +19,10 @@ from medialake.plans.shared import stored
 BANDS = 4
 BAND_DIGITS = 4
 MAX_DISTANCE = 6
-#: Fingerprints of a block when distances within a cluster are taken.
+#: Fingerprints of a block when distances within a cluster are taken, and of a band's value on one side of a part.
 BLOCK = 2048
+#: Blocks of a cluster on one side of a part.
+PART = 8
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -86,18 +88,29 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))) + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1)))
 
 
-def band_candidates(fingerprints: DataFrame) -> DataFrame:
-    """(a, b): distinct fingerprints, a before b, that share one of four bands of 16 bits."""
+def band_candidates(fingerprints: DataFrame, max_distance: int | None = None) -> DataFrame:
+    """(a, b): distinct fingerprints, a before b, that share one of four bands of 16 bits.
+
+    With ``max_distance`` only those that differ in so many bits at most, dropped where they meet. A value that
+    more than ``BLOCK`` fingerprints share is met in parts: each of its fingerprints is in one part on the left
+    and in every part on the right.
+    """
     distinct = usable(fingerprints).select("fp").distinct()
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fp", 1 + BAND_DIGITS * k, BAND_DIGITS).alias("value")) for k in range(BANDS)])
     banded = distinct.select("fp", F.explode(bands).alias("x")).select("fp", "x.band", "x.value")
-    left, right = banded.withColumnRenamed("fp", "a"), banded.withColumnRenamed("fp", "b")
-    return left.join(right, ["band", "value"]).where("a < b").select("a", "b").distinct()
+    crowded = banded.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    split = banded.join(crowded, ["band", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = split.select("band", "value", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.col("fp").alias("a"))
+    right = split.select("band", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("fp").alias("b"))
+    met = left.join(right, ["band", "value", "part"]).where("a < b")
+    if max_distance is not None:
+        met = met.where(hamming("a", "b") <= max_distance)
+    return met.select("a", "b").distinct()
 
 
 def near_pairs(fingerprints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance) of band candidates that differ in at most ``max_distance`` bits."""
-    return band_candidates(fingerprints).withColumn("distance", hamming("a", "b")).where(F.col("distance") <= max_distance)
+    return band_candidates(fingerprints, max_distance).withColumn("distance", hamming("a", "b"))
 
 
 def cluster(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -115,16 +128,19 @@ def cluster(items: DataFrame, pairs: DataFrame) -> DataFrame:
 def cluster_diameter(clusters: DataFrame) -> DataFrame:
     """(cluster, distance): the largest distance of two fingerprints of a cluster.
 
-    Fingerprints are gathered in blocks of bounded size; two blocks of a cluster meet as one row.
+    Fingerprints are gathered in blocks of bounded size; two blocks of a cluster meet as one row, those of a
+    large cluster in parts of ``PART`` blocks.
     """
     number = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("fp")) - 1
     parts = clusters.select("cluster", "fp").distinct().withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(64)))
     blocks = parts.withColumn("block", F.concat_ws("-", "part", F.floor(number / BLOCK).cast("string"))).groupBy("cluster", "block").agg(F.collect_list("fp").alias("fps"))
-    few = blocks.groupBy("cluster").agg(F.sum(F.size("fps")).alias("n"))
-    small = clusters.select("cluster", "fp").distinct().join(few.where(F.col("n") <= BLOCK), "cluster").groupBy("cluster").agg(F.collect_list("fp").alias("fps")).select("cluster", F.lit("0").alias("block"), "fps")
-    big = blocks.join(few.where(F.col("n") > BLOCK).select("cluster"), "cluster", "left_semi")
-    every = stored(small.unionByName(big.select("cluster", "block", "fps")))
-    met = every.join(every.select("cluster", F.col("block").alias("block_b"), F.col("fps").alias("fps_b")), "cluster").where("block <= block_b")
+    few = blocks.groupBy("cluster").agg(F.sum(F.size("fps")).alias("n"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    small = clusters.select("cluster", "fp").distinct().join(few.where(F.col("n") <= BLOCK), "cluster").groupBy("cluster").agg(F.collect_list("fp").alias("fps")).select("cluster", F.lit("0").alias("block"), "fps", F.lit(1).alias("parts"))
+    big = blocks.join(few.where(F.col("n") > BLOCK).select("cluster", "parts"), "cluster")
+    every = stored(small.unionByName(big.select("cluster", "block", "fps", "parts")))
+    left = every.withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    right = every.select("cluster", F.col("block").alias("block_b"), F.col("fps").alias("fps_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = left.join(right, ["cluster", "part"]).where("block <= block_b")
 
     @F.pandas_udf(T.IntegerType())
     def widest(left: pd.Series, right: pd.Series) -> pd.Series:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from medialake.operators.numbering import number_rows
+from medialake.plans.shared import stored
+
 MEDIA_TYPES = ("image", "gif", "video")
 
 
@@ -103,21 +107,23 @@ def builtin_collections(items: DataFrame, view_counts: DataFrame, favorites: Dat
     return counts.unionByName(by_category)
 
 
+#: Saved searches that meet the items at once.
+SAVED_BLOCK = 1000
 FILTERS_SCHEMA = "type array<string>, category array<string>, tag array<string>, favorite boolean, nsfw string, min_duration double, max_duration double, since string"
 
 
 def eval_saved_collections(collections: DataFrame, search_docs: DataFrame, items: DataFrame, item_tags: DataFrame, favorites: DataFrame) -> DataFrame:
     """(collection_id, n): how many items each stored search finds.
 
-    ``collections`` (collection_id, query, filters_json) is a small table of a library's saved searches, so
-    it is the side that Spark may broadcast; items are read once for all of them.
+    ``collections`` (collection_id, query, filters_json) is the query set: it meets the items in blocks of
+    ``SAVED_BLOCK`` searches, so a broadcast never exceeds one block; items are prepared once for all of them.
     """
     parsed = collections.select("collection_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"), F.from_json("filters_json", FILTERS_SCHEMA).alias("f"))
     tags = item_tags.groupBy("item_id").agg(F.collect_set("tag").alias("own_tags"))
     starred = favorites.select("sha256", F.lit(True).alias("starred"))
     docs = search_docs.select(F.col("id").alias("doc"), F.lower(F.concat_ws("\n", "name", "title", "description", "ocr_text", "tags", "topics", "category")).alias("all_text"))
     rows = items.join(docs, items["id"] == docs["doc"]).join(tags, items["id"] == tags["item_id"], "left").join(starred, "sha256", "left")
-    f = parsed["f"]
+    f = F.col("f")
     empty = lambda c: f[c].isNull() | (F.size(f[c]) == 0)
     words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
     mode = F.coalesce(f["nsfw"], F.lit("exclude"))
@@ -132,5 +138,9 @@ def eval_saved_collections(collections: DataFrame, search_docs: DataFrame, items
         & (f["since"].isNull() | (F.col("created_at") >= f["since"].cast("timestamp")))
         & F.forall(words, lambda w: F.contains("all_text", w))
     )
-    met = rows.join(parsed, condition).groupBy("collection_id").agg(F.count("*").alias("n"))
+    searches = collections.count()
+    if searches > SAVED_BLOCK:
+        rows, parsed = stored(rows.drop("id", "doc", "item_id")), stored(number_rows(parsed, ["collection_id"], "number"))
+    blocks = [parsed] if searches <= SAVED_BLOCK else [parsed.where(F.floor(F.col("number") / SAVED_BLOCK) == k) for k in range(math.ceil(searches / SAVED_BLOCK))]
+    met = reduce(DataFrame.unionByName, [rows.join(F.broadcast(block), condition).groupBy("collection_id").agg(F.count("*").alias("n")) for block in blocks])
     return collections.select("collection_id").join(met, "collection_id", "left").select("collection_id", F.coalesce("n", F.lit(0)).alias("n"))

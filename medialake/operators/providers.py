@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
+
+@dataclass(frozen=True)
+class Provider:
+    """Adds columns to the fields that the providers before it have given.
+
+    ``extract`` takes the fields so far and returns the key and its own columns, a row for each key that it
+    knows. Its values replace others if it ``overrides``, otherwise they fill what is blank.
+    """
+
+    name: str
+    extract: Callable[[DataFrame], DataFrame]
+    overrides: bool = False
+
 
-def merge_providers(basic: DataFrame, sidecar: DataFrame, path: DataFrame, key: str = "path") -> DataFrame:
-    """``basic`` overridden by the sidecar's values; values from the path fill what is blank.
+def merge_providers(basic: DataFrame, providers: Sequence[Provider], key: str = "path") -> DataFrame:
+    """``basic`` with what ``providers`` add, in their order.
 
-    A provider without a row for a key adds nothing. Columns of ``basic`` that another provider also has
-    are merged, others are kept.
+    A provider without a row for a key adds nothing to it, and one that raises when it builds its table, or
+    whose table has no key, adds nothing at all (a warning names it); values that cannot be read are for a
+    provider to give as null. Columns of ``basic`` that a provider also has are merged, others are kept.
     """
     merged = basic
-    for provider, wins in ((sidecar, True), (path, False)):
-        own = [c for c in provider.columns if c != key]
-        side = provider.select(key, *[F.col(c).alias(f"_p_{c}") for c in own])
-        merged = merged.join(side, key, "left")
-        values = {c: (_override(c) if wins else _fill(c)) if c in basic.columns else F.col(f"_p_{c}") for c in own}
-        merged = merged.withColumns(values).drop(*[f"_p_{c}" for c in own])
+    for provider in providers:
+        try:
+            table = provider.extract(merged)
+            own = [c for c in table.columns if c != key]
+            side = table.select(key, *[F.col(c).alias(f"_p_{c}") for c in own])
+        except Exception as error:
+            log.warning("provider %s adds nothing: %s", provider.name, error)
+            continue
+        known = merged.columns
+        rule = _override if provider.overrides else _fill
+        joined = merged.join(side, key, "left")
+        merged = joined.withColumns({c: rule(c) if c in known else F.col(f"_p_{c}") for c in own}).drop(*side.columns[1:])
     return merged
 
 

@@ -51,7 +51,13 @@ def a6(s, d):
     i = F.col("id")
     basic = items.select("path", F.lit("untitled").alias("title"), F.lit(None).cast("string").alias("description"), F.when(i % 5 == 0, F.col("category_name")).alias("category_name"))
     sidecar = items.where(i % 3 == 0).select("path", F.when(i % 4 != 0, F.col("title")).alias("title"), "description")
-    return providers.merge_providers(basic, sidecar, items.select("path", category_from_path(F.col("rel_path")).alias("category_name")))
+    folders = items.select("path", category_from_path(F.col("rel_path")).alias("category_name"))
+    chain = [
+        providers.Provider("sidecar", lambda fields: sidecar, overrides=True),
+        providers.Provider("broken", lambda fields: fields.select("path", "no_such_column")),
+        providers.Provider("pathtags", lambda fields: folders),
+    ]
+    return providers.merge_providers(basic, chain)
 
 
 @query(

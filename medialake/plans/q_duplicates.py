@@ -49,6 +49,22 @@ def f1(s, d):
     return dup.exact_groups(fx.items(s, d))
 
 
+# Each vector as a picture of 16 x 18 grey points: 8 x 9 levels of its components in turn, every one on 2 x 2 points.
+@query(
+    "f2_dhash_images",
+    """WITH levels AS (SELECT vec_id, list_transform(range(0, 72), lambda i: floor((embedding[i % 64 + 1]::DOUBLE + 1) * 127.5)::INT) AS v FROM embeddings
+    ), bits AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CAST(v[i + i // 8 + 1] > v[i + i // 8 + 2] AS INT)) AS b FROM levels)
+    SELECT 'vec-' || vec_id AS path, array_to_string(list_transform(range(0, 16), lambda k: format('{:x}', b[4 * k + 1] * 8 + b[4 * k + 2] * 4 + b[4 * k + 3] * 2 + b[4 * k + 4])), '') AS fp FROM bits""",
+)
+def f2(s, d):
+    vec = F.col("embedding")
+    level = lambda i: F.lpad(F.hex(F.floor((F.get(vec, i % 64).cast("double") + 1) * 127.5)), 2, "0")
+    line = lambda r: F.array_join(F.transform(F.sequence(9 * r, 9 * r + 8), lambda i: F.repeat(level(i), F.lit(2))), "")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(line(r), F.lit(2))), ""))
+    image = F.struct(F.concat(F.lit("vec-"), "vec_id").alias("origin"), F.lit(16).alias("height"), F.lit(18).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return dup.dhash_images(fx.table(s, d, "embeddings").select(image.alias("image")))
+
+
 @query("f3_dhash_vectors", VECTORS_SQL + " SELECT id, fp FROM fps")
 def f3(s, d):
     return _vectors(s, d)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions import fuzzy, geometry, text
 from medialake.functions.media import category_from_path, classify_media_type
-from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, sampling, search
+from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, providers, sampling, search
 from medialake.operators.fuzzy import fuzzy_candidates, fuzzy_match
 from medialake.operators.rank import bm25_rank
 from medialake.sources import files
@@ -221,6 +221,45 @@ def test_clusters_are_transitive_and_wider_than_the_limit(spark):
     assert kinds == [("exact", 1, 1, 2, 0), ("exact", 1, 6, 2, 0), *(("near", 1, k, 4, 8) for k in (1, 2, 3, 6))]
 
 
+def test_crowded_bands_and_clusters_are_met_in_parts(spark, monkeypatch):
+    """Small blocks and parts change no pair and no distance."""
+    rows = [(k, f"h{k}", f"0123{k * 37 % 256:02x}{k % 11:02x}{k:04x}{k * 7 % 65536:04x}") for k in range(1, 120)]
+    items = spark.createDataFrame(rows, "id int, sha256 string, fp string")
+    wanted = sorted(map(tuple, duplicates.near_pairs(items, 12).collect()))
+    clusters = duplicates.cluster(items, duplicates.near_pairs(items, 12))
+    widest = sorted(map(tuple, duplicates.cluster_diameter(clusters).collect()))
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    monkeypatch.setattr(duplicates, "PART", 3)
+    by_hand = sorted((a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for _, _, a in rows for _, _, b in rows if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 12)
+    assert sorted(map(tuple, duplicates.near_pairs(items, 12).collect())) == wanted == by_hand
+    assert sorted(map(tuple, duplicates.cluster_diameter(clusters).collect())) == widest
+
+
+def test_saved_searches_in_blocks(spark, monkeypatch):
+    from medialake.plans import q_facets
+
+    whole = sorted(map(tuple, q_facets.e12(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(facets, "SAVED_BLOCK", 2)
+    assert sorted(map(tuple, q_facets.e12(spark, "/root/testdata/sf0.001").collect())) == whole
+
+
+def test_providers_in_order(spark):
+    """Later providers see what earlier ones gave; one that raises adds nothing."""
+    basic = spark.createDataFrame([("a", "t", None), ("b", "u", None)], "path string, title string, tag string")
+
+    def raising(fields):
+        raise OSError("no such store")
+
+    chain = [
+        providers.Provider("first", lambda fields: fields.where("path = 'a'").select("path", F.lit("x").alias("tag"), F.lit("new").alias("title")), overrides=True),
+        providers.Provider("raising", raising),
+        providers.Provider("keyless", lambda fields: fields.select("title")),
+        providers.Provider("last", lambda fields: fields.select("path", F.concat("title", F.lit("!")).alias("tag"), F.lit(1).alias("seen"))),
+    ]
+    found = sorted(tuple(r) for r in providers.merge_providers(basic, chain).select("path", "title", "tag", "seen").collect())
+    assert found == [("a", "new", "x", 1), ("b", "u", "u!", 1)]
+
+
 def test_fuzzy_candidates_by_hand(spark):
     """Accented words and copies too: every pair with two common trigrams and at most two edits."""
     left, right = ["étude", "etude", "straße", "thn", "ab"], ["étudé", "etudes", "strasse", "then", "ab", "straßen", "études"]
