@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import ann, hamming_search, language, licenses, line_dedup, lm_score, mixing, packing, personal_data, simhash
+from medialake.llm import ann, divergence, fingerprint, hamming_search, language, licenses, line_dedup, lm_score, mixing, packing, personal_data, simhash, spelling
 from medialake.plans.shared import table
 
 
@@ -98,6 +98,89 @@ WITH sound AS (
 SELECT query_id, rank::INT AS rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP11 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+), counted AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), steps AS (  -- each byte of the name, and eight shifts (-1) after it
+  SELECT run, c, flatten(list_transform(string_split(name, ''), lambda x: list_concat(
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1, unicode(x)::BIGINT - 64] END, [-1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM counted
+), hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], steps), lambda h, s: CASE WHEN s >= 0 THEN xor(h, s) ELSE xor(h >> 1, 3988292384 * (h & 1)) END)) AS h FROM steps
+), spelled AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), less AS (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS place
+  FROM near JOIN words w ON w.word = other
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 5 * w.n THEN other END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed t ON t.word = c.root AND t.form IS NULL
+"""
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13 = r"""
+WITH read AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM read) GROUP BY ALL HAVING count(*) >= 10
+), occurring AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM read) JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM read
+), counted AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total, sum(coalesce(n, 0)) OVER (PARTITION BY lang, term) AS lang_n,
+         sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS lang_total, count(*) OVER (PARTITION BY lang, source) AS v
+  FROM groups JOIN kept USING (lang) LEFT JOIN occurring USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000 * (n + 2)) // (total + 2 * v))::BIGINT AS p, (1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v))::BIGINT AS q FROM counted
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), differing AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN differing USING (lang, source, item)
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
@@ -110,9 +193,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_lm_score": op9_lm_score,
     "op10_hamming_top_k": op10_hamming_top_k,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2,
     "op10_hamming_top_k": OP10,
+    "op11_spelling_variants": OP11,
+    "op13_source_divergence": OP13,
 }
