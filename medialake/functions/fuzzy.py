@@ -121,49 +121,3 @@ def weighted_ratios(a: str, others: list[str]) -> np.ndarray:
     scale = np.array([0.9 if max(len(a), len(b)) / min(len(a), len(b)) <= 8 else 0.6 for b in some])
     best[apart] = np.maximum(best[apart], np.maximum(scale * partial_ratios(a, some), 0.95 * scale * whole))
     return best
-
-
-class Choices:
-    """Texts with their character counts, which bound the weighted ratio from above.
-
-    A common subsequence is no longer than the characters that two strings share. Each text counts as it is,
-    with single blanks, and with each token once, as these are the forms that the ratios compare.
-    """
-
-    def __init__(self, texts: list[str | None]):
-        self.texts = [t or "" for t in texts]
-        self.holders: dict[str, list[int]] = {}
-        for i, text in enumerate(self.texts):
-            for token in set(text.split()):
-                self.holders.setdefault(token, []).append(i)
-        self.forms = [(_counts(f), np.array([len(t) for t in f], float)) for f in zip(*map(_forms, self.texts))]
-
-    def may_reach(self, query: str, cutoff: float) -> list[int]:
-        """Places of the texts whose weighted ratio with ``query`` may be ``cutoff`` or more, in order."""
-        if not query or not self.texts:
-            return list(range(len(self.texts))) if cutoff <= 0 else []
-        plain, part = [], []
-        for (counts, sizes), form in zip(self.forms, _forms(query)):
-            shared = np.minimum(counts, _counts([form])).sum(1)
-            both_empty = np.where(sizes + len(form) == 0, 100.0, 0.0)
-            plain.append(200.0 * shared / np.maximum(sizes + len(form), 1) + both_empty)
-            part.append(200.0 * shared / np.maximum(np.minimum(sizes, len(form)) + shared, 1) + both_empty)
-        sizes = self.forms[0][1]
-        longer = np.maximum(sizes, len(query)) / np.maximum(np.minimum(sizes, len(query)), 1)
-        scale = np.where(longer < 1.5, 1.0, np.where(longer <= 8, 0.9, 0.6))
-        parts = np.where(longer < 1.5, 0.0, np.max(part, 0))
-        parts[sorted({i for token in set(query.split()) for i in self.holders.get(token, ())})] = 100.0
-        bound = np.maximum(np.max(plain, 0), scale * parts)
-        return np.flatnonzero((bound >= cutoff - 1e-6) & (sizes > 0) | (cutoff <= 0)).tolist()
-
-
-def _forms(text: str) -> tuple[str, str, str]:
-    tokens = text.split()
-    return text, " ".join(tokens), " ".join(set(tokens))
-
-
-def _counts(texts) -> np.ndarray:
-    """Characters of each text in 64 classes."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return np.bincount(owner * 64 + points % 64, minlength=len(texts) * 64).reshape(-1, 64)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.functions.media import MEME_TYPES, classify_media_type
-from medialake.plans.shared import table
+from medialake.plans.shared import spread, table
 
 EXTENSIONS = (".jpg", ".png", ".gif", ".mp4", ".webp")
 FIRST_TAGS = 4
@@ -19,9 +19,10 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number.cast("int"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The central table: a row for each document, read as a media file with its metadata."""
+def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The central table: a row for each document, read as a media file with its metadata; ``wide`` for costly work on texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spread(docs) if wide else docs
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = F.col("doc_id")
     words = F.filter(F.split(F.lower("text"), r"[ \n\t]+"), lambda w: w != "")

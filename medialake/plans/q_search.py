@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.operators import facets, fuzzy, rank, search
+from medialake.operators import facets, fuzzy, postings, rank, search
 from medialake.operators.diff import rebuild_item_tags
 from medialake.operators.normalize import build_search_docs
 from medialake.operators.search_page import search_page
@@ -33,6 +33,12 @@ def _frequency(term: str) -> str:
     return " + ".join(f"{w} * len(list_filter(range(1, greatest(2, length({f}) - length({term}) + 2)), lambda i: substr({f}, i, length({term})) = {term}))" for f, w in rank.WEIGHTS.items())
 
 
+def _count(term: str, looped: str) -> str:
+    """Weighted places of a term: by what is left without it, or place by place if it may overlap itself."""
+    one = lambda f: f"CASE WHEN NOT contains({f}, {term}) THEN 0 WHEN {looped} THEN len(list_filter(range(1, greatest(2, length({f}) - length({term}) + 2)), lambda i: {f}[i:i + length({term}) - 1] = {term})) ELSE (length({f}) - length(replace({f}, {term}, ''))) // length({term}) END"
+    return " + ".join(f"{w} * ({one(f)})" for f, w in rank.WEIGHTS.items())
+
+
 def _part(having: str, frequency: str) -> str:
     idf = f"greatest(1e-6, ln(((SELECT count(*) FROM sized) - {having} + 0.5) / ({having} + 0.5)))"
     return f"{idf} * {frequency} * 2.2 / ({frequency} + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM sized)))"
@@ -46,7 +52,7 @@ def bm25_sql(terms: tuple[str, ...]) -> str:
 
 
 def _docs(s, d):
-    return build_search_docs(fx.items(s, d))
+    return build_search_docs(fx.items(s, d, True))
 
 
 def _tags(s, d):
@@ -141,7 +147,7 @@ def typo_log(s, d):
 
 @query("d18_fuzzy_match")
 def d18(s, d):
-    return fuzzy.fuzzy_match(fx.items(s, d), typo_log(s, d))
+    return fuzzy.fuzzy_match(fx.items(s, d, True), typo_log(s, d))
 
 
 @query("d19_fuzzy_candidates")
@@ -156,13 +162,13 @@ def d19(s, d):
     SELECT id, rank, round(score, 6) AS score, coalesce(view_count, 0) AS view_count, sha256 IN (SELECT sha256 FROM favorites) AS favorite, total, false AS fuzzy_used FROM hits LEFT JOIN counts USING (sha256) WHERE rank <= 20""",
 )
 def d20(s, d):
-    page = search_page(fx.items(s, d), " ".join(TERMS), _tags(s, d), fx.favorites(s, d), _views(s, d), limit=20)
+    page = search_page(fx.items(s, d, True), " ".join(TERMS), _tags(s, d), fx.favorites(s, d), _views(s, d), limit=20)
     return page.select("id", "rank", F.round("score", 6).alias("score"), "view_count", "favorite", F.col("total").cast("long").alias("total"), "fuzzy_used")
 
 
 @query("d20_search_fuzzy_top_up")
 def d20_fuzzy(s, d):
-    page = search_page(fx.items(s, d), "en src1 thnterble zz", _tags(s, d), fx.favorites(s, d), _views(s, d), limit=20)
+    page = search_page(fx.items(s, d, True), "en src1 thnterble zz", _tags(s, d), fx.favorites(s, d), _views(s, d), limit=20)
     return page.select("id", "rank", "view_count", "favorite", "total", "fuzzy_used")
 
 
@@ -204,10 +210,12 @@ def d24(s, d):
 @query(
     "d25_batch_search",
     DOCS_SQL + f""", asked AS (SELECT DISTINCT query_id, lower(w) AS term FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 3)[1:2]) AS w FROM benchmark)
-    ), terms AS (SELECT DISTINCT term FROM asked), hits AS (SELECT term, id, size, {_frequency("term")} AS f FROM terms JOIN sized ON {_any("term")}
+    ), terms AS (SELECT term, len(list_filter(range(1, length(term)), lambda i: left(term, i) = right(term, i))) > 0 AS looped FROM (SELECT DISTINCT term FROM asked)
+    ), hits AS (SELECT term, id, size, {_count("term", "looped")} AS f FROM terms JOIN sized ON {_any("term")}
     ), parts AS (SELECT h.term, id, {_part("n.n", "f")} AS part FROM hits h JOIN (SELECT term, count(*) AS n FROM hits GROUP BY 1) n USING (term)
     ), scored AS (SELECT query_id, id, -sum(part) AS score FROM asked a JOIN parts p USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked b WHERE b.query_id = a.query_id)
     ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM scored) SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
 )
 def d25(s, d):
-    return rank.batch_search(_docs(s, d), _query_log(s, d)).withColumn("score", F.round("score", 6))
+    found = postings.batch_search_by_postings(postings.build_postings(_docs(s, d)), _query_log(s, d))
+    return found.withColumn("score", F.round("score", 6))

@@ -27,17 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in folders by the column ``by`` if one is given, and read it back.
 
     Cuts lineage, survives lost executors, and lets several later jobs read the columns they need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/medialake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt to all cores where its files make fewer partitions than there are cores.
+
+    For work that costs much more than moving the rows; tables of many files stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

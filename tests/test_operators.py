@@ -6,14 +6,17 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medialake.functions import fuzzy, geometry, text
+from medialake.functions import fuzzy, fuzzy_bounds, geometry, text
 from medialake.functions.media import category_from_path, classify_media_type
 from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, providers, sampling, search
-from medialake.operators.fuzzy import fuzzy_candidates, fuzzy_match
+from medialake.operators.fuzzy import build_fuzzy_index, fuzzy_candidates, fuzzy_match, scores_computed
 from medialake.operators.rank import bm25_rank
+from medialake.plans import fixtures, q_search
+from medialake.plans.shared import stored
 from medialake.sources import files
 
 
@@ -139,12 +142,16 @@ def test_bound_of_the_fuzzy_score_loses_nothing():
     def some(most):
         return "".join(draw.choice("abcde  \té\U0001f600") for _ in range(draw.randint(0, most)))
 
-    for cutoff in (40.0, 75.0, 90.0):
-        texts = [some(draw.choice((6, 20, 60))) for _ in range(400)] + [None, "", "ab1cd2ef3gh"]
-        choices = fuzzy.Choices(texts)
-        for query in [some(12) for _ in range(40)] + ["abcdefgh", ""]:
-            reached = [i for i, t in enumerate(texts) if fuzzy.weighted_ratio(query, t or "") >= cutoff]
-            assert set(reached) <= set(choices.may_reach(query, cutoff))
+    texts = [some(draw.choice((6, 20, 60))) for _ in range(400)] + ["", "\t", "ab1cd2ef3gh", "a" * 600, "ab" * 300, "a b " * 90]
+    cell = fuzzy_bounds.Cell(np.arange(len(texts)), texts, fuzzy_bounds.features(texts), fuzzy_bounds.sizes(texts))
+    for query in [some(12) for _ in range(60)] + [some(90) for _ in range(10)] + ["abcdefgh", "", " ", "a" * 500, "ab" * 290]:
+        bound, known = cell.bounds(fuzzy_bounds.Query(query))
+        score = np.array([fuzzy.weighted_ratio(query, t) for t in texts])
+        assert (score <= bound + 1e-9).all() and (score[known] == bound[known]).all()
+        for k, cutoff in ((3, 40.0), (10, 75.0), (1000, 0.0)):
+            held = []
+            assert cell.best(fuzzy_bounds.Query(query), cutoff, k, held) <= len(texts)
+            assert sorted((-s, -i) for s, i in held) == sorted((-s, i) for i, s in enumerate(score) if s >= cutoff)[:k]
 
 
 def test_partial_ratio_skips_no_better_window():
@@ -167,24 +174,38 @@ def test_scores_of_many_texts_are_those_of_each():
     assert fuzzy.weighted_ratios("a", []).tolist() == []
 
 
-def test_fuzzy_match_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr("medialake.operators.fuzzy.SHARD", 7)
-    monkeypatch.setattr("medialake.operators.fuzzy.QUERIES", 2)
+@pytest.mark.parametrize("cell,block,k,cutoff", [(7, 2, 5, 75.0), (1024, 2048, 1, 60.0), (16, 3, 100, 40.0)])
+def test_fuzzy_match_against_all_pairs(spark, monkeypatch, cell, block, k, cutoff):
+    monkeypatch.setattr("medialake.operators.fuzzy.CELL", cell)
+    monkeypatch.setattr("medialake.operators.fuzzy.QUERIES", block)
     draw = random.Random(9)
-    words = ["abcdefgh", "ab1cd2ef3gh", "hart", "kevin", "reaction", "kevn", "harts"]
-    items = [(i, "-".join(draw.sample(words, 2)), draw.choice([None, "", *words])) for i in range(60)]
-    queries = [(0, "kevn hart"), (1, "abcdefgh"), (2, None), (3, "reaktion"), (4, "kevn hart")]
-    found = fuzzy_match(spark.createDataFrame(items, "id long, stem string, title string"), spark.createDataFrame(queries, "query_id long, q string"), 75.0, 5).collect()
+    words = ["abcdefgh", "ab1cd2ef3gh", "hart", "kevin", "reaction", "kevn", "harts", "a long title of many words that no query comes near"]
+    items = [(i, "-".join(draw.sample(words, 2)), draw.choice([None, "", *words])) for i in range(300)]
+    queries = [(0, "kevn hart"), (1, "abcdefgh"), (2, None), (3, "reaktion"), (4, "kevn hart"), (5, "a lnog tilte of words"), (6, "kevin hart")]
+    frame = spark.createDataFrame(items, "id long, stem string, title string")
+    asked = spark.createDataFrame(queries, "query_id long, q string")
+    found = fuzzy_match(frame, asked, cutoff, k).collect()
     wanted = []
     for n, q in queries:
         texts = [(i, f"{stem.replace('-', ' ')} {title}" if title is not None else stem.replace("-", " ")) for i, stem, title in items]
         scored = sorted((-fuzzy.weighted_ratio(q or "", t.strip(" ")), i) for i, t in texts)
-        wanted += [(n, r + 1, i, -score) for r, (score, i) in enumerate(x for x in scored[:5] if x[0] <= -75)]
-    assert len(wanted) >= 10 and sorted(tuple(r) for r in found) == wanted
-    empty = fuzzy_match(spark.createDataFrame([], "id long, stem string, title string"), spark.createDataFrame(queries, "query_id long, q string"))
+        wanted += [(n, r + 1, i, -score) for r, (score, i) in enumerate(x for x in scored[:k] if x[0] <= -cutoff)]
+    assert len(wanted) >= 6 and sorted(tuple(r) for r in found) == wanted
+    empty = fuzzy_match(frame.limit(0), asked)
     assert empty.count() == 0
 
 
+def test_few_fuzzy_scores_are_computed(spark):
+    """Well below items x queries: lengths, counts and held scores settle the rest."""
+    items = fixtures.items(spark, "/root/testdata/sf0.01")
+    asked = q_search.typo_log(spark, "/root/testdata/sf0.01")
+    cells = stored(build_fuzzy_index(items))
+    scored = scores_computed(cells, asked).agg(F.sum("scored")).first()[0]
+    assert 0 < scored < 0.15 * items.count() * asked.count()
+    first = cells.select(F.explode("ids").alias("id")).groupBy("id").count()
+    assert first.count() == items.count() and first.where("count > 1").isEmpty()
+
+
 def test_common_subsequence_against_a_table():
     draw = random.Random(5)
     for _ in range(200):

@@ -32,5 +32,20 @@ def test_fuzzy_query_finds_what_all_pairs_hold(spark):
     assert wanted and sorted(tuple(r) for r in catalog.queries()["d18_fuzzy_match"](spark, DATA).collect()) == sorted(wanted)
 
 
+def test_fuzzy_top_up_adds_what_all_pairs_hold(spark):
+    """The page holds the exact hits, then the best other items by score that pass the filter."""
+    items = fixtures.items(spark, DATA)
+    words = "en src1 thnterble zz"
+    exact = [r["id"] for r in items.where("not nsfw").collect() if all(w in (r["name"] + r["title"]).lower() for w in ["zz"]) and all(w in str(r.asDict()).lower() for w in ["src1", "thnterble"])]
+    texts = [(r["id"], r["choice"]) for r in fuzzy_text(items.where("not nsfw")).collect()]
+    parsed = q_search.search.parse_query(spark, words)
+    asked = " ".join((*parsed.long_terms, *parsed.short_terms))
+    scored = sorted((-weighted_ratio(asked, t or ""), i) for i, t in texts)
+    wanted = [i for s, i in scored[:50] if s <= -75 and i not in exact][:20]
+    rows = sorted(catalog.queries()["d20_search_fuzzy_top_up"](spark, DATA).collect(), key=lambda r: r["rank"])
+    assert not exact and wanted and [r["id"] for r in rows] == wanted
+    assert [r["rank"] for r in rows] == list(range(1, len(wanted) + 1)) and all(r["fuzzy_used"] and r["total"] == len(wanted) for r in rows)
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(catalog.queries())
