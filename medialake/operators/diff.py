@@ -44,15 +44,16 @@ def detect_moves(diff: DataFrame) -> DataFrame:
     return new.join(removed, (F.col("sha256") == F.col("s")) & (F.col("n") == F.col("k"))).select("path", "old_path", "id")
 
 
-def apply_diff(diff: DataFrame, moves: DataFrame) -> DataFrame:
+def apply_diff(diff: DataFrame, moves: DataFrame, last: int | None = None) -> DataFrame:
     """The next snapshot: id, path, size_bytes, mtime_ns, sidecar_mtime_ns, sha256, rehash.
 
     Moved, changed and refreshed rows keep their ids, a refreshed row its hash; new rows are numbered after
-    the largest id by path; ``rehash`` marks rows whose derived fingerprint is void.
+    the largest id by path; ``rehash`` marks rows whose derived fingerprint is void. ``last`` is the largest id
+    where ``diff`` lacks the unchanged rows.
     """
     moved = moves.select("path", F.col("id").alias("moved_id"))
     alive = diff.where("status <> 'removed'").join(moved, "path", "left").withColumn("id", F.coalesce("moved_id", "id"))
-    last = diff.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    last = diff.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if last is None else last
     fresh = number_rows(alive.where("id is null").drop("id"), [F.col("path")], "_n").withColumn("id", F.col("_n") + 1 + last)
     columns = [
         "id", "path", "size_bytes", "mtime_ns", "sidecar_mtime_ns", F.when(F.col("status").isin("refresh", "unchanged"), F.col("old_sha256")).otherwise(F.col("sha256")).alias("sha256"),

@@ -36,6 +36,8 @@ BLOCK_CHARS = 1 << 21
 #: Folders of the index, and the one of the blocks' documents.
 BUCKETS = 32
 DOCS = -1
+#: In the place of an id whose document is no more.
+VOID = -(1 << 63)
 #: Terms that one pass over the index looks for.
 TERMS = 50_000
 #: Grams up to which the scan filters by a list; beyond it wanted grams are joined.
@@ -46,12 +48,13 @@ _WEIGHTS = np.array([*WEIGHTS.values(), 0.0])
 
 @dataclass(frozen=True)
 class Postings:
-    """``grams``: rows of ``_INDEX``; ``blocks``: block, ids, sizes; total rows and mean size of all of them."""
+    """``grams``: rows of ``_INDEX``; ``blocks``: block, ids, sizes; total rows and mean size of those that are not void; number of segments."""
 
     grams: DataFrame
     blocks: DataFrame
     total: int
     mean: float
+    segments: int = 1
 
 
 def gram_keys(points: np.ndarray) -> np.ndarray:
@@ -110,8 +113,8 @@ def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "gram", "most", "shortest", "docs", "places"])
 
 
-def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0) -> Iterator[pa.RecordBatch]:
+    number = segment << 52 | TaskContext.get().partitionId() << 32
     for batch in batches:
         sizes = batch.column("size").to_numpy(zero_copy_only=False)
         blocks = np.maximum(np.cumsum(sizes + 1) // BLOCK_CHARS, np.arange(len(sizes)) // BLOCK_DOCS)
@@ -123,16 +126,64 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     number += 1
 
 
-def build_postings(docs: DataFrame) -> Postings:
-    """The index of ``docs`` (id and the searched fields), written once into the shared folder."""
+def _segment(docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(grams, blocks) of some documents, written once."""
     rows = docs.select(F.col("id").cast("long").alias("id"), document_size().cast("long").alias("size"), *[F.lower(f).alias(f) for f in WEIGHTS])
-    found = rows.where("id is not null").mapInArrow(_index_rows, _INDEX)
+    found = rows.where("id is not null").mapInArrow(functools.partial(_index_rows, segment=number), _INDEX)
     # A gram of every document is dealt by blocks as well, so no task holds all of it.
     dealt = found.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block")
     index = stored(dealt, by="bucket")
-    blocks = index.where(F.col("bucket") == DOCS).select("block", F.col("docs").alias("ids"), F.col("places").alias("sizes"))
-    sizes = rows.agg(F.count("id").alias("total"), F.avg("size").alias("mean")).first()
-    return Postings(index.where(F.col("bucket") != DOCS), blocks, sizes["total"], sizes["mean"] or 1.0)
+    return index.where(F.col("bucket") != DOCS), index.where(F.col("bucket") == DOCS).select("block", F.col("docs").alias("ids"), F.col("places").alias("sizes"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = size = 0
+    for batch in batches:
+        for ids, sizes in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist()):
+            alive = np.frombuffer(ids, "<i8") != VOID
+            n, size = n + int(alive.sum()), size + int(np.frombuffer(sizes, "<i8")[alive].sum())
+    yield pa.RecordBatch.from_pydict({"n": [n], "size": [size]}, pa.schema([("n", pa.int64()), ("size", pa.int64())]))
+
+
+def _postings(grams: DataFrame, blocks: DataFrame, segments: int) -> Postings:
+    sums = blocks.select("ids", "sizes").mapInArrow(_sums, "n long, size long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return Postings(grams, blocks, sums["n"], sums["size"] / sums["n"] if sums["n"] and sums["size"] else 1.0, segments)
+
+
+def build_postings(docs: DataFrame) -> Postings:
+    """The index of ``docs`` (id and the searched fields), written once into the shared folder."""
+    return _postings(*_segment(docs, 0), 1)
+
+
+def update_postings(index: Postings, gone: DataFrame, docs: DataFrame) -> Postings:
+    """The index without the documents of the ids ``gone`` (id) and with ``docs``, whose older rows go as well.
+
+    New documents are a segment of their own. Of older segments only the lists of documents of the blocks that hold such an id
+    are written again, with the id void; their grams stay as they are and void documents are passed over.
+    Every search reads all segments: build anew after some dozens.
+    """
+    ids = gone.select("id").unionByName(docs.select("id")).distinct()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, row in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row) // 8, block)), pa.array(np.arange(len(row) // 8)), pa.array(np.frombuffer(row, "<i8"))], names=["block", "at", "id"])
+
+    dead = index.blocks.select("block", "ids").mapInArrow(held, "block long, at long, id long").join(ids, "id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at"))
+
+    def void(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for row, at in zip(batch.column("ids").to_pylist(), batch.column("at").to_pylist()):
+                own = np.frombuffer(row, "<i8").copy()
+                own[at or []] = VOID
+                names.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(names, pa.binary()), batch.column("sizes")], names=["block", "ids", "sizes"])
+
+    touched = stored(index.blocks.join(dead, "block").mapInArrow(void, index.blocks.schema))
+    grams, blocks = _segment(docs, index.segments)
+    kept = index.blocks.join(touched.select("block"), "block", "left_anti")
+    return _postings(index.grams.unionByName(grams), stored(kept.unionByName(touched).unionByName(blocks)), index.segments + 1)
 
 
 def wanted_grams(index: Postings, terms: list[str]) -> DataFrame:
@@ -155,6 +206,7 @@ def term_hits(index: Postings, terms: list[str]) -> DataFrame:
             by_gram.setdefault(cover[0][0], []).append((n, cover))
         for batch in batches:
             for row in batch.to_pylist():
+                alive = np.frombuffer(row["ids"], "<i8") != VOID
                 held = {r["gram"]: np.frombuffer(r["docs"], "<u2").astype(np.int64) << 32 | np.frombuffer(r["places"], "<u4") for r in row["rows"]}
                 out: dict = {"term": [], "docs": [], "counts": [], "n": [], "most": []}
                 for gram, places in held.items():
@@ -162,6 +214,7 @@ def term_hits(index: Postings, terms: list[str]) -> DataFrame:
                         met = places
                         for other, at in cover[1:]:
                             met = np.intersect1d(met, held[other] - 8 * at, assume_unique=True) if other in held and len(met) else met[:0]
+                        met = met if alive.all() else met[alive[met >> 32]]
                         if len(met):
                             docs, first = np.unique(met >> 32, return_index=True)
                             counts = np.add.reduceat(_WEIGHTS[met & 7], first)

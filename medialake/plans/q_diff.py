@@ -7,9 +7,12 @@ import datetime
 from pyspark.sql import functions as F
 
 from medialake.functions.media import category_from_path, classify_media_type, extension
-from medialake.operators import diff, providers
+from medialake.operators import diff, maintained, postings, providers
+from medialake.operators.keyed_table import KeyedTable
+from medialake.operators.normalize import build_search_docs
 from medialake.plans import fixtures as fx
 from medialake.plans.registry import registering
+from medialake.plans.shared import stored
 
 I, P = fx.ITEMS_SQL, fx.ITEMS_SQL + fx.PREVIOUS_SQL
 QUERIES, ORACLES, query = registering()
@@ -87,6 +90,20 @@ def b1(s, d):
     return _diff(s, d).select("path", "status", "id")
 
 
+@query("b1_diff_by_digests", DIFF + " SELECT path, status, id FROM compared")
+def b1_digests(s, d):
+    previous = maintained.store_snapshot(fx.previous_snapshot(s, d))
+    return maintained.diff_by_digests(previous, fx.items(s, d)).select("path", "status", "id")
+
+
+@query("b3_apply_by_digests", DIFF + """, alive AS (SELECT c.path, coalesce(m.id, c.id) AS id, c.size_bytes, CASE WHEN status IN ('refresh', 'unchanged') THEN old_sha256 ELSE sha256 END AS sha256 FROM compared c LEFT JOIN moves m ON c.path = m.path WHERE status <> 'removed')
+    SELECT coalesce(id, (SELECT max(id) FROM previous) + row_number() OVER (PARTITION BY id IS NULL ORDER BY path)) AS id, path, size_bytes, sha256 FROM alive""")
+def b3_digests(s, d):
+    previous = maintained.store_snapshot(fx.previous_snapshot(s, d))
+    upserts, gone = maintained.apply_by_digests(previous, fx.items(s, d))
+    return previous.update(gone.select("path"), upserts).read().select("id", "path", "size_bytes", "sha256")
+
+
 @query("b2_detect_moves", DIFF + " SELECT path, old_path, id FROM moves")
 def b2(s, d):
     return diff.detect_moves(_diff(s, d))
@@ -153,6 +170,52 @@ def b8(s, d):
     return texts.join(tags, F.col("id") == F.col("item_id")).select("id", "n_tags", "n_text")
 
 
+def _former_items(s, d):
+    """Items before the last scan: the ids and paths of the previous snapshot, other titles and tags where files or sidecars have changed since."""
+    i = F.col("id")
+    items = fx.items(s, d)
+    was = (i % 13 == 0) | (i % 17 == 0)
+    known = items.where(i % 11 != 0).withColumns({"title": F.when(was, F.concat(F.lit("former "), "title")).otherwise(F.col("title")), "tags": F.when(was, F.array(F.lit("Former"))).otherwise(F.col("tags"))})
+    gone = items.where(i < 20).withColumns({"id": i + 10_000_000, "title": F.lit("gone for good")})
+    return known.unionByName(gone)
+
+
+def _changes(s, d):
+    """(upserts, gone): ids of items that a scan finds new, changed, to refresh or moved, and of those that are no more."""
+    changed = maintained.diff_by_digests(maintained.store_snapshot(fx.previous_snapshot(s, d)), fx.items(s, d), True)
+    now = fx.items(s, d).select("id", "path")
+    upserts = changed.where("status <> 'removed'").select("path").join(now, "path").select("id")
+    gone = changed.where("status = 'removed'").select("id").join(upserts, "id", "left_anti")
+    return stored(upserts), stored(gone)
+
+
+@query("b7_maintained_tags", I + " SELECT DISTINCT item_id, lower(trim(t)) AS tag FROM (SELECT id AS item_id, unnest(tags) AS t FROM items) WHERE trim(t) <> ''")
+def b7_maintained(s, d):
+    view = KeyedTable.create(diff.rebuild_item_tags(_former_items(s, d)), "item_id")
+    return maintained.update_view(view, *_changes(s, d), fx.items(s, d), diff.rebuild_item_tags).read()
+
+
+SEARCHED = I + """ SELECT id, sha256(coalesce(name, '') || '|' || title || '|' || description || '|' || array_to_string(tags, ' ') || ' ' || meme_type || coalesce(' ' || template, '') || '|' || category_name) AS digest, length(ocr_text) AS n FROM items"""
+
+
+@query("b8_maintained_search_rows", SEARCHED)
+def b8_maintained(s, d):
+    view = KeyedTable.create(build_search_docs(_former_items(s, d)), "id")
+    rows = maintained.update_view(view, *_changes(s, d), fx.items(s, d), build_search_docs).read()
+    return rows.select("id", F.sha2(F.concat_ws("|", "name", "title", "description", "tags", "category"), 256).alias("digest"), F.char_length("ocr_text").cast("long").alias("n"))
+
+
+@query(
+    "b8_maintained_postings",
+    I + """ SELECT id FROM items WHERE contains(lower(name || '|' || title || '|' || description || '|' || ocr_text || '|' || array_to_string(tags, ' ') || ' ' || meme_type || coalesce(' ' || template, '') || '|' || array_to_string(topics, ' ') || '|' || category_name), 'the')""",
+)
+def b8_postings(s, d):
+    index = postings.build_postings(build_search_docs(_former_items(s, d)))
+    upserts, gone = _changes(s, d)
+    fresh = build_search_docs(fx.items(s, d).join(upserts, "id", "left_semi"))
+    return postings.rank_by_postings(postings.update_postings(index, gone, fresh), ["the"]).select("id")
+
+
 @query(
     "b9_upgrade_schema",
     I + """ SELECT id, 2 AS schema_version, CASE WHEN id % 2 = 1 AND id % 4 = 1 THEN 'image' ELSE media_type END AS media_type, CASE WHEN id % 2 = 1 THEN 'model' ELSE 'hint' END AS source, id % 2 = 1 AS upgraded FROM items""",

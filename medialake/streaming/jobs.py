@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from medialake.operators.diff import apply_diff, detect_moves, diff_snapshot, scan_counts
+from medialake.operators.keyed_table import KeyedTable
+from medialake.operators.maintained import apply_by_digests
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -70,3 +72,25 @@ def refresh_loop(listing: DataFrame, read_snapshot: Callable[[], DataFrame], wri
 
     writer = listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def refresh_maintained(
+    listing: DataFrame, open_snapshot: Callable[[], KeyedTable], update_views: Callable[[DataFrame, DataFrame], None], checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Apply each batch of a stream of whole listings to a snapshot in buckets and to the views of it.
+
+    ``update_views`` takes the changed rows (id, path ...) and those that are gone (id, path). Views come first and the snapshot is committed
+    last: a batch that is repeated after a failure finds the same changes again, and views delete and insert by
+    key, so they end the same. Only buckets whose digests differ are joined and written.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        snapshot = open_snapshot()
+        upserts, gone = (rows.persist() for rows in apply_by_digests(snapshot, batch))
+        update_views(upserts, gone)
+        snapshot.update(gone.select("path"), upserts)
+        upserts.unpersist()
+        gone.unpersist()
+
+    writer = listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
