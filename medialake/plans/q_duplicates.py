@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medialake.operators import duplicates as dup
+from medialake.operators.growing import Components
 from medialake.plans import fixtures as fx
 from medialake.plans.registry import registering
-from medialake.plans.shared import stored
+from medialake.plans.shared import spread, stored
 
 I = fx.ITEMS_SQL
 QUERIES, ORACLES, query = registering()
@@ -40,7 +41,7 @@ def _vectors(s, d):
 
 
 def _texts(s, d):
-    docs = fx.table(s, d, "documents")
+    docs = spread(fx.table(s, d, "documents").select("doc_id", "text"))
     return stored(dup.simhash_text(docs).join(docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256")), "id"))
 
 
@@ -72,7 +73,7 @@ def f3(s, d):
 
 @query("f4_simhash_text", TEXTS_SQL + " SELECT id, fp FROM fps")
 def f4(s, d):
-    return dup.simhash_text(fx.table(s, d, "documents"))
+    return dup.simhash_text(spread(fx.table(s, d, "documents").select("doc_id", "text")))
 
 
 @query("f5_band_candidates", TEXTS_SQL + pairs_sql("items", 6) + " SELECT a, b FROM candidates")
@@ -96,6 +97,17 @@ def f7(s, d):
     return dup.cluster(texts, dup.near_pairs(texts)).select("id", "cluster")
 
 
+@query("f7_growing_clusters", CLUSTERS_SQL + " SELECT DISTINCT fp, cluster FROM clusters JOIN (SELECT a AS fp FROM pairs UNION SELECT b FROM pairs) USING (fp)")
+def f7_growing(s, d):
+    """The pairs arrive in three batches."""
+    pairs = stored(dup.near_pairs(_texts(s, d)).select("a", "b"))
+    batch = lambda k: pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(3)) == k)
+    now = Components.create(batch(0))
+    for k in (1, 2):
+        now = now.add(batch(k))
+    return now.read().select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
+
+
 @query("f8_cluster_diameter", CLUSTERS_SQL + " SELECT x.cluster, max(bit_count(xor(('0x' || x.fp)::UBIGINT, ('0x' || y.fp)::UBIGINT)))::INT AS distance FROM clusters x JOIN clusters y USING (cluster) GROUP BY 1")
 def f8(s, d):
     texts = _texts(s, d)

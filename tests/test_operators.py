@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 import zlib
@@ -251,11 +252,72 @@ def test_crowded_bands_and_clusters_are_met_in_parts(spark, monkeypatch):
     widest = sorted(map(tuple, duplicates.cluster_diameter(clusters).collect()))
     monkeypatch.setattr(duplicates, "BLOCK", 4)
     monkeypatch.setattr(duplicates, "PART", 3)
+    monkeypatch.setattr(duplicates, "CROWD", 5)
+    monkeypatch.setattr(duplicates, "LEAST_PIECE", 1)
     by_hand = sorted((a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for _, _, a in rows for _, _, b in rows if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 12)
     assert sorted(map(tuple, duplicates.near_pairs(items, 12).collect())) == wanted == by_hand
     assert sorted(map(tuple, duplicates.cluster_diameter(clusters).collect())) == widest
 
 
+@pytest.mark.parametrize("most", [1, 5, 6, 7])
+def test_crowded_bands_lose_no_pair(spark, monkeypatch, most):
+    """All four bands crowded, differences anywhere outside them."""
+    draw = random.Random(most)
+    monkeypatch.setattr(duplicates, "CROWD", 3)
+    values = set()
+    for _ in range(12):
+        base = draw.getrandbits(64)
+        band = draw.randrange(4) * 16
+        others = [k for k in range(64) if not band <= k < band + 16]
+        values |= {base ^ sum(1 << k for k in draw.sample(others, draw.randint(0, 5))) for _ in range(12)}
+    prints = sorted(f"{v:016x}" for v in values)
+    frame = spark.createDataFrame([(fp,) for fp in prints], "fp string")
+    share = lambda a, b: any(a[k : k + 4] == b[k : k + 4] for k in range(0, 16, 4))
+    wanted = [(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in prints for b in prints if a < b and share(a, b)]
+    assert sorted(map(tuple, duplicates.near_pairs(frame, most).collect())) == [w for w in wanted if w[2] <= most]
+    assert sorted(map(tuple, duplicates.band_candidates(frame).collect())) == [w[:2] for w in wanted]
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_diameters_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    monkeypatch.setattr(duplicates, "PART", 2)
+    draw = random.Random(block)
+    rows, wanted = [], {}
+    for spread in (0, 1, 2, 5, 20, 60):
+        base = draw.getrandbits(64)
+        values = {base ^ sum(1 << k for k in draw.sample(range(64), draw.randint(0, spread))) for _ in range(draw.choice([1, 8, 60]))}
+        prints = [f"{v:016x}" for v in values]
+        rows += [(min(prints), fp) for fp in prints for _ in range(2)]
+        wanted[min(prints)] = max((int(a, 16) ^ int(b, 16)).bit_count() for a in prints for b in prints)
+    frame = spark.createDataFrame(rows, "cluster string, fp string")
+    assert {r["cluster"]: r["distance"] for r in duplicates.cluster_diameter(frame).collect()} == wanted
+
+
+@pytest.mark.parametrize("bases,share", [(1, 0.0), (3, 0.25)])
+def test_few_distances_are_computed_for_a_diameter(spark, bases, share):
+    """None where the cluster lies around one point, few where it lies around three."""
+    draw = random.Random(6)
+    first = draw.getrandbits(64)
+    points = [first ^ sum(1 << k for k in draw.sample(range(64), 6 * n)) for n in range(bases)]
+    values = list({draw.choice(points) ^ sum(1 << k for k in draw.sample(range(64), draw.choice([1, 2, 2, 3, 3, 3, 8]))) for _ in range(3000)})
+    frame = spark.createDataFrame([(f"{min(values):016x}", f"{v:016x}") for v in values], "cluster string, fp string")
+    least, doubt = duplicates.diameter_bounds(frame)
+    rows = [r.asDict() for r in doubt.collect()]
+    found, computed = duplicates.widest(duplicates._columns(rows), duplicates._columns(rows), least.first()["least"])
+    bits = np.array(values, np.uint64)
+    assert found == max(int(np.bitwise_count(bits[k] ^ bits).max()) for k in range(len(bits)))
+    assert computed <= share * len(values) ** 2
+
+
+def test_text_fingerprints_of_odd_texts(spark):
+    texts = [(1, None), (2, ""), (3, "One"), (4, "one two"), (5, "a b c d"), (6, "A  b, C d"), (7, "é ü"), (8, "x " * 9000)]
+    found = {r["id"]: r["fp"] for r in duplicates.simhash_text(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    empty = hashlib.md5(b"").hexdigest()[:16]
+    assert found[1] == found[2] == found[7] == empty and found[3] == hashlib.md5(b"one").hexdigest()[:16]
+    assert found[4] == hashlib.md5(b"one two").hexdigest()[:16] and found[5] == found[6] and found[8] == hashlib.md5(b"x x x").hexdigest()[:16]
+
+
 def test_saved_searches_in_blocks(spark, monkeypatch):
     from medialake.plans import q_facets
 
