@@ -126,8 +126,24 @@ def fuzzy_match(items: DataFrame, queries: DataFrame, cutoff: float = CUTOFF, k:
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, shared: int = 2, distance: int = 2) -> DataFrame:
-    """(l, r, shared, distance): pairs of words with at least ``shared`` trigrams in common and at most ``distance`` edits."""
-    a = left.select(F.col("word").alias("l"), F.explode(grams(F.col("word"))).alias("gram"))
-    b = right.select(F.col("word").alias("r"), F.explode(grams(F.col("word"))).alias("gram"))
-    pairs = a.join(b, "gram").groupBy("l", "r").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    return pairs.withColumn("distance", F.levenshtein("l", "r", distance)).where("distance >= 0")
+    """(l, r, shared, distance): pairs of words with at least ``shared`` trigrams in common and at most ``distance`` edits.
+
+    An edit takes at most three distinct trigrams away, so a word with g of them shares at least g - 3 * ``distance``
+    with its partner; of two such words the rarest trigrams, all but that number less one, have one in common. Words
+    meet by these only and are verified where they meet.
+    """
+    l, r = (side.select("word").where("word is not null").distinct().withColumn("grams", grams(F.col("word"))) for side in (left, right))
+    often = l.unionByName(r).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def rare(words: DataFrame) -> DataFrame:
+        ranked = words.select("word", "grams", F.explode("grams").alias("gram")).join(often, "gram")
+        ordered = ranked.groupBy("word").agg(F.first("grams").alias("grams"), F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("o"))
+        least = F.greatest(F.lit(shared), F.size("o") - 3 * distance)
+        return ordered.select("word", "grams", F.explode(F.slice("o", 1, F.greatest(F.lit(0), F.size("o") - least + 1))["gram"]).alias("gram"))
+
+    a = rare(l).select(F.col("word").alias("l"), F.col("grams").alias("l_grams"), F.col("gram").alias("l_gram"))
+    b = rare(r).select(F.col("word").alias("r"), F.col("grams").alias("r_grams"), F.col("gram").alias("r_gram"))
+    near = (F.abs(F.char_length("l") - F.char_length("r")) <= distance) & (F.levenshtein("l", "r", distance) >= 0)
+    met = a.join(b, (F.col("l_gram") == F.col("r_gram")) & near)
+    both = met.select("l", "r", F.size(F.array_intersect("l_grams", "r_grams")).cast("long").alias("shared")).distinct()
+    return both.where(F.col("shared") >= shared).withColumn("distance", F.levenshtein("l", "r", distance))

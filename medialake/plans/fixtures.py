@@ -140,11 +140,11 @@ FAVORITES_SQL = """, cleared AS (
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories: the first nine sources are 1 to 9, others is 10, nsfw 0 is pinned, two user categories follow."""
+    """Categories: the first nine sources are 1 to 9, others is 10, nsfw 0 is pinned; two user categories and all later sources follow as pinned ones."""
     from pyspark.sql.window import Window
 
     sources = table(spark, sf_dir, "documents").select("source").distinct().withColumn("n", F.row_number().over(Window.orderBy("source")))
-    found = sources.where("n <= 9").select(F.col("n").cast("long").alias("id"), F.col("source").alias("name"))
+    found = sources.select(F.when(F.col("n") <= 9, F.col("n")).otherwise(F.col("n") + 3).cast("long").alias("id"), F.col("source").alias("name"))
     fixed = spark.createDataFrame([(0, "nsfw"), (10, "others"), (11, "user-a"), (12, "user-b")], "id long, name string")
     return found.unionByName(fixed).select(
         "id", "name", F.format_string("%02d-%s", "id", "name").alias("folder"), (F.col("id") * 3).alias("stored_count"), ((F.col("id") == 0) | (F.col("id") >= 11)).alias("pinned"), F.when(F.col("id") == 0, "nsfw").alias("rule")
@@ -152,8 +152,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY_SQL = """, registry AS (
-  SELECT id, name, lpad(id::VARCHAR, 2, '0') || '-' || name AS folder, id * 3 AS stored_count, id = 0 OR id >= 11 AS pinned, CASE WHEN id = 0 THEN 'nsfw' END AS rule FROM (
-    SELECT n AS id, source AS name FROM (SELECT source, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents)) WHERE n <= 9
+  SELECT id, name, printf('%02d', id) || '-' || name AS folder, id * 3 AS stored_count, id = 0 OR id >= 11 AS pinned, CASE WHEN id = 0 THEN 'nsfw' END AS rule FROM (
+    SELECT CASE WHEN n <= 9 THEN n ELSE n + 3 END AS id, source AS name FROM (SELECT source, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents))
     UNION ALL VALUES (0, 'nsfw'), (10, 'others'), (11, 'user-a'), (12, 'user-b'))
 )"""
 

@@ -183,11 +183,11 @@ def g17(s, d):
 
 @query(
     "g18_merge_ocr",
-    I + ", r AS (SELECT id, CASE WHEN id % 3 = 0 THEN '  ' ELSE ocr_text[1:50] END AS a, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN NULL ELSE 'read ' || id END AS b FROM items) SELECT id, CASE WHEN trim(a) = '' THEN coalesce(nullif(trim(b), ''), a) ELSE a END AS fallback, trim(a) = '' AS fallback_ran, coalesce(nullif(trim(b), ''), a) AS always FROM r",
+    I + ", r AS (SELECT id, CASE WHEN id % 3 = 0 THEN '  ' ELSE ocr_text END AS a, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN NULL ELSE 'read ' || id END AS b FROM items) SELECT id, CASE WHEN trim(a) = '' THEN coalesce(nullif(trim(b), ''), a) ELSE a END AS fallback, trim(a) = '' AS fallback_ran, coalesce(nullif(trim(b), ''), a) AS always FROM r",
 )
 def g18(s, d):
     i = F.col("id")
-    rows = fx.items(s, d).select("id", F.when(i % 3 == 0, "  ").otherwise(F.substring("ocr_text", 1, 50)).alias("ocr_text"), F.when(i % 4 == 0, "").when(i % 4 != 1, F.concat(F.lit("read "), i.cast("string"))).alias("second_ocr"))
+    rows = fx.items(s, d).select("id", F.when(i % 3 == 0, "  ").otherwise(F.col("ocr_text")).alias("ocr_text"), F.when(i % 4 == 0, "").when(i % 4 != 1, F.concat(F.lit("read "), i.cast("string"))).alias("second_ocr"))
     one = cat.merge_ocr(rows, "fallback").select("id", F.col("ocr_text").alias("fallback"), F.col("ocr_ran").alias("fallback_ran"))
     return one.join(cat.merge_ocr(rows, "always").select("id", F.col("ocr_text").alias("always")), "id")
 

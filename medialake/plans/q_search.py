@@ -68,14 +68,14 @@ LOG = ("excel powerpoint", "type:gif,video cat:src1 tag:De", "TYPE:GIF is:fav th
 
 @query(
     "d1_parse_query_log",
-    "WITH log AS (SELECT item_id, ([" + ", ".join(repr(q) for q in LOG) + "])[(item_id % 10 + 1)::INT] || ' ' || text[1:20] AS q FROM benchmark), t AS (SELECT *, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS toks FROM log), "
+    "WITH log AS (SELECT item_id, ([" + ", ".join(repr(q) for q in LOG) + "])[(item_id % 10 + 1)::INT] || ' ' || text AS q FROM benchmark), t AS (SELECT *, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS toks FROM log), "
     + "p AS (SELECT *, " + ", ".join(f"list_filter(list_transform(flatten(list_transform(list_filter(toks, lambda x: regexp_matches(x, '(?i)^{k}:.+$')), lambda x: string_split(regexp_extract({f}, '^[A-Za-z]+:(.+)$', 1), ','))), lambda v: trim(v)), lambda v: v <> '') AS {n}"
                              for k, n, f in (("type", "types", "lower(x)"), ("cat", "cats", "x"), ("tag", "tags", "x"), ("is", "states", "lower(x)"))) + " FROM t) "
     + "SELECT item_id, array_to_string(types, '|') AS type, array_to_string(cats, '|') AS category, array_to_string(tags, '|') AS tag, CASE WHEN list_contains(states, 'fav') THEN true END AS favorite, CASE WHEN list_contains(states, 'nsfw') THEN 'only' END AS nsfw, "
     + "array_to_string(list_filter(toks, lambda x: NOT regexp_matches(x, '(?i)^(type|cat|tag|is):.+$')), ' ') AS text, length(q) <= 200 AND len(toks) <= 12 AS valid FROM p",
 )
 def d1(s, d):
-    log = fx.table(s, d, "benchmark").select("item_id", F.concat(F.get(F.array(*map(F.lit, LOG)), (F.col("item_id") % 10).cast("int")), F.lit(" "), F.substring("text", 1, 20)).alias("q"))
+    log = fx.table(s, d, "benchmark").select("item_id", F.concat(F.get(F.array(*map(F.lit, LOG)), (F.col("item_id") % 10).cast("int")), F.lit(" "), "text").alias("q"))
     done = search.parse_query_log(log, "q")
     return done.select("item_id", *[F.array_join(c, "|").alias(c) for c in ("type", "category", "tag")], "favorite", "nsfw", "text", "valid")
 

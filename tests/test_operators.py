@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -318,12 +319,55 @@ def test_text_fingerprints_of_odd_texts(spark):
     assert found[4] == hashlib.md5(b"one two").hexdigest()[:16] and found[5] == found[6] and found[8] == hashlib.md5(b"x x x").hexdigest()[:16]
 
 
-def test_saved_searches_in_blocks(spark, monkeypatch):
-    from medialake.plans import q_facets
-
-    whole = sorted(map(tuple, q_facets.e12(spark, "/root/testdata/sf0.001").collect()))
-    monkeypatch.setattr(facets, "SAVED_BLOCK", 2)
-    assert sorted(map(tuple, q_facets.e12(spark, "/root/testdata/sf0.001").collect())) == whole
+@pytest.mark.parametrize("saved,loose", [(20_000, 1000), (7, 2)])
+def test_saved_searches_equal_all_pairs(spark, monkeypatch, saved, loose):
+    monkeypatch.setattr(facets, "SAVED_BLOCK", saved)
+    monkeypatch.setattr(facets, "LOOSE_BLOCK", loose)
+    draw = random.Random(12)
+    words = ["cat", "at", "dog", "o", "straße", "a.b", "dogcat", "zebra"]
+    rows = []
+    for k in range(80):
+        rows.append((k, f"h{k % 60}", draw.choice(["gif", "image", "video"]), draw.choice(["x", "y", None]), draw.random() < 0.3, draw.choice([None, 1.0, 5.0, 9.0]), f"2024-01-{draw.randint(1, 28):02d} 00:00:00", draw.sample(["t1", "t2", " T3 "], draw.randint(0, 3)), " ".join(draw.choices([*words, "Cat DOG"], k=draw.randint(0, 4)))))
+    items = spark.createDataFrame(rows, "id long, sha256 string, media_type string, category_name string, nsfw boolean, duration_s double, created string, tags array<string>, body string").withColumn("created_at", F.col("created").cast("timestamp"))
+    docs = items.select("id", F.col("body").alias("name"), *[F.lit("").alias(c) for c in ("title", "description", "ocr_text", "tags", "topics", "category")])
+    starred = {f"h{k}" for k in range(0, 60, 4)}
+    searches = []
+    for k in range(60):
+        f = {}
+        if draw.random() < 0.4:
+            f["type"] = draw.sample(["gif", "image", "no"], draw.randint(0, 2))
+        if draw.random() < 0.3:
+            f["category"] = draw.choice([["x"], ["x", "y", "x"], []])
+        if draw.random() < 0.4:
+            f["tag"] = draw.sample(["T1", "t2 ", "t3", "none"], draw.randint(0, 2))
+        if draw.random() < 0.3:
+            f["favorite"] = draw.random() < 0.7
+        if draw.random() < 0.5:
+            f["nsfw"] = draw.choice(["only", "include", "exclude", "what"])
+        if draw.random() < 0.3:
+            f["min_duration"] = 2.0
+        if draw.random() < 0.3:
+            f["since"] = "2024-01-10 00:00:00"
+        searches.append((k, draw.choice([None, "", "CAT", "cat dog", "dog o cat", "a.b", "ZEBRA at", "missing cat", "Straße"]), draw.choice([json.dumps(f), json.dumps(f), None])))
+    searches += [(100, *searches[0][1:]), (101, *searches[0][1:])]
+
+    def met(search, item):
+        _, query, f = search
+        f = json.loads(f or "{}")
+        (_, sha, kind, category, nsfw, seconds, since, tags, body) = item
+        mode = f.get("nsfw", "exclude")
+        own = {t.strip().lower() for t in tags}
+        return (
+            all(w in body.lower() for w in (query or "").lower().split()) and (not f.get("type") or kind in f["type"]) and (not f.get("category") or category in f["category"])
+            and {t.strip().lower() for t in f.get("tag", [])} <= own and (not f.get("favorite") or sha in starred)
+            and (nsfw if mode == "only" else mode == "include" or not nsfw) and ("min_duration" not in f or seconds is not None and seconds >= f["min_duration"]) and ("since" not in f or since >= f["since"])
+        )
+
+    wanted = sorted((s[0], sum(met(s, i) for i in rows)) for s in searches)
+    frame = spark.createDataFrame(searches, "collection_id int, query string, filters_json string")
+    found = facets.eval_saved_collections(frame, docs, items, diff.rebuild_item_tags(items), spark.createDataFrame([(s,) for s in starred], "sha256 string"))
+    assert sorted(map(tuple, found.collect())) == wanted and sum(n > 0 for _, n in wanted) > 20
+    assert facets.eval_saved_collections(frame.limit(0), docs, items, diff.rebuild_item_tags(items), spark.createDataFrame([], "sha256 string")).isEmpty()
 
 
 def test_providers_in_order(spark):

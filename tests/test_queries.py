@@ -32,6 +32,27 @@ def test_fuzzy_query_finds_what_all_pairs_hold(spark):
     assert wanted and sorted(tuple(r) for r in catalog.queries()["d18_fuzzy_match"](spark, DATA).collect()) == sorted(wanted)
 
 
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i, *row[1:]] if (before := row) else row
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_candidates_of_all_words(spark):
+    """Every pair of a word of the query log and a tag, by hand."""
+    def grams(w):
+        return {w.lower()[k : k + 3] for k in range(max(1, len(w) - 2))}
+
+    log = {w.lower() for r in q_search._query_log(spark, DATA).collect() for w in r["terms"]}
+    tags = {r["tag"] for r in q_search._tags(spark, DATA).select("tag").distinct().collect()}
+    wanted = [(a, b, len(grams(a) & grams(b)), edits(a, b)) for a in log for b in tags if abs(len(a) - len(b)) <= 2 and len(grams(a) & grams(b)) >= 2]
+    wanted = sorted(w for w in wanted if w[3] <= 2)
+    assert wanted and sorted(tuple(r) for r in catalog.queries()["d19_fuzzy_candidates"](spark, DATA).collect()) == wanted
+
+
 def test_fuzzy_top_up_adds_what_all_pairs_hold(spark):
     """The page holds the exact hits, then the best other items by score that pass the filter."""
     items = fixtures.items(spark, DATA)
