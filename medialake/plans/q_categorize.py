@@ -144,7 +144,7 @@ def g11(s, d):
     return _hints(s, d).select("id", "slug", "category_id")
 
 
-@query("g12_new_user_categories", HINTS_SQL + " SELECT id, slug AS name, lpad(id::VARCHAR, 2, '0') || '-' || slug[1:30] AS folder FROM (SELECT slug, 12 + row_number() OVER (ORDER BY min(id), slug) AS id FROM hints WHERE slug IS NOT NULL AND category_id IS NULL GROUP BY slug)")
+@query("g12_new_user_categories", HINTS_SQL + " SELECT id, slug AS name, printf('%02d', id) || '-' || slug[1:30] AS folder FROM (SELECT slug, (SELECT max(id) FROM registry) + row_number() OVER (ORDER BY min(id), slug) AS id FROM hints WHERE slug IS NOT NULL AND category_id IS NULL GROUP BY slug)")
 def g12(s, d):
     return cat.new_user_categories(_hints(s, d).withColumn("seen", F.col("id")), fx.registry(s, d))
 
