@@ -26,7 +26,7 @@ def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = F.col("doc_id")
     words = F.filter(F.split(F.lower("text"), r"[ \n\t]+"), lambda w: w != "")
-    based = docs.join(labels, "doc_id", "left").select(
+    based = docs.select(
         "*",
         _pick(EXTENSIONS, d % 5).alias("ext"),
         (d % 10 == 4).alias("animated"),
@@ -39,7 +39,9 @@ def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         }
     )
     named = typed.withColumn("name", F.concat("stem", "ext")).withColumn("rel_path", F.concat_ws("/", "category_folder", "media_type", "name"))
-    return named.select(
+    # What follows from a text is derived before labels are joined: a join then moves texts only where a query reads them.
+    derived = named.select(
+        "doc_id",
         d.alias("id"),
         F.concat(F.lit("/lib/"), "rel_path").alias("path"),
         "rel_path",
@@ -65,9 +67,13 @@ def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         F.when(d % 7 == 0, F.col("source")).alias("template"),
         F.col("source").alias("category_name"),
         "category_folder",
+        (d * 3).alias("sidecar_mtime_ns"),
+    )
+    return derived.join(labels, "doc_id", "left").select(
+        *[c for c in derived.columns if c not in ("doc_id", "sidecar_mtime_ns")],
         (F.coalesce("toxic", F.lit(0)) == 1).alias("nsfw"),
         (F.coalesce("quality", F.lit(0)) * 0.5 + (d % 50) / 100.0).alias("confidence"),
-        (d * 3).alias("sidecar_mtime_ns"),
+        "sidecar_mtime_ns",
     )
 
 
