@@ -78,8 +78,8 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams ^ grams >> 21 ^ grams >> 42) % BUCKETS
 
 
-def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str | None]]) -> pa.RecordBatch:
-    """Index rows of one block of documents, with the row of its ids and sizes."""
+def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str | None]], only: np.ndarray | None) -> pa.RecordBatch:
+    """Index rows of one block of documents, of the grams ``only`` (sorted) if given, with the row of its ids and sizes."""
     keys, owners, places = [], [], []
     for number, texts in enumerate(fields):
         lengths = np.array([len(t or "") for t in texts], np.int64)
@@ -90,7 +90,11 @@ def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str
         owner = np.repeat(np.arange(len(texts)), lengths)
         at = np.arange(len(points)) - begins[owner]
         whole = np.flatnonzero(at + GRAM <= lengths[owner])
-        keys.append(gram_keys(points)[whole])
+        key = gram_keys(points)[whole]
+        if only is not None:
+            wanted = only[np.minimum(np.searchsorted(only, key), len(only) - 1)] == key
+            whole, key = whole[wanted], key[wanted]
+        keys.append(key)
         owners.append(owner[whole])
         places.append(at[whole] * 8 + number)
     gram, owner, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, owners, places))
@@ -113,7 +117,7 @@ def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "gram", "most", "shortest", "docs", "places"])
 
 
-def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0) -> Iterator[pa.RecordBatch]:
+def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     number = segment << 52 | TaskContext.get().partitionId() << 32
     for batch in batches:
         sizes = batch.column("size").to_numpy(zero_copy_only=False)
@@ -122,14 +126,14 @@ def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0) -> Iterator
             for begin in range(0, len(part), BLOCK_DOCS):
                 some = batch.slice(part[begin], len(part[begin : begin + BLOCK_DOCS]))
                 if some.num_rows:
-                    yield _block_rows(number, some.column("id").to_pylist(), some.column("size").to_numpy(zero_copy_only=False), [some.column(f).to_pylist() for f in WEIGHTS])
+                    yield _block_rows(number, some.column("id").to_pylist(), some.column("size").to_numpy(zero_copy_only=False), [some.column(f).to_pylist() for f in WEIGHTS], only)
                     number += 1
 
 
-def _segment(docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+def _segment(docs: DataFrame, number: int, only: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
     """(grams, blocks) of some documents, written once."""
     rows = docs.select(F.col("id").cast("long").alias("id"), document_size().cast("long").alias("size"), *[F.lower(f).alias(f) for f in WEIGHTS])
-    found = rows.where("id is not null").mapInArrow(functools.partial(_index_rows, segment=number), _INDEX)
+    found = rows.where("id is not null").mapInArrow(functools.partial(_index_rows, segment=number, only=only), _INDEX)
     # A gram of every document is dealt by blocks as well, so no task holds all of it.
     dealt = found.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block")
     index = stored(dealt, by="bucket")
@@ -150,9 +154,16 @@ def _postings(grams: DataFrame, blocks: DataFrame, segments: int) -> Postings:
     return Postings(grams, blocks, sums["n"], sums["size"] / sums["n"] if sums["n"] and sums["size"] else 1.0, segments)
 
 
-def build_postings(docs: DataFrame) -> Postings:
-    """The index of ``docs`` (id and the searched fields), written once into the shared folder."""
-    return _postings(*_segment(docs, 0), 1)
+def build_postings(docs: DataFrame, terms: list[str] | None = None) -> Postings:
+    """The index of ``docs`` (id and the searched fields), written once into the shared folder.
+
+    With ``terms`` (lower case) only their grams are indexed: a small index for searches that are known beforehand.
+    """
+    return _postings(*_segment(docs, 0, None if terms is None else _grams_of(terms)), 1)
+
+
+def _grams_of(terms: list[str]) -> np.ndarray:
+    return np.unique(np.array([-1, *(g for t in terms for g, _ in covering(t))], np.int64))
 
 
 def update_postings(index: Postings, gone: DataFrame, docs: DataFrame) -> Postings:
@@ -188,7 +199,7 @@ def update_postings(index: Postings, gone: DataFrame, docs: DataFrame) -> Postin
 
 def wanted_grams(index: Postings, terms: list[str]) -> DataFrame:
     """The index rows of the grams that cover ``terms``; folders and row groups without them are not read."""
-    keys = np.unique(np.array([g for t in terms for g, _ in covering(t)], np.int64))
+    keys = _grams_of(terms)
     found = index.grams.where(F.col("bucket").isin(sorted({int(b) for b in _bucket(keys)})))
     if len(keys) <= LISTED:
         return found.where(F.col("gram").isin(keys.tolist()))
@@ -298,6 +309,18 @@ def rank_by_postings(index: Postings, terms: list[str] | tuple[str, ...]) -> Dat
     return _search(index, [(0, low)], None).select("id", "score")
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    low = F.filter(F.array_distinct(F.transform("terms", lambda t: F.lower(t))), lambda t: F.char_length(t) >= GRAM)
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), low.alias("terms")).where(F.size("terms") > 0)
+
+
+def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``batch_search_by_postings`` over rows without an index: one is built of the grams of the queries' terms, or of all beyond ``TERMS`` terms."""
+    terms = _asked(queries).select(F.explode("terms").alias("term")).distinct()
+    few = [r["term"] for r in terms.limit(TERMS + 1).collect()]
+    return batch_search_by_postings(build_postings(docs, few if len(few) <= TERMS else None), queries, k)
+
+
 def batch_search_by_postings(index: Postings, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best rows of each query (query_id, terms array): query_id, rank, id, score.
 
@@ -305,8 +328,7 @@ def batch_search_by_postings(index: Postings, queries: DataFrame, k: int = 10) -
     Queries are taken in blocks with about ``TERMS`` terms, each one pass over the wanted part of the index.
     """
     spark = index.grams.sparkSession
-    low = F.filter(F.array_distinct(F.transform("terms", lambda t: F.lower(t))), lambda t: F.char_length(t) >= GRAM)
-    asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), low.alias("terms")).where(F.size("terms") > 0))
+    asked = stored(_asked(queries))
     blocks = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // TERMS))
     parts = []
     for at in range(blocks):

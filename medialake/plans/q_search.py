@@ -217,5 +217,4 @@ def d24(s, d):
     ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM scored) SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
 )
 def d25(s, d):
-    found = postings.batch_search_by_postings(postings.build_postings(_docs(s, d)), _query_log(s, d))
-    return found.withColumn("score", F.round("score", 6))
+    return postings.batch_search(_docs(s, d), _query_log(s, d)).withColumn("score", F.round("score", 6))

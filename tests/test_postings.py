@@ -62,7 +62,9 @@ def test_best_rows_of_many_queries(spark, monkeypatch, copies, k, terms):
     monkeypatch.setattr(postings, "BLOCK_DOCS", 20)
     rows, frame = some_docs(spark, copies=copies)
     queries = [(0, ["aaaa", "tree"]), (1, ["aaaa", "AAAA", "ab"]), (2, ["ab"]), (3, []), (4, ["banana"]), (5, ["none", "banana"]), (6, ["nan", "aba"]), (7, ["a a"])]
-    found = postings.batch_search_by_postings(postings.build_postings(frame), spark.createDataFrame(queries, "query_id long, terms array<string>"), k).collect()
+    asked = spark.createDataFrame(queries, "query_id long, terms array<string>")
+    found = postings.batch_search_by_postings(postings.build_postings(frame), asked, k).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, postings.batch_search(frame, asked, k).collect()))
     wanted = {}
     for q, of in queries:
         low = sorted({t.lower() for t in of if len(t) >= 3})
@@ -77,6 +79,13 @@ def test_index_of_no_rows(spark):
     assert postings.batch_search_by_postings(index, spark.createDataFrame([(1, ["abc"])], "query_id long, terms array<string>")).isEmpty()
 
 
+def test_an_index_of_some_terms_holds_their_grams_only(spark):
+    frame = some_docs(spark)[1]
+    some, whole = postings.build_postings(frame, ["banana", "tree"]), postings.build_postings(frame)
+    assert {r["gram"] for r in some.grams.collect()} == {g for t in ("banana", "tree") for g, _ in postings.covering(t)}
+    assert (some.total, some.mean) == (whole.total, whole.mean) and some.grams.count() < whole.grams.count()
+
+
 def test_only_wanted_folders_and_grams_are_read(spark, same_rows):
     index = postings.build_postings(q_search._docs(spark, DATA))
     read = postings.wanted_grams(index, ["ement"])
