@@ -78,8 +78,8 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams ^ grams >> 21 ^ grams >> 42) % BUCKETS
 
 
-def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str | None]], only: np.ndarray | None) -> pa.RecordBatch:
-    """Index rows of one block of documents, of the grams ``only`` (sorted) if given, with the row of its ids and sizes."""
+def _places(fields: list[list[str | None]], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, owner, place, begin): every trigram of a block's texts, of ``only`` (sorted) if given, by gram, document and place; where each gram begins."""
     keys, owners, places = [], [], []
     for number, texts in enumerate(fields):
         lengths = np.array([len(t or "") for t in texts], np.int64)
@@ -99,8 +99,12 @@ def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str
         places.append(at[whole] * 8 + number)
     gram, owner, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, owners, places))
     order = np.lexsort((owner << 32 | place, gram))
-    gram, owner, place = gram[order], owner[order], place[order]
-    begin = np.flatnonzero(np.diff(gram, prepend=-1))
+    return gram[order], owner[order], place[order], np.flatnonzero(np.diff(gram[order], prepend=-1))
+
+
+def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str | None]]) -> pa.RecordBatch:
+    """Index rows of one block of documents, with the row of its ids and sizes."""
+    gram, owner, place, begin = _places(fields)
     runs = np.flatnonzero(np.diff(gram, prepend=-1) | np.diff(owner, prepend=-1))
     weight = np.add.reduceat(_WEIGHTS[place & 7], runs) if len(runs) else np.zeros(0)
     most = np.maximum.reduceat(weight, np.searchsorted(runs, begin)) if len(runs) else np.zeros(0)
@@ -117,8 +121,8 @@ def _block_rows(block: int, ids: list, sizes: np.ndarray, fields: list[list[str
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "gram", "most", "shortest", "docs", "places"])
 
 
-def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    number = segment << 52 | TaskContext.get().partitionId() << 32
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list]]:
+    """(ids, sizes, fields) of the blocks of a partition."""
     for batch in batches:
         sizes = batch.column("size").to_numpy(zero_copy_only=False)
         blocks = np.maximum(np.cumsum(sizes + 1) // BLOCK_CHARS, np.arange(len(sizes)) // BLOCK_DOCS)
@@ -126,14 +130,23 @@ def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0, only: np.nd
             for begin in range(0, len(part), BLOCK_DOCS):
                 some = batch.slice(part[begin], len(part[begin : begin + BLOCK_DOCS]))
                 if some.num_rows:
-                    yield _block_rows(number, some.column("id").to_pylist(), some.column("size").to_numpy(zero_copy_only=False), [some.column(f).to_pylist() for f in WEIGHTS], only)
-                    number += 1
+                    yield some.column("id").to_pylist(), some.column("size").to_numpy(zero_copy_only=False), [some.column(f).to_pylist() for f in WEIGHTS]
 
 
-def _segment(docs: DataFrame, number: int, only: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
-    """(grams, blocks) of some documents, written once."""
+def _index_rows(batches: Iterator[pa.RecordBatch], segment: int = 0) -> Iterator[pa.RecordBatch]:
+    first = segment << 52 | TaskContext.get().partitionId() << 32
+    for number, block in enumerate(_blocks(batches)):
+        yield _block_rows(first + number, *block)
+
+
+def _searched(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("id").cast("long").alias("id"), document_size().cast("long").alias("size"), *[F.lower(f).alias(f) for f in WEIGHTS])
-    found = rows.where("id is not null").mapInArrow(functools.partial(_index_rows, segment=number, only=only), _INDEX)
+    return rows.where("id is not null")
+
+
+def _segment(docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(grams, blocks) of some documents, written once."""
+    found = _searched(docs).mapInArrow(functools.partial(_index_rows, segment=number), _INDEX)
     # A gram of every document is dealt by blocks as well, so no task holds all of it.
     dealt = found.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block")
     index = stored(dealt, by="bucket")
@@ -154,12 +167,9 @@ def _postings(grams: DataFrame, blocks: DataFrame, segments: int) -> Postings:
     return Postings(grams, blocks, sums["n"], sums["size"] / sums["n"] if sums["n"] and sums["size"] else 1.0, segments)
 
 
-def build_postings(docs: DataFrame, terms: list[str] | None = None) -> Postings:
-    """The index of ``docs`` (id and the searched fields), written once into the shared folder.
-
-    With ``terms`` (lower case) only their grams are indexed: a small index for searches that are known beforehand.
-    """
-    return _postings(*_segment(docs, 0, None if terms is None else _grams_of(terms)), 1)
+def build_postings(docs: DataFrame) -> Postings:
+    """The index of ``docs`` (id and the searched fields), written once into the shared folder."""
+    return _postings(*_segment(docs, 0), 1)
 
 
 def _grams_of(terms: list[str]) -> np.ndarray:
@@ -207,38 +217,65 @@ def wanted_grams(index: Postings, terms: list[str]) -> DataFrame:
     return found.join(spark.createDataFrame([(int(k),) for k in keys], "gram long"), "gram", "left_semi")
 
 
+def _covers(terms: list[str]) -> dict[int, list]:
+    """Numbers of terms and their covering grams by the first of these."""
+    by_gram: dict[int, list] = {}
+    for n, term in enumerate(terms):
+        cover = covering(term)
+        by_gram.setdefault(cover[0][0], []).append((n, cover))
+    return by_gram
+
+
+def _found(covers: dict[int, list], held: dict[int, np.ndarray], alive: np.ndarray) -> dict[str, list]:
+    """The terms that a block holds: number, documents, their weighted counts, how many, the largest count. ``held``: sorted owner << 32 | place by gram."""
+    out: dict = {"term": [], "docs": [], "counts": [], "n": [], "most": []}
+    for gram, places in held.items():
+        for n, cover in covers.get(gram, ()):
+            met = places
+            for other, at in cover[1:]:
+                met = np.intersect1d(met, held[other] - 8 * at, assume_unique=True) if other in held and len(met) else met[:0]
+            met = met if alive.all() else met[alive[met >> 32]]
+            if len(met):
+                docs, first = np.unique(met >> 32, return_index=True)
+                counts = np.add.reduceat(_WEIGHTS[met & 7], first)
+                for c, v in zip(out, (n, docs.astype("<u2").tobytes(), counts.tobytes(), len(docs), counts.max())):
+                    out[c].append(v)
+    return out
+
+
 def term_hits(index: Postings, terms: list[str]) -> DataFrame:
     """A row for each block with its ids and sizes and, by number of the term, the documents that hold it and its weighted counts there."""
-    found = [(n, covering(t)) for n, t in enumerate(terms)]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_gram: dict[int, list] = {}
-        for n, cover in found:
-            by_gram.setdefault(cover[0][0], []).append((n, cover))
+        covers = _covers(terms)
         for batch in batches:
             for row in batch.to_pylist():
-                alive = np.frombuffer(row["ids"], "<i8") != VOID
                 held = {r["gram"]: np.frombuffer(r["docs"], "<u2").astype(np.int64) << 32 | np.frombuffer(r["places"], "<u4") for r in row["rows"]}
-                out: dict = {"term": [], "docs": [], "counts": [], "n": [], "most": []}
-                for gram, places in held.items():
-                    for n, cover in by_gram.get(gram, ()):
-                        met = places
-                        for other, at in cover[1:]:
-                            met = np.intersect1d(met, held[other] - 8 * at, assume_unique=True) if other in held and len(met) else met[:0]
-                        met = met if alive.all() else met[alive[met >> 32]]
-                        if len(met):
-                            docs, first = np.unique(met >> 32, return_index=True)
-                            counts = np.add.reduceat(_WEIGHTS[met & 7], first)
-                            for c, v in zip(out, (n, docs.astype("<u2").tobytes(), counts.tobytes(), len(docs), counts.max())):
-                                out[c].append(v)
+                out = _found(covers, held, np.frombuffer(row["ids"], "<i8") != VOID)
                 if out["term"]:
-                    row = {"ids": row["ids"], "sizes": row["sizes"], "shortest": row["shortest"], **out}
-                    yield pa.RecordBatch.from_pylist([row], _HITS)
+                    yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("ids", "sizes", "shortest")} | out], _HITS)
 
     rows = wanted_grams(index, terms).groupBy("block").agg(F.collect_list(F.struct("gram", "docs", "places")).alias("rows"), F.min("shortest").alias("shortest"))
-    return rows.join(index.blocks, "block").select("rows", "shortest", "ids", "sizes").mapInArrow(meet, "ids binary, sizes binary, shortest long, term array<int>, docs array<binary>, counts array<binary>, n array<long>, most array<double>")
+    return rows.join(index.blocks, "block").select("rows", "shortest", "ids", "sizes").mapInArrow(meet, _HITS_SCHEMA)
+
+
+def text_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of ``term_hits`` for documents without an index: each block is indexed in its task, by the terms' grams only, and its hits leave."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covers, only = _covers(terms), _grams_of(terms)
+        for ids, sizes, fields in _blocks(batches):
+            gram, owner, place, begin = _places(fields, only)
+            held = {int(gram[a]): owner[a:b] << 32 | place[a:b] for a, b in zip(begin, np.append(begin[1:], len(gram)))}
+            out = _found(covers, held, np.ones(len(ids), bool))
+            if out["term"]:
+                row = {"ids": np.array(ids, "<i8").tobytes(), "sizes": sizes.astype("<i8").tobytes(), "shortest": int(sizes.min()), **out}
+                yield pa.RecordBatch.from_pylist([row], _HITS)
+
+    return _searched(docs).mapInArrow(meet, _HITS_SCHEMA)
 
 
+_HITS_SCHEMA = "ids binary, sizes binary, shortest long, term array<int>, docs array<binary>, counts array<binary>, n array<long>, most array<double>"
 _HITS = pa.schema([
     ("ids", pa.binary()), ("sizes", pa.binary()), ("shortest", pa.int64()), ("term", pa.list_(pa.int32())), ("docs", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())),
     ("most", pa.list_(pa.float64())),
@@ -291,14 +328,14 @@ def _ranked(hits: DataFrame, queries: list[tuple[int, list[int]]], idf: dict[int
     return hits.mapInArrow(rank, "query_id long, id long, score double")
 
 
-def _search(index: Postings, queries: list[tuple[int, list[str]]], k: int | None) -> DataFrame:
-    """``_ranked`` for queries of distinct lower-case terms that all have three characters."""
+def _search(hits_of, total: int, mean: float, queries: list[tuple[int, list[str]]], k: int | None) -> DataFrame:
+    """``_ranked`` for queries of lower-case terms of three characters or more; ``hits_of`` gives the hits of a list of terms."""
     terms = sorted({t for _, of in queries for t in of})
     number = {t: n for n, t in enumerate(terms)}
-    hits = stored(term_hits(index, terms))
+    hits = stored(hits_of(terms))
     having = hits.select(F.explode(F.arrays_zip("term", "n")).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n")).collect()
-    idf = {r["term"]: float(_idf(index.total, np.float64(r["n"]))) for r in having}
-    return _ranked(hits, [(q, [number[t] for t in of]) for q, of in queries], idf, index.mean, k)
+    idf = {r["term"]: float(_idf(total, np.float64(r["n"]))) for r in having}
+    return _ranked(hits, [(q, [number[t] for t in of]) for q, of in queries], idf, mean, k)
 
 
 def rank_by_postings(index: Postings, terms: list[str] | tuple[str, ...]) -> DataFrame:
@@ -306,7 +343,7 @@ def rank_by_postings(index: Postings, terms: list[str] | tuple[str, ...]) -> Dat
     low = [t.lower() for t in terms]
     if not low or min(map(len, low)) < GRAM:
         return index.grams.sparkSession.createDataFrame([], "id long, score double")
-    return _search(index, [(0, low)], None).select("id", "score")
+    return _search(functools.partial(term_hits, index), index.total, index.mean, [(0, low)], None).select("id", "score")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -314,27 +351,30 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), low.alias("terms")).where(F.size("terms") > 0)
 
 
-def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``batch_search_by_postings`` over rows without an index: one is built of the grams of the queries' terms, or of all beyond ``TERMS`` terms."""
-    terms = _asked(queries).select(F.explode("terms").alias("term")).distinct()
-    few = [r["term"] for r in terms.limit(TERMS + 1).collect()]
-    return batch_search_by_postings(build_postings(docs, few if len(few) <= TERMS else None), queries, k)
-
-
-def batch_search_by_postings(index: Postings, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` best rows of each query (query_id, terms array): query_id, rank, id, score.
-
-    Terms of fewer than three characters are passed over; a document counts when it holds all others.
-    Queries are taken in blocks with about ``TERMS`` terms, each one pass over the wanted part of the index.
-    """
-    spark = index.grams.sparkSession
+def _batches(hits_of, total: int, mean: float, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query; queries are taken in blocks with about ``TERMS`` terms."""
     asked = stored(_asked(queries))
     blocks = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // TERMS))
     parts = []
     for at in range(blocks):
         some = [(r["query_id"], list(r["terms"])) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()]
         if some:
-            parts.append(stored(_search(index, some, k)))
-    met = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, id long, score double")
+            parts.append(stored(_search(hits_of, total, mean, some, k)))
+    met = functools.reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9), "id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``batch_search_by_postings`` over rows without an index: a pass over the texts for each block of queries, nothing of them is shuffled or written."""
+    sizes = docs.where("id is not null").select(document_size().alias("size")).agg(F.count("*").alias("total"), F.avg("size").alias("mean")).first()
+    return _batches(functools.partial(text_hits, docs), sizes["total"], sizes["mean"] or 1.0, queries, k)
+
+
+def batch_search_by_postings(index: Postings, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best rows of each query (query_id, terms array): query_id, rank, id, score.
+
+    Terms of fewer than three characters are passed over; a document counts when it holds all others. Each block of queries
+    is one pass over the wanted part of the index.
+    """
+    return _batches(functools.partial(term_hits, index), index.total, index.mean, queries, k)

@@ -79,13 +79,6 @@ def test_index_of_no_rows(spark):
     assert postings.batch_search_by_postings(index, spark.createDataFrame([(1, ["abc"])], "query_id long, terms array<string>")).isEmpty()
 
 
-def test_an_index_of_some_terms_holds_their_grams_only(spark):
-    frame = some_docs(spark)[1]
-    some, whole = postings.build_postings(frame, ["banana", "tree"]), postings.build_postings(frame)
-    assert {r["gram"] for r in some.grams.collect()} == {g for t in ("banana", "tree") for g, _ in postings.covering(t)}
-    assert (some.total, some.mean) == (whole.total, whole.mean) and some.grams.count() < whole.grams.count()
-
-
 def test_only_wanted_folders_and_grams_are_read(spark, same_rows):
     index = postings.build_postings(q_search._docs(spark, DATA))
     read = postings.wanted_grams(index, ["ement"])
