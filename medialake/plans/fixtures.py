@@ -19,11 +19,10 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number.cast("int"))
 
 
-def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """The central table: a row for each document, read as a media file with its metadata; ``wide`` for costly work on texts."""
+def files(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The columns of ``items`` that need no label: what follows from a document alone; ``wide`` for costly work on texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     docs = spread(docs) if wide else docs
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = F.col("doc_id")
     words = F.filter(F.split(F.lower("text"), r"[ \n\t]+"), lambda w: w != "")
     based = docs.select(
@@ -39,9 +38,7 @@ def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         }
     )
     named = typed.withColumn("name", F.concat("stem", "ext")).withColumn("rel_path", F.concat_ws("/", "category_folder", "media_type", "name"))
-    # What follows from a text is derived before labels are joined: a join then moves texts only where a query reads them.
-    derived = named.select(
-        "doc_id",
+    return named.select(
         d.alias("id"),
         F.concat(F.lit("/lib/"), "rel_path").alias("path"),
         "rel_path",
@@ -69,8 +66,18 @@ def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         "category_folder",
         (d * 3).alias("sidecar_mtime_ns"),
     )
-    return derived.join(labels, "doc_id", "left").select(
-        *[c for c in derived.columns if c not in ("doc_id", "sidecar_mtime_ns")],
+
+
+def items(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The central table: a row for each document, read as a media file with its metadata.
+
+    What follows from a text is derived before labels are joined: a join then moves texts only where a query reads them.
+    """
+    known = files(spark, sf_dir, wide)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d = F.col("id")
+    return known.join(labels, d == labels["doc_id"], "left").select(
+        *[c for c in known.columns if c != "sidecar_mtime_ns"],
         (F.coalesce("toxic", F.lit(0)) == 1).alias("nsfw"),
         (F.coalesce("quality", F.lit(0)) * 0.5 + (d % 50) / 100.0).alias("confidence"),
         "sidecar_mtime_ns",

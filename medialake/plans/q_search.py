@@ -52,11 +52,11 @@ def bm25_sql(terms: tuple[str, ...]) -> str:
 
 
 def _docs(s, d):
-    return build_search_docs(fx.items(s, d, True))
+    return build_search_docs(fx.files(s, d, True))
 
 
 def _tags(s, d):
-    return rebuild_item_tags(fx.items(s, d))
+    return rebuild_item_tags(fx.files(s, d))
 
 
 def _views(s, d):
