@@ -7,13 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from medialake.operators import diff
+from medialake.operators import diff, providers
 from medialake.plans import fixtures as fx
 from medialake.plans.q_diff import DIFF
 from medialake.plans.registry import registering
 from medialake.plans.shared import shared_dir
-from medialake.sources import files
-from medialake.streaming import jobs
+from medialake.sources import files, library
+from medialake.streaming import first_wins, jobs
 
 I = fx.ITEMS_SQL
 QUERIES, ORACLES, query = registering()
@@ -24,9 +24,9 @@ def _folder(s, name: str) -> str:
     return f"{shared_dir(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _library(s, d) -> str:
+def _library(s, d, path: str | None = None) -> str:
     """Items as text files, one for each category folder and media type."""
-    path = _folder(s, "library")
+    path = path or _folder(s, "library")
     rows = fx.items(s, d).select("category_folder", "media_type", F.concat_ws("\t", F.col("id").cast("string"), "sha256").alias("value"))
     rows.repartition("category_folder", "media_type").sortWithinPartitions("category_folder", "media_type", "value").write.partitionBy("category_folder", "media_type").text(path)
     return path
@@ -70,6 +70,36 @@ def a9(s, d):
     return s.read.parquet(path).groupBy("category_folder", "media_type").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
+@query(
+    "a9_library_files",
+    I + """, placed AS (SELECT *, CASE WHEN id % 7 = 0 THEN '' ELSE category_folder || '/' || media_type END AS place FROM items)
+    SELECT place, ext, count(*) AS n, sum(strlen(ocr_text))::BIGINT AS bytes FROM placed WHERE ocr_text IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT place, '.json', count(*), sum(strlen('{"id":' || id || ',"sha256":"' || sha256 || '"}'))::BIGINT FROM placed GROUP BY 1""",
+)
+def a9_files(s, d):
+    path = _folder(s, "library-files")
+    items = fx.files(s, d).withColumns(
+        {"category_folder": F.when(F.col("id") % 7 != 0, F.col("category_folder")), "content": F.col("ocr_text").cast("binary"), "sidecar": F.to_json(F.struct("id", "sha256"))}
+    )
+    library.write_library(items, path)
+    found = library.read_library(s, path).withColumn("ext", F.regexp_extract("rel_path", r"(\.[a-z0-9]+)$", 1))
+    return found.groupBy(F.regexp_extract("rel_path", "^(.*)/", 1).alias("place"), "ext").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+
+
+def _header(batch):
+    """The first eight digits of a hash; hashes that begin with two zeros cannot be read."""
+    if batch["sha256"].str.startswith("00").any():
+        raise ValueError("unreadable header")
+    return batch.assign(header=batch["sha256"].str[:8])
+
+
+@query("u1_isolated_providers", I + " SELECT id, CASE WHEN sha256 NOT LIKE '00%' THEN substr(sha256, 1, 8) END AS header, CASE WHEN sha256 LIKE '00%' THEN 'ValueError: unreadable header' END AS message FROM items")
+def u1(s, d):
+    header = providers.RowProvider("header", ("sha256",), "header string", _header, F.col("sha256").isNotNull())
+    merged = providers.merge_providers(fx.files(s, d).select("id", "sha256"), [header], "id", "errors")
+    return merged.select("id", "header", F.get("errors", F.lit(0))["message"].alias("message"))
+
+
 @query(
     "a10_scan_record",
     DIFF + """ SELECT n.run::INT AS run, count(*) FILTER (status <> 'removed') AS total, count(*) FILTER (status = 'new') - (SELECT count(*) FROM moves) AS added, count(*) FILTER (status IN ('changed', 'refresh')) AS modified,
@@ -104,6 +134,15 @@ def s1(s, d):
     return found.agg(F.count("*").alias("n"), F.count_distinct("sha256").alias("hashes"))
 
 
+@query("s1_first_wins", I + " SELECT again, count(*) AS n FROM (SELECT DISTINCT category_folder, media_type FROM items), (VALUES (false), (true)) v(again) GROUP BY 1")
+def s1_first_wins(s, d):
+    inbox = _folder(s, "inbox")
+    for part in ("first", "second"):
+        _library(s, d, f"{inbox}/{part}")
+    found = first_wins.ingest(s, inbox, _folder(s, "arrivals"), _folder(s, "arrivals-state"))
+    return found.groupBy(F.col("repeat").alias("again")).agg(F.count("*").alias("n"))
+
+
 @query("s2_stream_view_counts", I + fx.VIEWS_SQL + " SELECT sha256, count(*) AS view_count, strftime(max(viewed_at), '%Y-%m-%d %H:%M:%S') AS last_viewed_at FROM views GROUP BY 1")
 def s2(s, d):
     path = _folder(s, "views")
