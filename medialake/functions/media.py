@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions.
-VIDEO_EXTENSIONS = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
+VIDEO_EXTENSIONS = (".mp4", ".webm", ".mov", ".mkv", ".m4v", ".avi")
 MAYBE_ANIMATED_EXTENSIONS = (".png", ".webp")
 #: The kinds of a picture.
 MEME_TYPES = ("reaction", "image-macro", "comic", "screenshot", "text-post", "photo", "drawing", "chart", "template", "other")
