@@ -10,7 +10,8 @@ done; ties at that distance are then complete too. Rounds join queries that are
 index by equality; nothing is compared with all rows.
 
 Defined results: rows with null ids or vectors that are null, zero, of another length than most or hold
-null or non-finite components take no part (more than 64 components: an error); ties go to smaller
+null or non-finite components take no part (more than 64 components: an error); rows of one id are one item, of
+which the smallest code (as a signed number) counts, so repeated rows change nothing; ties go to smaller
 ids; with fewer than k candidates all are returned; an empty table gives an empty result; other columns
 of the input are ignored.
 """
@@ -61,7 +62,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     spark = vectors.sparkSession
     shared_dir(spark)
     rows = usable(vectors, id_col, vector_col)
-    coded = stored(rows.select("id", F.size("vec").alias("dims"), sign_code(F.col("vec")).alias("code")))
+    signed = rows.select("id", F.size("vec").alias("dims"), sign_code(F.col("vec")).alias("code"))
+    coded = stored(signed.groupBy("id").agg(F.first("dims").alias("dims"), F.min("code").alias("code")))
     codes = stored(with_smallest_ids(coded, "code", k + 1))
     size, dims = codes.count(), coded.agg(F.max("dims")).first()[0] or 1
     if dims > 64:

@@ -71,6 +71,11 @@ def _rate(dual, size, mean, most: int):
     return F.exp(F.least(dual * size / mean, F.lit(math.log(most))))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that each run finds the same dual."""
+    return F.sum(value.cast("decimal(32,9)")).cast("double")
+
+
 def solve_dual(sizes: DataFrame, targets: DataFrame, most: int = MOST, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
     """``targets`` with the dual of each source (null where every document takes ``most`` copies)."""
     shared_dir(sizes.sparkSession)
@@ -91,7 +96,7 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, most: int = MOST, tolerance
         rate = _rate(F.col("dual"), F.col("size"), F.col("mean"), most)
         words = F.col("n") * F.col("size") * rate
         inside = F.col("dual") * F.col("size") / F.col("mean") < math.log(most)
-        sums = at.groupBy("s").agg(F.sum(words).alias("got"), F.sum(F.when(inside, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+        sums = at.groupBy("s").agg(_exact_sum(words).alias("got"), _exact_sum(F.when(inside, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         near = F.abs(F.col("got") - F.col("target")) <= tolerance * F.col("target")
         low = F.when(F.col("got") < F.col("target"), F.col("dual")).otherwise(F.col("lo"))
         high = F.when(F.col("got") > F.col("target"), F.col("dual")).otherwise(F.col("hi"))

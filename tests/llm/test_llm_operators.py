@@ -254,6 +254,22 @@ def test_mix_of_odd_documents(documents, no_documents):
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +taken
 
 
+def test_rates_do_not_depend_on_partitions(spark):
+    """Sums of the Newton steps are free of order: rates and copies agree to the last bit."""
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.randint(0, 200), draw.choice("aaab")) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(sorted(tuple(r) for r in mixing.mix_sources(frame.repartition(parts)).select("doc_id", "rate", "target", "copies").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1]
+
+
 # 5: language
 
 
@@ -648,3 +664,19 @@ def test_top_k_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in hamming_search.top_k(frame).collect()] == [(0, 1, 1, 1)]
     assert hamming_search.top_k(frame.where("vec_id > 5")).isEmpty()
+
+
+def test_top_k_of_repeated_rows_and_clashing_columns(spark):
+    """A query whose own row stands forty times still has all its neighbours; of two codes of an id the smaller counts."""
+    frame, known = vectors(spark, 5, 300, 16)
+    again = frame.where("vec_id in (0, 3, 200)").withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("times")
+    other = spark.createDataFrame([(9, [1.0] * 16), (100, [-1.0] * 15 + [1.0])], frame.schema)
+    named = ["id", "vec", "code", "ids", "query", "distance", "rank", "segment", "value", "mask", "bound", "dims"]
+    wide = frame.unionByName(again).unionByName(other).select("*", *[F.lit("x").alias(c) for c in named])
+    code = {i: sum(1 << k for k, x in enumerate(v) if x >= 0) for i, v in known.items()}
+    code |= {9: min(code[9], (1 << 16) - 1), 100: min(code[100], 1 << 15)}
+    found = by_id(hamming_search.top_k(wide, 10, 100), "rank", "vec_id", "distance")
+    assert set(found) == {i for i in known if i % 100 == 0}
+    for query, rows in found.items():
+        wanted = sorted(((code[query] ^ c).bit_count(), i) for i, c in code.items() if i != query)[:10]
+        assert sorted(rows) == [(k + 1, i, d) for k, (d, i) in enumerate(wanted)]
