@@ -417,6 +417,42 @@ def test_beam_finds_the_nearest_of_queries_from_other_shards():
     assert hits >= 0.985 * wanted.size
 
 
+def clusters(draw, size, sigma, n=8192):
+    centres = draw.standard_normal((n // size + 1, 64))
+    return (np.repeat(centres, size, axis=0) + sigma * draw.standard_normal((len(centres) * size, 64)))[:n]
+
+
+def of_lengths(draw, n=8192):
+    points = draw.standard_normal((n, 64))
+    return points / np.linalg.norm(points, axis=1, keepdims=True) * np.exp(draw.standard_normal((n, 1)))
+
+
+@pytest.mark.parametrize("make", [lambda d: clusters(d, 300, 0.02), lambda d: clusters(d, 100, 0.1), lambda d: d.standard_normal((8192, 64)), of_lengths], ids=["clusters of 300", "clusters of 100", "normal", "log-normal lengths"])
+def test_no_query_of_a_full_shard_is_lost(make):
+    """Recall at 20 against brute force over clusters larger than the list of candidates and over spread lengths."""
+    draw = np.random.default_rng(11)
+    points = draw.permutation(make(draw))
+    square = (points**2).sum(axis=1)
+    layers = ann.build_graph(np.c_[points, np.sqrt(square.max() - square)].astype(np.float32))
+    queries = points[:400]
+    wanted = np.argsort(-(queries @ points.T), axis=1, kind="stable")[:, :20]
+    found = ann.search_graph(points.astype(np.float32), layers, queries.astype(np.float32), ann.BEAM)
+    hits = np.array([len(np.intersect1d(sorted(f[f >= 0], key=lambda k: -(points[k] @ q))[:20], w)) for f, q, w in zip(found, queries, wanted)])
+    assert hits.mean() >= 0.98 * 20 and hits.min() >= 10
+
+
+def test_vectors_of_extreme_lengths(spark):
+    """Components near the ends of the double range are neighbours like any other; products beyond it are infinite."""
+    frame = spark.createDataFrame([(0, [1e150, 0.0]), (1, [1e150, 1e150]), (2, [1e-150, 0.0]), (20, [0.0, 1e-200])], "vec_id long, embedding array<double>")
+    found = {k: [v[1] for v in sorted(rows)] for k, rows in by_id(ann.nearest(frame), "rank", "vec_id").items()}
+    assert found[0][:2] == [1, 2] and found[20][0] == 1 and all(len(rows) == 3 for rows in found.values())
+
+
+def test_shards_grow_with_the_queries_up_to_a_bound():
+    sizes = [ann.shard_size(n) for n in (0, 500, 50_000, 5_000_000, 5_000_000_000)]
+    assert sizes == sorted(sizes) and sizes[0] == ann.LEAST_SHARD and sizes[-1] == ann.MOST_SHARD
+
+
 def test_repeated_rows_of_vectors(spark):
     """Queries that repeat a row are one; rows of the query's id other than its own are candidates; clashing columns."""
     draw = np.random.default_rng(3)
