@@ -7,7 +7,9 @@ by one bit, segment by segment where that is many values, and only the new value
 the first a of m segments have been looked up to radius r and the others to r - 1, every code within
 m * r + a - 1 bits has been met, so a query whose kth verified distance is within that is
 done; ties at that distance are then complete too. Rounds join queries that are not done with the
-index by equality; nothing is compared with all rows.
+index by equality; nothing is compared with all rows. The width of a segment follows the number of codes at any
+size, and the bits to flip are made for each radius as it is reached. A segment value that very many codes share
+is split into parts, and of what a query meets in a segment only its best go on, before they are shuffled.
 
 Defined results: rows with null ids or vectors that are null, zero, of another length than most or hold
 null or non-finite components take no part (more than 64 components: an error); rows of one id are one item, of
@@ -31,6 +33,8 @@ K = 10
 EVERY = 100
 #: Radius up to which all segments are looked up in one round; beyond it each segment is a round.
 TOGETHER = 2
+#: Codes of a part of a segment value.
+PART = 65_536
 
 
 def sign_code(vec: Column) -> Column:
@@ -40,8 +44,8 @@ def sign_code(vec: Column) -> Column:
 
 
 def _segments(codes: int, dims: int) -> list[tuple[int, int]]:
-    """(first bit, width) of segments of about log2(codes) - 2 bits each, between 4 and 16."""
-    wanted = min(16, max(4, round(math.log2(max(2, codes))) - 2))
+    """(first bit, width) of segments of about log2(codes) - 2 bits each, at least 4."""
+    wanted = max(4, round(math.log2(max(2, codes))) - 2)
     parts = max(1, min(dims, math.ceil(dims / wanted)))
     edges = [dims * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
@@ -54,10 +58,17 @@ def _rounds(segments: int, widest: int) -> list[tuple[int, list[int], int]]:
 
 
 def _values(code: Column, segments: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for k, (at, width) in enumerate(segments)])
+    return F.array(*[F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1 - (1 << 64 if width == 64 else 0)).cast("long")).alias("value")) for k, (at, width) in enumerate(segments)])
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _with_one_more(masks: DataFrame, widest: int) -> DataFrame:
+    """(mask, highest): the masks of ``masks`` with one more bit set, above the highest of each."""
+    longer = masks.where(F.col("highest") < widest - 1)
+    grown = longer.select("mask", F.explode(F.sequence(F.col("highest") + 1, F.lit(widest - 1))).alias("highest"))
+    return grown.select(F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("highest"))).alias("mask"), "highest")
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", part_codes: int = PART) -> DataFrame:
     """query_id, rank, vec_id, distance: the k codes nearest to each query's, other than itself."""
     spark = vectors.sparkSession
     shared_dir(spark)
@@ -70,36 +81,42 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         raise ValueError(f"codes of {dims} bits; at most 64 are supported")
     segments = _segments(size, dims)
     widest = max(width for _, width in segments)
-    index = stored(codes.select("code", F.explode(_values(F.col("code"), segments)).alias("s")).select("s.segment", "s.value", "code"))
-    masks = stored(spark.range(1 << widest).select(F.col("id").cast("int").alias("mask")).withColumn("ones", F.bit_count("mask")))
+    each_code = codes.select("code", F.col("ids")[0].alias("least"), F.least(F.lit(k + 1), F.size("ids")).alias("enough"), F.explode(_values(F.col("code"), segments)).alias("s"))
+    values = each_code.select("s.segment", "s.value", "code", "least", "enough")
+    hot = stored(values.groupBy("segment", "value").count().where(F.col("count") > part_codes).select("segment", "value", F.ceil(F.col("count") / part_codes).cast("int").alias("parts")))
+    index = stored(values.join(hot, ["segment", "value"], "left").withColumn("part", F.pmod(F.xxhash64("code"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
+    masks = spark.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("highest"))
     widths = F.array(*[F.lit(width) for _, width in segments])
     queries = coded.where(F.col("id") % every == 0).select("id", "code").distinct()
     asked = stored(queries.select(F.col("code").alias("query")).distinct())
     probes = stored(asked.select("query", F.explode(_values(F.col("query"), segments)).alias("s")).select("query", "s.segment", "s.value", F.element_at(widths, F.col("s.segment") + 1).alias("width")))
-    need = F.least(F.lit(k + 1), F.size("ids"))
+    nearest = [F.col("distance"), F.col("least")]
     best = None
     done = None
     active = asked.withColumn("bound", F.lit(64))
     rounds = _rounds(len(segments), widest)
+    reached = 0
     for radius, part, covered in rounds:
-        flips = masks.where(F.col("ones") == radius).select("mask")
-        looked_up = probes.where(F.col("segment").isin(part)).join(active, "query").join(flips, F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("width")))
-        probed = looked_up.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        if radius > reached:
+            masks, reached = _with_one_more(masks, widest), radius
+        looked_up = probes.where(F.col("segment").isin(part)).join(active, "query").join(masks, F.col("mask") < F.expr("CASE WHEN width < 63 THEN shiftleft(1L, width) ELSE 9223372036854775807L END"))
+        probed = looked_up.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).join(hot, ["segment", "value"], "left")
+        dealt = probed.select("query", "bound", "segment", "value", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        verified = probed.join(index, ["segment", "value"]).where(distance <= F.col("bound")).select("query", "code", distance.alias("distance")).distinct()
+        met = dealt.join(index, ["segment", "value", "part"]).withColumn("distance", distance).where(F.col("distance") <= F.col("bound"))
+        # A segment shows a code once a round, so k + 1 rows of each segment hold what it can give.
+        in_segment = Window.partitionBy("query", "segment").orderBy(*nearest)
+        verified = met.withColumn("rank", F.row_number().over(in_segment)).where(F.col("rank") <= k + 1).select("query", "code", "distance", "least", "enough").distinct()
         held = verified if best is None else best.join(active.select("query"), "query", "left_semi").unionByName(verified).distinct()
         # k + 1 rows by distance and smallest id hold the answer of every query with this code.
-        ranked = held.join(codes.select("code", "ids"), "code").withColumn("least", F.col("ids")[0])
-        order = Window.partitionBy("query").orderBy("distance", "least")
-        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).withColumn("enough", need)
-        best = stored(ranked.select("query", "code", "distance", "enough"))
+        ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*nearest))).where(F.col("rank") <= k + 1)
+        best = stored(ranked.drop("rank"))
         sums = best.groupBy("query").agg(
             F.sum(F.when(F.col("distance") <= covered, F.col("enough")).otherwise(0)).alias("sure"), F.when(F.sum("enough") >= k + 1, F.max("distance")).otherwise(64).alias("bound")
         )
         ready = sums.where((F.col("sure") >= k + 1) | F.lit(covered >= dims or (radius, part, covered) == rounds[-1])).select("query")
         finished = best.join(ready, "query", "left_semi")
         done = finished if done is None else done.unionByName(finished)
-        best = best.select("query", "code", "distance")
         # Only codes as near as the farthest one held can still come in.
         active = stored(active.select("query").join(ready, "query", "left_anti").join(sums.select("query", "bound"), "query", "left").select("query", F.coalesce("bound", F.lit(64)).alias("bound")))
         if active.isEmpty():
