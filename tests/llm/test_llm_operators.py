@@ -716,30 +716,3 @@ def test_top_k_of_repeated_rows_and_clashing_columns(spark):
     for query, rows in found.items():
         wanted = sorted(((code[query] ^ c).bit_count(), i) for i, c in code.items() if i != query)[:10]
         assert sorted(rows) == [(k + 1, i, d) for k, (d, i) in enumerate(wanted)]
-
-
-def test_codes_that_share_a_segment_are_met_in_parts(spark):
-    """A segment value of most codes is split; columns of the names used inside change nothing; against all pairs."""
-    draw = np.random.default_rng(21)
-    signs = np.where(draw.random((1500, 40)) < 0.5, 1.0, -1.0)
-    signs[:1100, :14] = 1.0
-    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(signs)], "vec_id long, embedding array<double>")
-    clashing = frame.withColumns({c: F.lit(1) for c in ("id", "code", "segment", "value", "part", "parts", "least", "rank", "query")})
-    found = by_id(hamming_search.top_k(clashing, 10, 50, part_codes=100), "rank", "vec_id", "distance")
-    away = (signs[:, None, :] != signs[::50][None, :, :]).sum(axis=2)
-    for at, query in enumerate(range(0, 1500, 50)):
-        order = [int(k) for k in np.lexsort((np.arange(1500), away[:, at])) if k != query][:10]
-        assert sorted(found[query]) == [(rank + 1, k, int(away[k, at])) for rank, k in enumerate(order)]
-
-
-def test_segments_widen_with_the_codes():
-    widths = [max(w for _, w in hamming_search._segments(1 << bits, 64)) for bits in (4, 12, 18, 24, 34)]
-    assert widths == sorted(widths) and widths[0] == 4 and widths[-1] > 16
-    assert all(sum(w for _, w in hamming_search._segments(1 << bits, 64)) == 64 for bits in (4, 18, 34, 66))
-
-
-def test_masks_of_each_radius(spark):
-    masks = spark.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("highest"))
-    for ones in range(1, 5):
-        masks = hamming_search._with_one_more(masks, 6)
-        assert sorted(r["mask"] for r in masks.collect()) == [m for m in range(64) if m.bit_count() == ones]
