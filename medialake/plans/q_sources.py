@@ -45,11 +45,11 @@ def a3(s, d):
     path = _folder(s, "sidecars")
     items = fx.items(s, d)
     version = F.when(F.col("id") % 17 == 0, "broken").otherwise("2")
-    document = items.select(
+    document = F.struct(
         F.when(F.col("id") % 17 != 0, 2).alias("schema_version"), F.when(F.col("id") % 17 != 0, F.substring("sha256", 1, 16)).alias("id"), F.struct("name", "width", "height", F.col("size_bytes").alias("bytes"), "media_type").alias("file"),
         F.struct("sha256").alias("source"), F.struct("title", "tags", "meme_type", "nsfw", "confidence").alias("analysis"), F.struct(F.col("category_name").alias("name")).alias("category"), F.struct(version.alias("profile")).alias("processing"),
     )
-    document.write.option("maxRecordsPerFile", 1).json(path)
+    library.write_library(items.select("category_folder", "media_type", "stem", F.to_json(document).alias("sidecar")), path)
     good, bad = files.read_sidecars(s, path)
     rows = good.select("id", "analysis.title", F.size("analysis.tags").cast("long").alias("n_tags"), F.lit(True).alias("readable"))
     return rows.unionByName(bad.select(F.lit(False).alias("readable")), allowMissingColumns=True)

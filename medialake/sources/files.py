@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.functions.media import extension
+from medialake.plans.shared import stored
 
 #: Folders that are never scanned.
 IGNORED_FOLDERS = (".git", ".index", "__pycache__", "node_modules")
@@ -47,16 +48,19 @@ def read_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     """(sidecars with their path, unreadable ones as path and raw text) of the JSON documents under ``root``.
 
     The registry file and the index folder are no sidecars. A document that does not parse, or has no id,
-    fails nothing.
+    fails nothing. Folders that are never scanned are not entered; many small files make one split, and each file is
+    opened once for both parts.
     """
-    schema = f"{SIDECAR_FIELDS}, _corrupt string"
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
-    # The metadata column writes paths as URLs; other sources do not.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    named = rows.select("*", path.alias("path")).where(~F.endswith("path", F.lit(f"/{REGISTRY_FILE}")) & ~F.contains("path", F.lit(f"/{INDEX_FOLDER}/")))
-    broken = F.col("_corrupt").isNotNull() | F.col("id").isNull()
-    return named.where(~broken).drop("_corrupt"), named.where(broken).select("path", F.col("_corrupt").alias("text"))
+    from medialake.sources.library import read_library
+
+    content = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    found = read_library(spark, root, (".json",), content=True).where(F.endswith("path", F.lit(".json")) & (F.element_at(F.split("path", "/"), -1) != REGISTRY_FILE))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    document = F.from_json("text", f"{SIDECAR_FIELDS}, _corrupt string", options)
+    rows = stored(found.select("path", content.alias("text")).withColumn("document", document))
+    broken = F.col("document").isNull() | F.col("document._corrupt").isNotNull() | F.col("document.id").isNull()
+    good = rows.where(~broken).select("document.*", "path").drop("_corrupt")
+    return good, rows.where(broken).select("path", F.when(F.col("document").isNull(), F.col("text")).otherwise(F.col("document._corrupt")).alias("text"))
 
 
 def read_category_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -509,3 +509,15 @@ def test_files_sidecars_and_images(spark, tmp_path):
     assert files.read_category_registry(spark, f"{root}/absent.json").isEmpty()
     image = spark.read.format("image").load(f"{root}/falling name.PNG")
     assert values(duplicates.dhash_images(image), "fp") == ["f" * 16]
+
+
+def test_many_sidecars_share_splits_and_an_empty_one_is_unreadable(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"s{k:03d}.json").write_text(f'{{"schema_version": 2, "id": "{k}"}}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "list.json").write_text("[1, 2]")
+    (tmp_path / "mark.json").write_bytes(b'\xef\xbb\xbf{"id": "mark"}')
+    good, bad = files.read_sidecars(spark, str(tmp_path))
+    assert sorted(values(good.select("id"))) == sorted([*map(str, range(200)), "mark"])
+    assert sorted((r["path"].rsplit("/", 1)[1], r["text"]) for r in bad.collect()) == [("empty.json", ""), ("list.json", "[1, 2]")]
+    assert good.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
