@@ -6,21 +6,23 @@ share one are its members, so copies never become pairs.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from medialake.functions.shingles import text_prints
 from medialake.operators.graph import connected_components
 from medialake.plans.shared import stored
 
+#: Bytes of texts that are fingerprinted at a time; a longer text is taken alone.
+TEXT_BYTES = 1 << 20
 BANDS = 4
 BAND_BITS = 16
 MAX_DISTANCE = 6
@@ -75,23 +77,9 @@ def _edges(size: int, parts: int) -> list[int]:
     return [min(size - 1, size * k // parts) for k in range(parts)] + [size]
 
 
-_WORD = re.compile(r"\w+", re.ASCII)
-
-
 def text_bits(text: str, shingle: int = 3) -> bytes:
     """8 bytes from md5 of the distinct word shingles of a lower-case text; a text of fewer words is one shingle."""
-    words = _WORD.findall(text)
-    runs = {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    ones, some = np.zeros(64, np.int64), []
-    for run in runs:
-        some.append(hashlib.md5(run.encode(), usedforsecurity=False).digest()[:8])
-        if len(some) == 65_536:
-            ones, some = ones + _ones(some), []
-    return np.packbits(2 * (ones + _ones(some)) > len(runs)).tobytes()
-
-
-def _ones(hashes: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return text_prints([text], shingle)[0].tobytes()
 
 
 def simhash_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -103,8 +91,13 @@ def simhash_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [text_bits(t.as_py(), shingle).hex() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["id", "fp"])
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+            for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
+                if len(rows):
+                    some = batch.slice(rows[0], len(rows))
+                    prints = text_prints(some.column(1).to_pylist(), shingle).tobytes().hex()
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([prints[at : at + 16] for at in range(0, len(prints), 16)], pa.string())], names=["id", "fp"])
 
     return rows.mapInArrow(per_batch, T.StructType([rows.schema["id"], T.StructField("fp", T.StringType())]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import struct
 import zlib
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medialake.functions import fuzzy, fuzzy_bounds, geometry, text
+from medialake.functions import fuzzy, fuzzy_bounds, geometry, shingles, text
 from medialake.functions.media import category_from_path, classify_media_type
 from medialake.operators import categorize, diff, duplicates, facets, graph, naming, normalize, numbering, providers, sampling, search
 from medialake.operators.fuzzy import build_fuzzy_index, fuzzy_candidates, fuzzy_match, scores_computed
@@ -521,3 +522,16 @@ def test_many_sidecars_share_splits_and_an_empty_one_is_unreadable(spark, tmp_pa
     assert sorted(values(good.select("id"))) == sorted([*map(str, range(200)), "mark"])
     assert sorted((r["path"].rsplit("/", 1)[1], r["text"]) for r in bad.collect()) == [("empty.json", ""), ("list.json", "[1, 2]")]
     assert good.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_fingerprints_of_many_texts_equal_those_by_hand():
+    rng = random.Random(3)
+    texts = ["", " ", "a", "a b", "a b c a b c", "é", "x" * 55 + " y", "x" * 56, "a\nb\tc_d 9"] + [" ".join(rng.choice(["w" * rng.randint(1, 30), "é,", "_"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+
+    def by_hand(text):
+        words = re.findall(r"\w+", text, re.ASCII)
+        runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        hashes = [int(hashlib.md5(r.encode()).hexdigest()[:16], 16) for r in runs]
+        return f"{sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64)):016x}"
+
+    assert [bytes(p).hex() for p in shingles.text_prints(texts)] == [by_hand(t) for t in texts]
