@@ -535,3 +535,27 @@ def test_fingerprints_of_many_texts_equal_those_by_hand():
         return f"{sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64)):016x}"
 
     assert [bytes(p).hex() for p in shingles.text_prints(texts)] == [by_hand(t) for t in texts]
+
+
+def test_batches_are_scored_once_across_parts(spark):
+    """Batches that lie over the ends of Arrow parts stay whole, values keep their type beside others', and no batch is scored twice."""
+    calls = spark.sparkContext.accumulator(0)
+    big = 1 << 60
+
+    def scorer(rows):
+        calls.add(1)
+        if (rows["id"] == big + 5).any():
+            raise ValueError("no")
+        assert list(rows.index) == list(range(len(rows)))
+        return rows.assign(n=len(rows), score=[None] * len(rows) if rows["id"].min() % 3 else 1)
+
+    batched = categorize.make_batches(spark.range(big, big + 100).select("id"), 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        answers, failures = categorize.score_batches(batched, scorer, "id long, n long, score long", attempts=1)
+        found = {r["id"]: (r["n"], r["batch"]) for r in answers.collect()}
+        assert [(r["batch"], r["error"]) for r in failures.collect()] == [(0, "ValueError: no")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {big + k: (2 if k >= 98 else 7, k // 7) for k in range(7, 100)}
+    assert calls.value == 15
