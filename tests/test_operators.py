@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,3 +560,21 @@ def test_batches_are_scored_once_across_parts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {big + k: (2 if k >= 98 else 7, k // 7) for k in range(7, 100)}
     assert calls.value == 15
+
+
+def test_slugs_are_made_of_distinct_hints_only(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        made.add(len(texts))
+        return texts
+
+    files_ = spark.range(500).select("id", F.when(F.col("id") % 5 != 0, F.concat(F.lit("Cats "), (F.col("id") % 2).cast("string"), F.lit("/x"))).otherwise("x").alias("rel_path"))
+    registry = spark.createDataFrame([(3, "cats 0", "03-cats-0"), (4, "Other", None)], "id long, name string, folder string")
+    usual = text.slugify
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(categorize, "slugify", lambda c, most, articles: usual(c, most, articles, counted))
+        found = {(r["hint"], r["slug"], r["category_id"]) for r in categorize.resolve_hints(files_, registry).collect()}
+    assert found == {("Cats 0", "cats-0", 3), ("Cats 1", "cats-1", None), (None, None, None)}
+    assert made.value <= 10
