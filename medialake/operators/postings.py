@@ -147,9 +147,8 @@ def _searched(docs: DataFrame) -> DataFrame:
 def _segment(docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """(grams, blocks) of some documents, written once."""
     found = _searched(docs).mapInArrow(functools.partial(_index_rows, segment=number), _INDEX)
-    # A gram of every document is dealt by blocks as well, so no task holds all of it.
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "gram", "block")
-    index = stored(dealt, by="bucket")
+    # Each task writes the folders of its own blocks: rows of the index are never shuffled, and no task holds all of a gram.
+    index = stored(found.sortWithinPartitions("bucket", "gram", "block"), by="bucket", compression="zstd")
     return index.where(F.col("bucket") != DOCS), index.where(F.col("bucket") == DOCS).select("block", F.col("docs").alias("ids"), F.col("places").alias("sizes"))
 
 

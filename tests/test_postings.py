@@ -87,3 +87,15 @@ def test_only_wanted_folders_and_grams_are_read(spark, same_rows):
     folders = {f.split("bucket=")[1].split("/")[0] for f in read.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
     assert folders and folders <= {str(b) for b in postings._bucket(postings.np.array([g for g, _ in postings.covering("ement")]))}
     same_rows(postings.rank_by_postings(index, q_search.TERMS).select("id", F.round("score", 6).alias("score")), q_search.ORACLES["d4_bm25_rank"])
+
+
+def test_rows_of_the_index_stay_with_the_task_that_made_them(spark):
+    """No file of the index holds blocks of two tasks, so the index is written without a shuffle; each file is sorted by gram."""
+    _, docs = some_docs(spark)
+    index = postings.build_postings(docs.repartition(3))
+    rows = index.grams.select(F.input_file_name().alias("file"), F.shiftright("block", 32).alias("task"), F.monotonically_increasing_id().alias("at"), "gram")
+    made = {}
+    for r in rows.orderBy("file", "at").collect():
+        made.setdefault(r["file"], []).append((r["task"], r["gram"]))
+    assert len({t for found in made.values() for t, _ in found}) == 3
+    assert all(len({t for t, _ in found}) == 1 and [g for _, g in found] == sorted(g for _, g in found) for found in made.values())
