@@ -109,7 +109,7 @@ def weighted_ratios(a: str, others: list[str]) -> np.ndarray:
     """``weighted_ratio`` of ``a`` with each string, those of parts together."""
     apart = [i for i, b in enumerate(others) if a and b and max(len(a), len(b)) / min(len(a), len(b)) >= 1.5]
     parts = set(apart)
-    best = np.array([ratio(a, b) if i in parts else weighted_ratio(a, b) for i, b in enumerate(others)])
+    best = np.array([0.0 if i in parts else weighted_ratio(a, b) for i, b in enumerate(others)])
     some = [others[i] for i in apart]
     tokens = set(a.split())
     shared = np.array([not tokens.isdisjoint(b.split()) for b in some], bool)
@@ -119,5 +119,9 @@ def weighted_ratios(a: str, others: list[str]) -> np.ndarray:
         partial_ratios(" ".join(sorted(a.split())), [" ".join(sorted(b.split())) for b in new]), partial_ratios(" ".join(sorted(tokens)), [" ".join(sorted(set(b.split()))) for b in new])
     )
     scale = np.array([0.9 if max(len(a), len(b)) / min(len(a), len(b)) <= 8 else 0.6 for b in some])
-    best[apart] = np.maximum(best[apart], np.maximum(scale * partial_ratios(a, some), 0.95 * scale * whole))
+    best[apart] = np.maximum(scale * partial_ratios(a, some), 0.95 * scale * whole)
+    for i in apart:
+        # The shorter one may lie within the longer one as a whole: only where that could be more is the ratio taken.
+        if 200.0 * min(len(a), len(others[i])) / (len(a) + len(others[i])) > best[i]:
+            best[i] = max(best[i], ratio(a, others[i]))
     return best

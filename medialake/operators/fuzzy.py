@@ -43,7 +43,9 @@ def build_fuzzy_index(items: DataFrame) -> DataFrame:
     choices = fuzzy_text(items).select(F.col("id").cast("long").alias("id"), F.coalesce("choice", F.lit("")).alias("choice"))
     order = [F.char_length("choice"), F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("choice"), ""))), ""), F.col("id")]
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return choices.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cells, _INDEX)
+    cells = choices.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cells, _INDEX)
+    # Cells of long texts cost most: each file gets some of every length.
+    return cells.repartition(parts)
 
 
 _INDEX = "ids array<long>, texts array<string>, lengths binary, counts binary, shortest int, longest int"

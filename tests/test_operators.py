@@ -578,3 +578,14 @@ def test_slugs_are_made_of_distinct_hints_only(spark):
         found = {(r["hint"], r["slug"], r["category_id"]) for r in categorize.resolve_hints(files_, registry).collect()}
     assert found == {("Cats 0", "cats-0", 3), ("Cats 1", "cats-1", None), (None, None, None)}
     assert made.value <= 10
+
+
+def test_whole_ratio_is_taken_only_where_it_may_be_the_best(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for query in ("abc cab", "a", "bcabca cc abacab", ""):
+        assert fuzzy.weighted_ratios(query, texts).tolist() == [fuzzy.weighted_ratio(query, t) for t in texts]
+    calls = []
+    monkeypatch.setattr(fuzzy, "common_length", lambda a, b: calls.append(b) or 0)
+    fuzzy.weighted_ratios("abcd", ["zz abcd " + "y" * 40] * 50)
+    assert calls == []
