@@ -156,10 +156,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Rows that agree in doc_id, source and size get their copies by their order among themselves.
     """
-    taken = mix_sources(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
-    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), _size("text").alias("size"))
-    same = F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & F.col("own.source").cast("string").eqNullSafe(F.col("source")) & (sized["size"] == taken["size"])
-    met = sized.join(taken, same).select("own", "copies", taken["size"].alias("size"))
-    among = Window.partitionBy("own.doc_id", "own.source", "size").orderBy(F.xxhash64("own.text"))
-    placed = met.withColumn("times", F.get("copies", F.row_number().over(among) - 1))
+    key = F.xxhash64("doc_id", "source", "size").alias("key")
+    taken = mix_sources(docs, weights, most).select(key, F.struct("doc_id", "source", "size", "copies").alias("one")).groupBy("key").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), "doc_id", F.col("source").cast("string").alias("source"), _size("text").alias("size"))
+    # The join and the window have the key in common, so texts are moved once; documents of equal keys are told apart by the list.
+    met = sized.select("*", key).join(taken, "key")
+    same = F.filter("all", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id")) & x["source"].eqNullSafe(F.col("source")) & (x["size"] == F.col("size")))
+    among = Window.partitionBy("key", "doc_id", "source", "size").orderBy(F.xxhash64("own.text"))
+    placed = met.withColumn("copies", same).withColumn("times", F.get("copies", F.row_number().over(among) - 1)["copies"])
     return placed.where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")

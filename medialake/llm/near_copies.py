@@ -9,7 +9,8 @@ near copies the larger one's first n - 0.8 n + 1 shingles and the smaller one's
 + 1 have one in common, so no pair is missed. The order comes from counts in a bounded sample; it decides
 how many candidates there are, never which near copies are found. Candidates whose places in the order
 leave too few shingles in common are dropped, and so are those whose bitmaps (a bit for each shingle's hash)
-show too many shingles that the other has not; the others are verified on the shingles of their texts.
+show too many shingles that the other has not, first on short bitmaps, then on longer ones (outlines) made of the texts of the
+candidates; the others are verified on the shingles of their texts.
 
 Only links that connect groups are wanted. Documents of a shingle that more than ``bucket`` share are therefore
 first compared with one representative each, in rounds, until the pairs of documents that are not
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from medialake.llm import simhash
-from medialake.llm.membership import packed_by_ids, rows_of_ids
+from medialake.llm.membership import packed_by_ids
 from medialake.llm.tokens import batches_of, slices
 from medialake.operators.graph import connected_components
-from medialake.plans.shared import stored
+from medialake.plans.shared import discard, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -58,6 +59,8 @@ PROGRESS = 0.75
 #: 64-bit words of a document's bitmap of shingles.
 WORDS = 8
 BITMAP = [f"bits{k}" for k in range(WORDS)]
+#: Bits of a candidate's outline, by which pairs are dropped before texts are moved.
+OUTLINE = 4096
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -206,8 +209,53 @@ def _simhash_pairs(distinct: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
+def _outlines(own: DataFrame) -> DataFrame:
+    """doc, n shingles and a bitmap of ``OUTLINE`` bits of each text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, outlines = [], []
+            for text in batch.column(1):
+                tokens = shingle_set(text.as_py())
+                bits = np.zeros(OUTLINE, np.uint8)
+                bits[(tokens % np.uint64(OUTLINE)).astype(np.int64)] = 1
+                sizes.append(len(tokens))
+                outlines.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(outlines, pa.binary())], names=["doc", "n", "outline"])
+            pa.default_memory_pool().release_unused()
+
+    return own.mapInArrow(read, "doc long, n long, outline binary")
+
+
+def _outlines_allow(close: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which two texts have outlines that allow the similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+                only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+                allowed = np.minimum(n_a - only_a, n_b - only_b) >= similarity / (1 + similarity) * (n_a + n_b) - 1e-6
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(allowed))
+
+    a, b = (outlines.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("outline").alias(f"outline_{side}")) for side in "ab")
+    met = close.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "outline_a", "outline_b")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc, text of documents in ``pairs`` (and of few others, as a filter lets them pass), in place: no text is moved."""
+    involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    return packed_by_ids(texts, F.col("doc"), involved)[0].select("own.doc", "own.text")
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches ``similarity``; only texts of documents in pairs are moved."""
+    """The pairs (a, b) whose exact similarity reaches ``similarity``.
+
+    Only texts of documents in pairs are read again, and only those are moved whose outlines allow the similarity: once by
+    their document, which serves both sides, and once to each of their pairs.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,12 +270,16 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarit
             pa.default_memory_pool().release_unused()
 
     close = stored(_allowed(pairs, distinct, similarity))
-    involved = close.select(F.col("a").alias("doc")).unionByName(close.select(F.col("b").alias("doc"))).distinct()
-    # One row for each text of a document, however often it is repeated.
-    own = stored(rows_of_ids(texts, F.col("doc"), involved).dropDuplicates(["doc", "text"]))
-    joined = close.join(own.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     with batches_of(texts.sparkSession):
-        return stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+        own = stored(_texts_of(close, texts))
+        outlines = stored(_outlines(own))
+        closer = stored(_outlines_allow(close, outlines, similarity))
+        # One row for each text of a document, however often it is repeated.
+        moved = _texts_of(closer, own).repartition("doc").dropDuplicates(["doc", "text"])
+        joined = closer.join(moved.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(moved.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+        found = stored(joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    discard(close, own, outlines, closer)
+    return found
 
 
 def _unconnected(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:

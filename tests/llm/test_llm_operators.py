@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 
 from medialake.llm import ann, golay, hamming_search, language, licenses, line_dedup, lm_score, mixing, near_copies, packing, personal_data, simhash
 from medialake.llm.tokens import ChunkTokenizer, slices, vocabulary_path
-from medialake.plans.shared import table
+from medialake.plans.shared import shared_dir, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -555,6 +556,36 @@ def test_near_copies_leave_one_of_each(spark, documents, no_documents, bucket):
     assert near_copies.keep_one_of_each(no_documents).isEmpty()
 
 
+def test_near_copies_move_texts_by_outlines_and_leave_none_behind(spark):
+    """Pairs that short bitmaps let pass and that are not similar go before their texts meet; stored texts go with their step."""
+    words = [f"w{k}" for k in range(3000)]
+    texts = [(0, words), (1, [*words[:-1], "end"]), (2, [f"x{k}" if k % 14 == 0 else w for k, w in enumerate(words)])]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc long, text string")
+    sets = [near_copies.shingle_set(" ".join(t)) for _, t in texts]
+    close = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    short = spark.createDataFrame([(i, len(s), *np.packbits(np.isin(np.arange(512), (s % np.uint64(512)).astype(int))).view(np.int64).tolist()) for i, s in enumerate(sets)], "doc long, n int, " + ", ".join(f"{b} long" for b in near_copies.BITMAP))
+    assert near_copies._allowed(close, short, 0.8).count() == 3
+    allowed = near_copies._outlines_allow(close, near_copies._outlines(frame), 0.8)
+    assert [(r["a"], r["b"]) for r in allowed.collect()] == [(0, 1)]
+    assert [(r["a"], r["b"]) for r in near_copies._verified(close, short, frame, 0.8).collect()] == [(0, 1)]
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("medialake-*"))
+    assert near_copies.keep_one_of_each(frame.withColumnRenamed("doc", "doc_id")).count() == 2
+    made = set(Path(shared_dir(spark).removeprefix("file:")).glob("medialake-*")) - before
+    assert made and not any("text" in spark.read.parquet(str(p)).columns for p in made)
+
+
+def test_mixing_moves_texts_once(spark, documents):
+    """Nothing is exchanged between the join of texts with their copies and the window over equal rows."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = mixing.mixed_documents(documents)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange" not in plan[plan.index("Window") : plan.index("SortMergeJoin")]
+
+
 @pytest.mark.parametrize("bucket", [6, 2])
 def test_near_copies_of_every_edit_are_found(spark, bucket):
     """Passages appended, cut off or scattered edits, similarity just above and below 0.8; a shingle that many share."""
