@@ -8,13 +8,10 @@ lets everything pass, the result is the same and every row is shuffled as withou
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 24
-#: Bits of the filter over keys, which goes to tasks as bytes.
-KEY_BITS = 1 << 26
 
 
 def _slot(ids: Column) -> Column:
@@ -41,19 +38,3 @@ def rows_of_ids(rows: DataFrame, ids_of: Column, ids: DataFrame) -> DataFrame:
     """The rows of ``rows`` whose id is among ``ids``."""
     found = packed_by_ids(rows, ids_of, ids)[0].join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
     return found.select("own.*")
-
-
-def filter_bits(keys: DataFrame) -> np.ndarray:
-    """A filter of the same fixed size over keys that are hashes already, as bytes for tasks."""
-    slots = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(KEY_BITS)).alias("slot"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(KEY_BITS // 64, np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return bits.view(np.uint8)
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the filter does not rule out."""
-    slots = keys & (KEY_BITS - 1)
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)

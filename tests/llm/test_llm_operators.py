@@ -713,6 +713,32 @@ def test_scores_of_odd_documents(spark, documents, no_documents):
     assert lm_score.score_documents(documents, labels.where("false")).count() == documents.count()
 
 
+def test_scores_do_not_depend_on_parts_and_hot_words(spark):
+    """Many parts, most bigrams dealt by both words, few words broadcast, repeated rows: the same scores as by one way, and again in a rerun."""
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "a b a b"), (-7, None)], "doc_id long, text string"))
+    labels = table(spark, DATA, "labels").select("doc_id", (F.col("quality") == 1).alias("target"))
+    wanted, *others = ([sorted((r["doc_id"] or -1, *r[1:]) for r in lm_score.score_documents(docs, labels, **how).collect()) for how in ({}, {"top": 20, "part_tokens": 2000}, {"top": 20, "part_tokens": 2000})])
+    assert others[0] == others[1] and len(wanted) == docs.count()
+    for row, other in zip(wanted, others[0], strict=True):
+        assert row[:2] == other[:2] and all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(row[2:], other[2:]))
+
+
+def test_scoring_moves_few_bytes_a_token(spark):
+    """Nearly every bigram occurs once: counting and looking up together move no more than packed bigrams take (20 bytes before)."""
+    draw = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in draw.integers(0, 20_000, 5000))) for k in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, target boolean")
+
+    def moved() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = moved()
+    assert lm_score.score_documents(docs, labels).selectExpr("sum(n_tokens)").first()[0] == 200 * 5001
+    assert 1_000_000 < moved() - before < 14 * 200 * 5001
+
+
 # 10: exact top k
 
 
