@@ -351,6 +351,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, word_count: int = WORD_C
     parts = max(LEAST_PARTS, -(-sizes.tokens[1] // part_tokens))
     rows = texts.select(F.monotonically_increasing_id().alias("slice"), "doc_id", "text", "target")
     split = rows.mapInArrow(_split(parts, context.broadcast(hot[0]), shared, {"token": tuple(unknown), "document": tuple(edge)}), SPLIT)
-    counted = split.groupBy("part").applyInArrow(_count(sizes, least, context.broadcast(hot)), LOSSES)
+    # more partitions than parts, so that few tasks get two
+    counted = split.repartition(4 * parts, "part").groupBy("part").applyInArrow(_count(sizes, least, context.broadcast(hot)), LOSSES)
     found = counted.groupBy("slice").applyInArrow(_summed, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
