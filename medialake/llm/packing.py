@@ -30,6 +30,8 @@ from medialake.plans.shared import stored
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text that a task makes ids of at a time: chunks, places and ids take some twenty times as much.
+SLICE_BYTES = 2 << 20
 #: Pieces of a shard, and shards whose underfull sequences are packed again together.
 SHARD_PIECES = 8192
 SHARDS_TOGETHER = 64
@@ -53,7 +55,7 @@ def token_pieces(
         tokenizer = chunk_tokenizer(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for first, rows in slices(texts):
+            for first, rows in slices(texts, SLICE_BYTES):
                 counts, flat = tokenizer.encode(texts.slice(first, rows))
                 own, piece, start, length, crc, ids = [], [], [], [], [], []
                 at = 0
@@ -74,7 +76,9 @@ def token_pieces(
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
+                del counts, flat
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         cut, PIECES + (", ids array<int>" if with_ids else "")

@@ -61,6 +61,36 @@ def check_packing(found: pd.DataFrame, capacity: int):
     assert ((ends.groupby(found["sequence_id"]).shift(fill_value=0)) == found["offset"]).all() and ends.max() <= capacity
 
 
+def test_packing_makes_ids_of_few_texts_at_a_time(spark, monkeypatch):
+    """What a task holds follows the slices: of 12 MB no more than 2 MB at once, and memory of a slice goes before the next."""
+    texts = pa.array([f"some words of document {k} " * 400 for k in range(1200)])
+    tokenizer, seen, released, spared = packing.chunk_tokenizer(packing.vocabulary_path(packing.VOCABULARY)), [], [], pa.default_memory_pool()
+
+    class Watched:
+        def encode(self, some):
+            seen.append(sum(map(len, some.to_pylist())))
+            return tokenizer.encode(some)
+
+    class Pool:
+        def release_unused(self):
+            released.append(len(seen))
+            spared.release_unused()
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            return cut(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])]))
+
+    monkeypatch.setattr(packing, "chunk_tokenizer", lambda path: Watched())
+    monkeypatch.setattr(packing.pa, "default_memory_pool", Pool)
+    found = pa.Table.from_batches(packing.token_pieces(Docs()))
+    assert sum(seen) == sum(map(len, texts.to_pylist())) > 12_000_000 and max(seen) <= 2 << 20 and released == list(range(1, len(seen) + 1))
+    counts, _ = tokenizer.encode(texts)
+    assert found.group_by("doc_id").aggregate([("length", "sum")]).sort_by("doc_id")["length_sum"].to_pylist() == (counts + 1).tolist()
+
+
 def test_packing_of_odd_documents(spark, documents, no_documents):
     found = packing.pack_documents(documents).toPandas()
     check_packing(found, 2048)
